@@ -1,7 +1,8 @@
-"""Date and time strings: component tokens, layout detection and comparison.
+"""Date and time strings: component extraction and comparison.
 
-A text is cut into tokens by one pattern; which layout it has, and whether it is a real date,
-is decided by whole-number predicates on the tokens.
+A text is rewritten into its components by the pattern of the first layout that fits.
+Impossible days are kept out by look-aheads, which leaves one group per component. Numbers are
+compared as text without leading zeros: no cast can fail, and absent equals zero, as it should.
 """
 
 from __future__ import annotations
@@ -9,186 +10,160 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Token pattern, longest text it can match, months with a 31st.
-DATE_TOKENS = (
-    r"\A(?:([0-9]{1,4})([-./])([0-9]{1,2})([-./])([0-9]{1,4}))?( ?)"
-    r"(?:([0-9]{1,2}):([0-9]{1,3})(?::([0-9]{1,3}))?(?: ([AP]M|[ap]m))?)?\z"
+# Pieces of the date grammar.
+CENTURY = "1[6-9]|[2-9][0-9]"
+YEAR = f"(?:((?:{CENTURY})[0-9][0-9])|([0-9][0-9]))"
+MONTH = "(0?[1-9]|1[0-2])"
+DAY = "(0?[1-9]|[12][0-9]|3[01])"
+SEPARATOR = "([-./])"
+NO_SUCH_MONTH_DAY = "(?!0?2.3[01]|(?:0?[469]|11).31)"
+NO_SUCH_DAY_MONTH = "(?!3[01].0?2[-./]|31.(?:0?[469]|11)[-./])"
+# The year comes first here, so the month ends the date.
+NO_SUCH_DAY_MONTH_END = r"(?!3[01].0?2(?: |\z)|31.(?:0?[469]|11)(?: |\z))"
+FOURTH_YEAR = "(?:[02468][048]|[13579][26])"
+LEAP_YEAR = f"(?:(?:{CENTURY})?(?!00){FOURTH_YEAR}|(?={CENTURY}){FOURTH_YEAR}00)"
+LEAP_DAY_ONLY = rf"(?!29.0?2.(?!{LEAP_YEAR}(?: |\z)))"
+SIXTY = "(0?[0-5]?[0-9])"
+CLOCK = (
+    r"(?!(?:1[3-9]|2[0-9]):\S* [APap])"
+    f"([01]?[0-9]|2[0-3]):{SIXTY}(?::{SIXTY})?(?: (?:[AP]M|[ap]m))?"
 )
-TOKEN_NAMES = ("a", "sep1", "b", "sep2", "c", "blank", "hh", "mi", "ss", "marker")
+AFTER_DATE = rf"(?: {CLOCK})?\z"
 LONGEST_DATE = 27
-MONTHS_WITH_31 = (1, 3, 5, 7, 8, 10, 12)
+DATE_START = r"\A(?:[0-9]{1,4}[-./:][0-9]|\z)"
 
 PARTS = ("yyyy", "yy", "mm", "dd", "hh", "mi", "ss", "delim")
-REFORMAT, DERIVED = "datereformat", "derived"
 
 _MARK = "\u0001"
 
 
-def date_tokens(s: Column) -> Column:
-    """Array of the ten tokens ('' where absent); null if the text does not fit the pattern."""
-    template = _MARK.join(f"${i + 1}" for i in range(len(TOKEN_NAMES)))
-    cut = F.split(F.regexp_replace(s, DATE_TOKENS, template), _MARK)
-    return F.when((F.length(s) <= LONGEST_DATE) & s.rlike(DATE_TOKENS), cut)
-
+def _layout(pattern: str, **groups: int) -> tuple[str, str]:
+    """Pattern and replacement that lists the components in PARTS order."""
+    text = _MARK.join(f"${groups[p]}" if p in groups else "" for p in PARTS)
+    return pattern, text + _MARK
+
+
+# Tried in this order. Only day-month-year checks 29 February for a leap year.
+LAYOUTS = {
+    "ymd": _layout(
+        rf"\A{YEAR}{SEPARATOR}{NO_SUCH_MONTH_DAY}{MONTH}\3{DAY}{AFTER_DATE}",
+        yyyy=1, yy=2, delim=3, mm=4, dd=5, hh=6, mi=7, ss=8,
+    ),
+    "mdy": _layout(
+        rf"\A{NO_SUCH_MONTH_DAY}{MONTH}{SEPARATOR}{DAY}\2{YEAR}{AFTER_DATE}",
+        mm=1, delim=2, dd=3, yyyy=4, yy=5, hh=6, mi=7, ss=8,
+    ),
+    "dmy": _layout(
+        rf"\A{NO_SUCH_DAY_MONTH}{LEAP_DAY_ONLY}{DAY}{SEPARATOR}{MONTH}\2{YEAR}{AFTER_DATE}",
+        dd=1, delim=2, mm=3, yyyy=4, yy=5, hh=6, mi=7, ss=8,
+    ),
+    "ydm": _layout(
+        rf"\A{YEAR}{SEPARATOR}{NO_SUCH_DAY_MONTH_END}{DAY}\3{MONTH}{AFTER_DATE}",
+        yyyy=1, yy=2, delim=3, dd=4, mm=5, hh=6, mi=7, ss=8,
+    ),
+    # A time alone, and even the empty text, counts as a date without a date part.
+    "time": _layout(rf"\A(?:{CLOCK})?\z", hh=1, mi=2, ss=3),
+}
 
-def token_numbers(tokens: Column) -> Column:
-    """The tokens by name, with empty ones as null, next to their numeric values."""
-    fields = []
-    for i, name in enumerate(TOKEN_NAMES):
-        text = F.nullif(tokens[i], F.lit(""))
-        fields.append(text.alias(name))
-        if name in ("a", "b", "c", "hh", "mi", "ss"):
-            fields.append(text.try_cast("int").alias(f"{name}_n"))
-    return F.when(tokens.isNotNull(), F.struct(*fields))
+REFORMAT, DERIVED = "datereformat", "derived"
+CHANGES = ("YYYYChng", "YYChng", "MMChng", "DDChng", "HrChng", "MinChng", "SecChng")
+FORMATS = (
+    "YYYYFrmtChng", "YYFrmtChng", "MMFrmtChng", "DDFrmtChng", "DelimFrmtChng", "HrFrmtChng",
+    "MinFrmtChng", "SecFrmtChng", "DateFrmtChng",
+)
 
 
-def _is_year(text: Column, n: Column) -> Column:
-    """Two digits, or four with a century from 16 on."""
-    return (F.length(text) == 2) | ((F.length(text) == 4) & (n >= 1600))
+def _may_be_date(s: Column) -> Column:
+    return (F.length(s) <= LONGEST_DATE) & s.rlike(DATE_START)
 
 
-def _is_day_of_month(day: Column, day_n: Column, month: Column, month_n: Column) -> Column:
-    short = (F.length(day) <= 2) & (F.length(month) <= 2)
-    fits = (
-        (day_n <= 29)
-        | ((day_n == 30) & (month_n != 2))
-        | ((day_n == 31) & month_n.isin(*MONTHS_WITH_31))
-    )
-    return short & month_n.between(1, 12) & (day_n >= 1) & fits
+def rewrite_date(s: Column) -> Column:
+    """The components, marked off, if ``s`` is a date; otherwise null."""
+    out = F.when(~_may_be_date(s), F.lit(None))
+    for pattern, text in LAYOUTS.values():
+        out = out.when(s.rlike(pattern), F.regexp_replace(s, pattern, text))
+    return out
 
 
-def _leap(year: Column, n: Column) -> Column:
-    """Two-digit years: every fourth but 00."""
-    by_century = (n % 400 == 0) | ((n % 100 != 0) & (n % 4 == 0))
-    return F.when(F.length(year) == 2, (n != 0) & (n % 4 == 0)).otherwise(by_century)
+def date_parts(rewritten: Column) -> Column:
+    """Array of the components in PARTS order, '' where absent."""
+    return F.split(rewritten, _MARK)
 
 
-def date_layout(t: Column) -> Column:
-    """'ymd', 'mdy', 'dmy', 'ydm' or 'time' (no date part); null if not a date.
+def date_layout(s: Column) -> Column:
+    out = F.when(~_may_be_date(s), F.lit(None))
+    for name, (pattern, _) in LAYOUTS.items():
+        out = out.when(s.rlike(pattern), name)
+    return out
 
-    Layouts are tried in that order. Only day-month-year checks 29 February for a leap year.
-    A text without a date part counts as a date, and so does the empty text.
-    """
-    a, b, c = t["a"], t["b"], t["c"]
-    an, bn, cn = t["a_n"], t["b_n"], t["c_n"]
-    has_date, has_time = a.isNotNull(), t["hh"].isNotNull()
-    time_ok = (
-        (t["hh_n"] <= F.when(t["marker"].isNotNull(), 12).otherwise(23))
-        & (t["mi_n"] <= 59)
-        & F.coalesce(t["ss_n"] <= 59, F.lit(True))
-    )
-    leap_ok = ~((an == 29) & (bn == 2)) | _leap(c, cn)
-    layout = (
-        F.when(_is_year(a, an) & _is_day_of_month(c, cn, b, bn), "ymd")
-        .when(_is_year(c, cn) & _is_day_of_month(b, bn, a, an), "mdy")
-        .when(_is_year(c, cn) & _is_day_of_month(a, an, b, bn) & leap_ok, "dmy")
-        .when(_is_year(a, an) & _is_day_of_month(b, bn, c, cn), "ydm")
-    )
-    well_cut = t["blank"].isNotNull() == (has_date & has_time)
-    return F.when(
-        t.isNotNull() & well_cut & (~has_time | time_ok),
-        F.when(~has_date, "time").when(t["sep1"] == t["sep2"], layout),
-    )
 
+def part(parts: Column, name: str) -> Column:
+    return parts[PARTS.index(name)]
 
-def date_parts(t: Column, layout: Column) -> Column:
-    """struct of the eight components as text; null if the text is not a date."""
-    year = (
-        F.when(layout.isin("ymd", "ydm"), t["a"]).when(layout.isin("mdy", "dmy"), t["c"])
-    )
-    month = (
-        F.when(layout.isin("ymd", "dmy"), t["b"]).when(layout == "mdy", t["a"])
-        .when(layout == "ydm", t["c"])
-    )
-    day = (
-        F.when(layout.isin("mdy", "ydm"), t["b"]).when(layout == "ymd", t["c"])
-        .when(layout == "dmy", t["a"])
-    )
-    return F.when(
-        layout.isNotNull(),
-        F.struct(
-            F.when(F.length(year) == 4, year).alias("yyyy"),
-            F.when(F.length(year) == 2, year).alias("yy"),
-            month.alias("mm"),
-            day.alias("dd"),
-            t["hh"].alias("hh"),
-            t["mi"].alias("mi"),
-            t["ss"].alias("ss"),
-            t["sep1"].alias("delim"),
-        ),
-    )
 
+def _hour(parts: Column) -> Column:
+    hh = part(parts, "hh")
+    return F.when(hh != "", hh.cast("int"))
 
-def _as_number(text: Column) -> Column:
-    return F.coalesce(text.try_cast("int"), F.lit(0))
 
+def date_flags(p: Column, q: Column) -> Column:
+    """struct of the sixteen change flags; null unless both sides are dates.
 
-def _respelled(x: Column, y: Column) -> Column:
-    """Same number, but absent on one side or of another text length."""
-    return (_as_number(x) == _as_number(y)) & ~F.length(x).eqNullSafe(F.length(y))
+    A flag whose components are absent may be null, which reads as not raised.
+    """
 
+    def same(name):
+        zero = F.lit("0")
+        return F.ltrim(part(p, name), zero) == F.ltrim(part(q, name), zero)
 
-def _changed(x: Column, y: Column) -> Column:
-    """Present on both sides with different numbers."""
-    return F.coalesce(_as_number(x) != _as_number(y), F.lit(False)) & x.isNotNull() & y.isNotNull()
+    def changed(name):
+        return (part(p, name) != "") & (part(q, name) != "") & ~same(name)
 
+    def respelled(name):
+        return (part(p, name) != part(q, name)) & same(name)
 
-def date_flags(p: Column, q: Column) -> Column:
-    """The sixteen change flags between component structs; all false unless both are dates."""
-    p_year = p["yyyy"].isNotNull() | p["yy"].isNotNull()
-    q_year = q["yyyy"].isNotNull() | q["yy"].isNotNull()
-    lost_long = (p["yyyy"].isNotNull() & ~q_year) | (q["yyyy"].isNotNull() & ~p_year)
-    lone_short = F.when(~q_year, p["yy"]).when(~p_year, q["yy"])
-    shortened = p["yyyy"].isNotNull() & q["yy"].isNotNull()
-    extended = p["yy"].isNotNull() & q["yyyy"].isNotNull()
-    same_short = F.right(F.coalesce(p["yyyy"], p["yy"]), F.lit(2)) == F.right(
-        F.coalesce(q["yyyy"], q["yy"]), F.lit(2)
-    )
-    half_day = F.abs(_as_number(p["hh"]) - _as_number(q["hh"])) == 12
-    hour_changed = _changed(p["hh"], q["hh"])
-    unchanged = F.lit(True)
-    for name in PARTS:
-        unchanged = unchanged & p[name].eqNullSafe(q[name])
+    p_long, q_long = part(p, "yyyy"), part(q, "yyyy")
+    p_short, q_short = part(p, "yy"), part(q, "yy")
+    p_year, q_year = F.concat(p_long, p_short), F.concat(q_long, q_short)
+    one_has_year = (p_year == "") != (q_year == "")
+    long_year, short_year = F.concat(p_long, q_long), F.concat(p_short, q_short)
+    mixed = (F.length(p_year) != F.length(q_year)) & ~one_has_year
+    same_end = F.right(p_year, F.lit(2)) == F.right(q_year, F.lit(2))
+    half_day = F.abs(_hour(p) - _hour(q)) == 12
     flags = {
-        "YYYYChng": _changed(p["yyyy"], q["yyyy"]) | lost_long | (shortened & ~same_short),
-        "YYChng": _changed(p["yy"], q["yy"])
-        | (_as_number(lone_short) != 0)
-        | (extended & ~same_short),
-        "MMChng": _changed(p["mm"], q["mm"]),
-        "DDChng": _changed(p["dd"], q["dd"]),
-        "HrChng": hour_changed & ~half_day,
-        "MinChng": _changed(p["mi"], q["mi"]),
-        "SecChng": _changed(p["ss"], q["ss"]),
-        "YYYYFrmtChng": shortened & same_short,
-        "YYFrmtChng": (lone_short.isNotNull() & (_as_number(lone_short) == 0))
-        | (extended & same_short),
-        "MMFrmtChng": _respelled(p["mm"], q["mm"]),
-        "DDFrmtChng": _respelled(p["dd"], q["dd"]),
-        "DelimFrmtChng": ~p["delim"].eqNullSafe(q["delim"]),
-        "HrFrmtChng": _respelled(p["hh"], q["hh"]) | (hour_changed & half_day),
-        "MinFrmtChng": _respelled(p["mi"], q["mi"]),
-        "SecFrmtChng": _respelled(p["ss"], q["ss"]),
-        "DateFrmtChng": unchanged,
+        "YYYYChng": changed("yyyy")
+        | (one_has_year & (long_year != ""))
+        | (mixed & (p_long != "") & ~same_end),
+        "YYChng": changed("yy")
+        | (one_has_year & ~short_year.isin("", "00"))
+        | (mixed & (p_short != "") & ~same_end),
+        "MMChng": changed("mm"),
+        "DDChng": changed("dd"),
+        "HrChng": changed("hh") & ~half_day,
+        "MinChng": changed("mi"),
+        "SecChng": changed("ss"),
+        "YYYYFrmtChng": mixed & (p_long != "") & same_end,
+        "YYFrmtChng": (one_has_year & (short_year == "00"))
+        | (mixed & (p_short != "") & same_end),
+        "MMFrmtChng": respelled("mm"),
+        "DDFrmtChng": respelled("dd"),
+        "DelimFrmtChng": part(p, "delim") != part(q, "delim"),
+        "HrFrmtChng": respelled("hh") | half_day,
+        "MinFrmtChng": respelled("mi"),
+        "SecFrmtChng": respelled("ss"),
+        "DateFrmtChng": p == q,
     }
     both = p.isNotNull() & q.isNotNull()
-    return F.struct(
-        *((both & F.coalesce(f, F.lit(False))).alias(name) for name, f in flags.items())
-    )
-
-
-CHANGES = ("YYYYChng", "YYChng", "MMChng", "DDChng", "HrChng", "MinChng", "SecChng")
-FORMATS = (
-    "YYYYFrmtChng", "YYFrmtChng", "MMFrmtChng", "DDFrmtChng", "DelimFrmtChng", "HrFrmtChng",
-    "MinFrmtChng", "SecFrmtChng", "DateFrmtChng",
-)
+    return F.when(both, F.struct(*(f.alias(name) for name, f in flags.items())))
 
 
 def date_label(p: Column, q: Column, flags: Column) -> Column:
     """``derived`` if a component changed or only one side is a date, ``datereformat`` if only
     the spelling did; null if there is nothing to say."""
-    changed, respelled = F.lit(False), F.lit(False)
-    for name in CHANGES:
-        changed = changed | flags[name]
-    for name in FORMATS:
-        respelled = respelled | flags[name]
-    return F.when((p.isNull() != q.isNull()) | changed, DERIVED).when(respelled, REFORMAT)
+
+    def raised(names):
+        return F.greatest(*(flags[n] for n in names))
+
+    return F.when((p.isNull() != q.isNull()) | raised(CHANGES), DERIVED).when(
+        raised(FORMATS), REFORMAT
+    )

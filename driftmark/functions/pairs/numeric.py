@@ -8,49 +8,44 @@ from pyspark.sql import functions as F
 from driftmark.functions.scalars import safe_float, safe_int
 
 # A whole number, or a number with decimals (the whole part may be missing).
-WHOLE = r"\A[+-]?[0-9]+\z"
-DECIMAL = r"\A[+-]?[0-9]*\.[0-9]+\z"
+NUMBER = r"\A[+-]?(?:[0-9]+|[0-9]*\.[0-9]+)\z"
 
 REFORMAT, SAME, DERIVED = "numeric reformat", "sm", "derived"
 
 
-def parse_number(s: Column) -> Column:
-    """struct(kind, whole_len, decimal_len); null for text that is not a number."""
-    whole = F.length(F.ltrim(F.substring_index(s, ".", 1), F.lit("+-")))
-    return F.when(
-        s.rlike(WHOLE),
-        F.struct(
-            F.lit("int").alias("kind"), whole.alias("whole_len"), F.lit(0).alias("decimal_len")
-        ),
-    ).when(
-        s.rlike(DECIMAL),
-        F.struct(
-            F.lit("float").alias("kind"),
-            whole.alias("whole_len"),
-            F.length(F.substring_index(s, ".", -1)).alias("decimal_len"),
-        ),
-    )
+def are_numbers(a: Column, b: Column) -> Column:
+    return a.rlike(NUMBER) & b.rlike(NUMBER)
+
 
+def _whole_length(s: Column) -> Column:
+    return F.length(F.ltrim(F.substring_index(s, ".", 1), F.lit("+-")))
 
-def compare_numbers(a: Column, b: Column, pa: Column, pb: Column) -> Column:
-    """struct(label, del_beg, ins_beg, del_end, ins_end) for parsed ``pa`` and ``pb``.
 
-    Two whole numbers are compared as 32-bit integers, with an overflow read as 0; any other
-    couple as 32-bit floats. Null label: at least one side is not a number.
+def _decimal_length(s: Column) -> Column:
+    dot = F.instr(s, ".")
+    return F.when(dot == 0, 0).otherwise(F.length(s) - dot)
+
+
+def compare_numbers(a: Column, b: Column) -> Column:
+    """struct(label, del_beg, ins_beg, del_end, ins_end); null unless both are numbers.
+
+    Two whole numbers are compared as 32-bit integers, with an overflow read as 0, and by total
+    text length, sign included; any other couple as 32-bit floats, digits before and after the
+    point counted apart.
     """
-    ints = (pa["kind"] == "int") & (pb["kind"] == "int")
+    ints = (F.instr(a, ".") == 0) & (F.instr(b, ".") == 0)
     equal = F.when(ints, safe_int(a) == safe_int(b)).otherwise(safe_float(a) == safe_float(b))
-    label = F.when(
-        pa.isNotNull() & pb.isNotNull(),
-        F.when(~equal, DERIVED).when(a == b, SAME).otherwise(REFORMAT),
+    longer = F.when(ints, F.length(a) - F.length(b)).otherwise(
+        _whole_length(a) - _whole_length(b)
     )
-    # Whole numbers are compared by total length, sign included.
-    len_a = F.when(ints, F.length(a)).otherwise(pa["whole_len"])
-    len_b = F.when(ints, F.length(b)).otherwise(pb["whole_len"])
-    return F.struct(
-        label.alias("label"),
-        (len_a > len_b).alias("del_beg"),
-        (len_a < len_b).alias("ins_beg"),
-        (pa["decimal_len"] > pb["decimal_len"]).alias("del_end"),
-        (pa["decimal_len"] < pb["decimal_len"]).alias("ins_end"),
+    finer = _decimal_length(a) - _decimal_length(b)
+    return F.when(
+        are_numbers(a, b),
+        F.struct(
+            F.when(~equal, DERIVED).when(a == b, SAME).otherwise(REFORMAT).alias("label"),
+            (longer > 0).alias("del_beg"),
+            (longer < 0).alias("ins_beg"),
+            (finer > 0).alias("del_end"),
+            (finer < 0).alias("ins_end"),
+        ),
     )

@@ -62,35 +62,21 @@ def classify_pairs(
     staged = staged.withColumns(
         {
             "_start": start_label(a, b, out),
-            "_num_a": numeric.parse_number(a),
-            "_num_o": numeric.parse_number(out),
-            "_tok_a": date.date_tokens(a),
-            "_tok_o": date.date_tokens(out),
+            "_num": numeric.compare_numbers(a, out),
+            "_date_a": date.rewrite_date(a),
+            "_date_o": date.rewrite_date(out),
         }
     )
     staged = staged.withColumns(
         {
-            "_num": numeric.compare_numbers(a, out, F.col("_num_a"), F.col("_num_o")),
-            "_val_a": date.token_numbers(F.col("_tok_a")),
-            "_val_o": date.token_numbers(F.col("_tok_o")),
+            "_part_a": date.date_parts(F.col("_date_a")),
+            "_part_o": date.date_parts(F.col("_date_o")),
         }
     )
-    staged = staged.withColumns(
-        {
-            "_layout_a": date.date_layout(F.col("_val_a")),
-            "_layout_o": date.date_layout(F.col("_val_o")),
-        }
-    )
-    staged = staged.withColumns(
-        {
-            "_date_a": date.date_parts(F.col("_val_a"), F.col("_layout_a")),
-            "_date_o": date.date_parts(F.col("_val_o"), F.col("_layout_o")),
-        }
-    )
-    staged = staged.withColumn("_dflag", date.date_flags(F.col("_date_a"), F.col("_date_o")))
+    p, q = F.col("_part_a"), F.col("_part_o")
+    staged = staged.withColumn("_dflag", F.when(a != out, date.date_flags(p, q)))
     staged = staged.withColumn(
-        "_dlabel",
-        F.when(a != out, date.date_label(F.col("_date_a"), F.col("_date_o"), F.col("_dflag"))),
+        "_dlabel", F.when(a != out, date.date_label(p, q, F.col("_dflag")))
     )
     # A numeric verdict overrules everything before it; a date verdict only an open label.
     numbered = F.coalesce(F.col("_num.label"), F.col("_start"))
@@ -123,7 +109,7 @@ def classify_pairs(
         "InsSameFlag": F.col("_mask"),
     }
     for name in (*date.CHANGES, *date.FORMATS):
-        raised[f"{name}Flag"] = (a != out) & F.col("_dflag")[name]
+        raised[f"{name}Flag"] = F.col("_dflag")[name]
     return staged.select(
         *own,
         final.alias(label),

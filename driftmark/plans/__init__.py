@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from driftmark.sources.session import tune
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 TOPICS = ("rollup", "segments", "profile", "pairs", "series", "models", "files")
@@ -23,8 +26,16 @@ def _merged(attribute: str) -> dict:
     return out
 
 
+def _tuned(query: Query) -> Query:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(tune(spark), sf_dir)
+
+    return run
+
+
 def all_queries() -> dict[str, Query]:
-    return _merged("QUERIES")
+    return {name: _tuned(query) for name, query in _merged("QUERIES").items()}
 
 
 def all_oracles() -> dict[str, str]:

@@ -60,13 +60,11 @@ def pair_concat(spark, sf_dir):
 
 
 def pair_numeric(spark, sf_dir):
-    a, out = F.col("input1"), F.col("output")
-    parsed = pairs(spark, sf_dir).withColumns(
-        {"pa": numeric.parse_number(a), "po": numeric.parse_number(out)}
+    verdict = (
+        pairs(spark, sf_dir)
+        .withColumn("v", numeric.compare_numbers(F.col("input1"), F.col("output")))
+        .where(F.col("v").isNotNull())
     )
-    verdict = parsed.withColumn(
-        "v", numeric.compare_numbers(a, out, F.col("pa"), F.col("po"))
-    ).where(F.col("v.label").isNotNull())
     return verdict.select(
         *IDS, "v.label", "v.del_beg", "v.ins_beg", "v.del_end", "v.ins_end"
     )
@@ -74,23 +72,24 @@ def pair_numeric(spark, sf_dir):
 
 def pair_date(spark, sf_dir):
     """Layout and components of both sides, where both are dates."""
+    a, out = F.col("input1"), F.col("output")
     step = pairs(spark, sf_dir).withColumns(
-        {"ta": date.date_tokens(F.col("input1")), "to": date.date_tokens(F.col("output"))}
-    )
-    step = step.withColumns(
-        {"va": date.token_numbers(F.col("ta")), "vo": date.token_numbers(F.col("to"))}
+        {"ra": date.rewrite_date(a), "ro": date.rewrite_date(out)}
     )
-    step = step.withColumns({"la": date.date_layout(F.col("va")), "lo": date.date_layout(F.col("vo"))})
-    step = step.where(F.col("la").isNotNull() & F.col("lo").isNotNull()).withColumns(
-        {
-            "da": date.date_parts(F.col("va"), F.col("la")),
-            "do": date.date_parts(F.col("vo"), F.col("lo")),
-        }
+    step = step.where(F.col("ra").isNotNull() & F.col("ro").isNotNull()).withColumns(
+        {"pa": date.date_parts(F.col("ra")), "po": date.date_parts(F.col("ro"))}
     )
     shown = []
-    for p in date.PARTS:
-        shown += [F.col(f"da.{p}").alias(f"in_{p}"), F.col(f"do.{p}").alias(f"out_{p}")]
-    return step.select(*IDS, F.col("la").alias("in_layout"), F.col("lo").alias("out_layout"), *shown)
+    for name in date.PARTS:
+        for side in ("pa", "po"):
+            text = F.nullif(date.part(F.col(side), name), F.lit(""))
+            shown.append(text.alias(f"{'in' if side == 'pa' else 'out'}_{name}"))
+    return step.select(
+        *IDS,
+        date.date_layout(a).alias("in_layout"),
+        date.date_layout(out).alias("out_layout"),
+        *shown,
+    )
 
 
 def pair_text(spark, sf_dir):

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.sources.tables import read_table
+from driftmark.sources.tables import read_table, spread
 
 
 def _pair(template: str, a: Column, b: Column, out: Column) -> Column:
@@ -21,7 +21,7 @@ def _pair(template: str, a: Column, b: Column, out: Column) -> Column:
 
 
 def _expand(df: DataFrame, key: str, pairs: list[Column]) -> DataFrame:
-    return df.select(F.col(key).alias("pair_key"), F.inline(F.array(*pairs)))
+    return spread(df).select(F.col(key).alias("pair_key"), F.inline(F.array(*pairs)))
 
 
 def _pad(n: Column, width: int) -> Column:
@@ -33,7 +33,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, brand, kind = F.col("p_name"), F.col("p_brand"), F.col("p_type")
     size = F.col("p_size").cast("string")
     from_part = _expand(
-        read_table(spark, sf_dir, "part"),
+        read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"),
         "p_partkey",
         [
             _pair("same", name, none, name),
@@ -53,7 +53,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     later = F.add_months(day, 1)
     price = F.col("o_totalprice").cast("decimal(18,2)")
     from_orders = _expand(
-        read_table(spark, sf_dir, "orders"),
+        read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice"),
         "o_orderkey",
         [
             _pair("dec_trim", price.cast("string"), none, price.cast("decimal(19,3)").cast("string")),
@@ -88,7 +88,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     customer = F.col("c_name")
     from_customer = _expand(
-        read_table(spark, sf_dir, "customer"),
+        read_table(spark, sf_dir, "customer").select("c_custkey", "c_name"),
         "c_custkey",
         [
             _pair("blanks", customer, none, F.concat(F.lit("  "), customer, F.lit(" "))),

@@ -18,6 +18,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition an input that has fewer splits than the cluster has cores.
+
+    For narrow inputs in front of heavy row-wise work; an input of many splits is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def month_end(ts: Column) -> Column:
     return F.last_day(ts.cast("date"))
 
