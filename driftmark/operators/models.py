@@ -124,7 +124,7 @@ def fit_one_vs_rest(
 
 
 def fit_tree(
-    df: DataFrame, label: str, depth: int = 5, seed: int = 123, weight: str | None = WEIGHT
+    df: DataFrame, label: str, depth: int = 10, seed: int = 123, weight: str | None = WEIGHT
 ) -> DecisionTreeClassificationModel:
     tree = DecisionTreeClassifier(
         labelCol=label, featuresCol="features", maxDepth=depth, impurity="gini", seed=seed

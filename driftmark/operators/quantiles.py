@@ -27,10 +27,10 @@ def exact_quantiles(
     """(keys, n, names...): quantiles with linear interpolation between neighbours.
 
     1. A mergeable sketch per group gives two fences around each quantile.
-    2. Values are counted (equal values collapse), and the counts are added up per slot between
-       fences, so the slot that holds each wanted rank is known exactly.
-    3. Only the values of those slots are put in order; a slot holds about 4 / accuracy of its
-       group. A poor sketch makes a slot larger, never the result wrong.
+    2. Rows are counted per slot between fences, so the slot that holds each wanted rank is
+       known exactly.
+    3. Only the values of those slots are shuffled and put in order; such a slot holds about
+       4 / accuracy of its group. A poor sketch makes a slot larger, never the result wrong.
 
     The fences are written to the scratch folder first: steps 2 and 3 read them separately and
     must see the same ones.
@@ -48,16 +48,19 @@ def exact_quantiles(
         ),
         "fences",
     )
-    counted = data.groupBy(*by, F.col(x).cast("double").alias("_x")).agg(
-        F.count(F.lit(1)).alias("_c")
-    )
     slot: Column = F.lit(0)
     for i in range(len(marks)):
         slot = slot + F.when(F.col("_x") > F.col("_fence")[i], 1).otherwise(0)
-    slotted = counted.join(fences, by).withColumn("_slot", slot)
+    slotted = (
+        data.select(*by, F.col(x).cast("double").alias("_x"))
+        .join(fences, by)
+        .select(*by, "n", "_x", slot.alias("_slot"))
+    )
 
     # At most one row per fence and group.
-    sizes = slotted.groupBy(*by, "_slot").agg(F.sum("_c").alias("_size"), F.max("n").alias("n"))
+    sizes = slotted.groupBy(*by, "_slot").agg(
+        F.count(F.lit(1)).alias("_size"), F.max("n").alias("n")
+    )
     earlier = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
     wanted = F.lit(False)
@@ -72,11 +75,17 @@ def exact_quantiles(
 
     inside = Window.partitionBy(*by, "_slot").orderBy("_x")
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        slotted.drop("_fence")
-        .join(offsets, [*by, "_slot"])
-        .withColumn("_last", F.col("_before") + F.sum("_c").over(upto))
-        .withColumn("_first", F.col("_last") - F.col("_c") + 1)
+    counted = (
+        slotted.join(offsets, [*by, "_slot"])
+        .groupBy(*by, "_slot", "_x")
+        .agg(
+            F.count(F.lit(1)).alias("_c"),
+            F.max("n").alias("n"),
+            F.max("_before").alias("_before"),
+        )
+    )
+    ranked = counted.withColumn("_last", F.col("_before") + F.sum("_c").over(upto)).withColumn(
+        "_first", F.col("_last") - F.col("_c") + 1
     )
     picks = [F.max("n").alias("n")]
     for i, (low, high, _) in enumerate(ranks):

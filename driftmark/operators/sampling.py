@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftmark.sources.scratch import materialize
+
 HASH_DIGITS = 4  # 65,536 hash buckets
 
 
@@ -61,15 +63,21 @@ def with_position(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    bucket: Column,
+    bucket: Column | None = None,
     name: str = "position",
 ) -> DataFrame:
     """Exact 1-based rank per key.
 
     ``bucket`` must rise with ``order``. Rows are shuffled once, on (keys, bucket), and the
-    offsets are joined on the same columns.
+    offsets are joined on the same columns. Without a bucket the rows are range-partitioned by
+    (keys, order), which cuts a key of any size into ranges of equal size; they are written once,
+    so that counting and ranking see the same ranges.
     """
-    rows = df.withColumn("_bucket", bucket)
+    if bucket is None:
+        ranged = df.repartitionByRange(*(F.col(k) for k in keys), *order)
+        rows = materialize(ranged.withColumn("_bucket", F.spark_partition_id()), "ranges")
+    else:
+        rows = df.withColumn("_bucket", bucket)
     offsets = bucket_offsets(rows, keys, "_bucket")
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     return (

@@ -45,7 +45,7 @@ def regular_series(
 
 
 def ordered_series(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column | None = None
 ) -> DataFrame:
     """Undated series: t is the exact rank in the key, found bucket by bucket."""
     return with_position(df, keys, order, bucket, "t")

@@ -16,7 +16,7 @@ from driftmark.plans.views import BALANCES, ROLLUP, SEGMENTED
 from driftmark.sources.files import load_model, save_model
 from driftmark.sources.pair_fixture import pairs
 from driftmark.sources.scratch import materialize, scratch_path
-from driftmark.sources.tables import account_balances, accountlevel, spread
+from driftmark.sources.tables import account_balances, accountlevel
 
 CUSTOMER_FEATURES = ("fico_score", "delinquency")
 LABEL = "customer_type"
@@ -121,7 +121,7 @@ def ovr_segments(spark, sf_dir):
 
 def mlp_segments(spark, sf_dir):
     """The perceptron takes no weights, so it is fitted on the rows."""
-    rows = spread(_customers(spark, sf_dir))
+    rows = _customers(spark, sf_dir)
     fitted = features.index_and_encode(rows, LABEL)
     data = features.assemble(fitted.transform(rows), CUSTOMER_FEATURES)
     model = models.fit_perceptron(data.where("is_train"), f"{LABEL}_index")
@@ -156,7 +156,7 @@ def tree_overall(spark, sf_dir):
 
 
 def tree_cv(spark, sf_dir):
-    return models.tree_complexity(_pair_table(spark, sf_dir), INDEX, (1, 2, 3, 5), "fold", FOLDS)
+    return models.tree_complexity(_pair_table(spark, sf_dir), INDEX, (1, 2, 3, 5, 10), "fold", FOLDS)
 
 
 def tree_importances(spark, sf_dir):

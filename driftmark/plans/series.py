@@ -13,6 +13,7 @@ from driftmark.operators.series import decompose as D
 from driftmark.operators.series import diff as X
 from driftmark.plans.views import ACCOUNTS
 from driftmark.sources.scratch import materialize
+from driftmark.sources.tables import read_table
 from driftmark.sources.series_fixture import EVENT, SEGMENT, event_series, segment_series
 
 MAX_LAG = 12
@@ -39,12 +40,10 @@ def series_index_events(spark, sf_dir):
 
 
 def series_position(spark, sf_dir):
-    """Undated series: events of a type numbered by time, ranked day by day."""
-    from driftmark.sources.tables import read_table
-
+    """Undated series: events of a type numbered by time."""
     events = read_table(spark, sf_dir, "events").select("event_type", "event_id", "ts")
     order = [F.col("ts"), F.col("event_id")]
-    return index.ordered_series(events, EVENT, order, F.col("ts").cast("date")).drop("ts")
+    return index.ordered_series(events, EVENT, order).drop("ts")
 
 
 def series_head_tail(spark, sf_dir):

@@ -11,6 +11,8 @@ SETTINGS = {
     # Re-plan joins, split skewed join sides and merge small shuffle partitions at run time.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot key even where that costs one more shuffle further down.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Derived timestamps and dates must not depend on where the driver runs.
     "spark.sql.session.timeZone": "UTC",
 }

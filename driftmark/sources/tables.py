@@ -21,7 +21,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Repartition an input that has fewer splits than the cluster has cores.
 
-    For narrow inputs in front of heavy row-wise work; an input of many splits is left alone.
+    For plain scans in front of heavy row-wise work; a scan of many splits is left alone. Not
+    for inputs with a shuffle in them: asking for their partitions would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
