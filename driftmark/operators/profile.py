@@ -77,7 +77,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def _bin(x: Column, low: Column, high: Column, bins: int) -> Column:
     """Equal-width bin from 1 to ``bins``; the maximum belongs to the last bin."""
     spot = F.floor((x - low) / F.nullif(high - low, F.lit(0.0)) * bins) + 1
-    return F.coalesce(F.least(spot, F.lit(bins)), F.lit(1)).cast("int")
+    return F.when(high == low, 1).otherwise(F.least(spot, F.lit(bins))).cast("int")
 
 
 def histogram(df: DataFrame, x: str, bins: int = 30) -> DataFrame:
