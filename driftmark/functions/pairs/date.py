@@ -106,8 +106,8 @@ def _hour(parts: Column) -> Column:
     return F.when(hh != "", hh.cast("int"))
 
 
-def date_flags(p: Column, q: Column) -> Column:
-    """struct of the sixteen change flags; null unless both sides are dates.
+def date_flags(p: Column, q: Column) -> dict[str, Column]:
+    """The sixteen change flags by name, for two dates.
 
     A flag whose components are absent may be null, which reads as not raised.
     """
@@ -130,7 +130,7 @@ def date_flags(p: Column, q: Column) -> Column:
     mixed = (F.length(p_year) != F.length(q_year)) & ~one_has_year
     same_end = F.right(p_year, F.lit(2)) == F.right(q_year, F.lit(2))
     half_day = F.abs(_hour(p) - _hour(q)) == 12
-    flags = {
+    return {
         "YYYYChng": changed("yyyy")
         | (one_has_year & (long_year != ""))
         | (mixed & (p_long != "") & ~same_end),
@@ -153,17 +153,3 @@ def date_flags(p: Column, q: Column) -> Column:
         "SecFrmtChng": respelled("ss"),
         "DateFrmtChng": p == q,
     }
-    both = p.isNotNull() & q.isNotNull()
-    return F.when(both, F.struct(*(f.alias(name) for name, f in flags.items())))
-
-
-def date_label(p: Column, q: Column, flags: Column) -> Column:
-    """``derived`` if a component changed or only one side is a date, ``datereformat`` if only
-    the spelling did; null if there is nothing to say."""
-
-    def raised(names):
-        return F.greatest(*(flags[n] for n in names))
-
-    return F.when((p.isNull() != q.isNull()) | raised(CHANGES), DERIVED).when(
-        raised(FORMATS), REFORMAT
-    )

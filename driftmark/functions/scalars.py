@@ -30,17 +30,22 @@ def safe_int(s: Column) -> Column:
     return F.coalesce(s.try_cast("int"), F.lit(0))
 
 
+# Characters up to U+0020, and white space.
+CONTROLS = "".join(map(chr, range(0x21)))
+WHITE_SPACE = " \t\n\x0b\f\r"
+
+
 def trim_controls(s: Column) -> Column:
     """Strip every character up to U+0020 from both ends."""
-    return F.regexp_replace(s, r"\A[\x00-\x20]+|[\x00-\x20]+\z", "")
+    return F.btrim(s, F.lit(CONTROLS))
 
 
 def leading_blanks(s: Column) -> Column:
-    return F.length(s) - F.length(F.regexp_replace(s, r"\A\s+", ""))
+    return F.length(s) - F.length(F.ltrim(s, F.lit(WHITE_SPACE)))
 
 
 def trailing_blanks(s: Column) -> Column:
-    return F.length(s) - F.length(F.regexp_replace(s, r"\s+\z", ""))
+    return F.length(s) - F.length(F.rtrim(s, F.lit(WHITE_SPACE)))
 
 
 def last_two(s: Column) -> Column:

@@ -35,8 +35,20 @@ LABELS = (
 _OPEN = "not sm"
 
 
-def _flag(cond: Column) -> Column:
-    return F.when(cond, 1.0).otherwise(0.0)
+_BIT = {flag[: -len("Flag")]: 1 << i for i, flag in enumerate(FLAGS)}
+_CHANGED = sum(_BIT[name] for name in date.CHANGES)
+
+
+def _bits(flags: dict[str, Column]) -> Column:
+    """The raised flags as one whole number; a null flag is not raised."""
+    total = F.lit(0).cast("bigint")
+    for name, cond in flags.items():
+        total = total + F.when(cond, F.lit(_BIT[name]).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    return total
+
+
+def _or_zero(bits: Column) -> Column:
+    return F.coalesce(bits, F.lit(0).cast("bigint"))
 
 
 def start_label(a: Column, b: Column, out: Column) -> Column:
@@ -50,10 +62,18 @@ def start_label(a: Column, b: Column, out: Column) -> Column:
     )
 
 
-def classify_pairs(
-    df: DataFrame, input1: str, input2: str, output: str, label: str = "PredClassify"
+def classify_bits(
+    df: DataFrame,
+    input1: str,
+    input2: str,
+    output: str,
+    label: str = "PredClassify",
+    bits: str = "flag_bits",
 ) -> DataFrame:
-    """Adds the label and the 39 flags. Null inputs are read as empty text."""
+    """Adds the label and the 39 flags as the bits of one whole number, lowest bit first.
+
+    Null inputs are read as empty text.
+    """
     own = df.columns
     a, b, out = (F.coalesce(F.col(c), F.lit("")) for c in (input1, input2, output))
     staged = df.withColumns({"_a": a, "_b": b, "_o": out})
@@ -63,8 +83,8 @@ def classify_pairs(
         {
             "_start": start_label(a, b, out),
             "_num": numeric.compare_numbers(a, out),
-            "_date_a": date.rewrite_date(a),
-            "_date_o": date.rewrite_date(out),
+            "_date_a": F.when(a != out, date.rewrite_date(a)),
+            "_date_o": F.when(a != out, date.rewrite_date(out)),
         }
     )
     staged = staged.withColumns(
@@ -74,16 +94,18 @@ def classify_pairs(
         }
     )
     p, q = F.col("_part_a"), F.col("_part_o")
-    staged = staged.withColumn("_dflag", F.when(a != out, date.date_flags(p, q)))
     staged = staged.withColumn(
-        "_dlabel", F.when(a != out, date.date_label(p, q, F.col("_dflag")))
+        "_dbits", F.when(p.isNotNull() & q.isNotNull(), _bits(date.date_flags(p, q)))
     )
+    one_sided = p.isNull() != q.isNull()
+    changed = F.col("_dbits").bitwiseAND(F.lit(_CHANGED).cast("bigint")) != 0
+    verdict = F.when(one_sided | changed, date.DERIVED).when(F.col("_dbits") != 0, date.REFORMAT)
     # A numeric verdict overrules everything before it; a date verdict only an open label.
     numbered = F.coalesce(F.col("_num.label"), F.col("_start"))
-    dated = F.when(numbered == _OPEN, F.coalesce(F.col("_dlabel"), F.lit(_OPEN))).otherwise(
-        numbered
+    staged = staged.withColumn(
+        "_dated",
+        F.when(numbered == _OPEN, F.coalesce(verdict, F.lit(_OPEN))).otherwise(numbered),
     )
-    staged = staged.withColumn("_dated", dated)
     still_open = F.col("_dated") == _OPEN
     staged = staged.withColumn("_blank", F.when(still_open, text.blank_change(a, out)))
     unlike = still_open & F.col("_blank").isNull()
@@ -95,28 +117,64 @@ def classify_pairs(
         .when(still_open, "derived")
         .otherwise(F.col("_dated"))
     )
-    respelled = F.col("_num.label") == numeric.REFORMAT
-    raised = {
-        "ConcatFlag": F.col("_start") == "concatenate",
-        "DelzBegFlag": respelled & F.col("_num.del_beg"),
-        "InszBegFlag": respelled & F.col("_num.ins_beg"),
-        "DelDecEndFlag": respelled & F.col("_num.del_end"),
-        "InsDecEndFlag": respelled & F.col("_num.ins_end"),
-        "InsSpBegFlag": F.col("_blank.ins_beg"),
-        "DelSpBegFlag": F.col("_blank.del_beg"),
-        "InsSpEndFlag": F.col("_blank.ins_end"),
-        "DelSpEndFlag": F.col("_blank.del_end"),
-        "InsSameFlag": F.col("_mask"),
-    }
-    for name in (*date.CHANGES, *date.FORMATS):
-        raised[f"{name}Flag"] = F.col("_dflag")[name]
-    return staged.select(
-        *own,
-        final.alias(label),
-        *((_flag(raised[f]) if f in raised else F.lit(0.0)).alias(f) for f in FLAGS),
+    number_bits = F.when(
+        F.col("_num.label") == numeric.REFORMAT,
+        _bits(
+            {
+                "DelzBeg": F.col("_num.del_beg"),
+                "InszBeg": F.col("_num.ins_beg"),
+                "DelDecEnd": F.col("_num.del_end"),
+                "InsDecEnd": F.col("_num.ins_end"),
+            }
+        ),
+    )
+    blank_bits = F.when(
+        F.col("_blank").isNotNull(),
+        _bits(
+            {
+                "InsSpBeg": F.col("_blank.ins_beg"),
+                "DelSpBeg": F.col("_blank.del_beg"),
+                "InsSpEnd": F.col("_blank.ins_end"),
+                "DelSpEnd": F.col("_blank.del_end"),
+            }
+        ),
+    )
+    other_bits = _bits({"Concat": F.col("_start") == "concatenate", "InsSame": F.col("_mask")})
+    # The four groups of flags have no flag in common, so adding them is setting their bits.
+    raised = (
+        _or_zero(F.col("_dbits")) + _or_zero(number_bits) + _or_zero(blank_bits) + other_bits
+    )
+    return staged.select(*own, final.alias(label), raised.alias(bits))
+
+
+def expand_flags(df: DataFrame, bits: str = "flag_bits") -> DataFrame:
+    """The 39 flag columns of a flag number, 0.0 or 1.0."""
+    rest = [c for c in df.columns if c != bits]
+    return df.select(
+        *rest,
+        *(F.getbit(F.col(bits), F.lit(i)).cast("double").alias(f) for i, f in enumerate(FLAGS)),
     )
 
 
+def flag_text(bits: Column) -> Column:
+    """The flags as 39 zeros and ones, first flag first."""
+    return F.reverse(F.lpad(F.bin(bits), len(FLAGS), "0"))
+
+
+def classify_pairs(
+    df: DataFrame, input1: str, input2: str, output: str, label: str = "PredClassify"
+) -> DataFrame:
+    """Adds the label and the 39 flag columns. Null inputs are read as empty text."""
+    return expand_flags(classify_bits(df, input1, input2, output, label, "_flag_bits"), "_flag_bits")
+
+
+def count_kinds(df: DataFrame, by: list[str], bits: str = "flag_bits", n: str = "n") -> DataFrame:
+    """Rows per (by..., flags), then the 39 flag columns: grouping on one number instead of 39
+    columns, and expanding only the few kinds that occur."""
+    counted = df.groupBy(*by, bits).agg(F.count(F.lit(1)).cast("double").alias(n))
+    return expand_flags(counted, bits)
+
+
 def feature_table(classified: DataFrame, label: str = "PredClassify") -> DataFrame:
     """Label and the 39 flags assembled into one vector."""
     return (

@@ -11,7 +11,7 @@ from driftmark.functions.scalars import rounded
 from driftmark.functions.segments import NO_SEGMENT, as_feature, customer_segment
 from driftmark.operators import evaluate as E
 from driftmark.operators import features, models, rollup, sampling
-from driftmark.operators.classify import FLAGS, classify_pairs
+from driftmark.operators.classify import FLAGS, classify_bits, count_kinds
 from driftmark.plans.views import BALANCES, ROLLUP, SEGMENTED
 from driftmark.sources.files import load_model, save_model
 from driftmark.sources.pair_fixture import pairs
@@ -62,8 +62,8 @@ def _pair_table(spark, sf_dir):
         (u < 0.8).alias("is_train"),
         F.floor(u * 1000 % FOLDS).cast("int").alias("fold"),
     )
-    flagged = classify_pairs(tagged, "input1", "input2", "output", "label")
-    counted = models.compress(flagged, ["label", *FLAGS, "is_train", "fold"])
+    flagged = classify_bits(tagged, "input1", "input2", "output", "label")
+    counted = count_kinds(flagged, ["label", "is_train", "fold"], n=models.WEIGHT)
     stored = materialize(_indexed(materialize(counted, "pairs"), "label"), "pairs-indexed")
     return features.assemble(stored, FLAGS)
 

@@ -5,29 +5,30 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftmark.functions.pairs import date, numeric, text
-from driftmark.operators.classify import FLAGS, classify_pairs, start_label
+from driftmark.operators.classify import (
+    FLAGS,
+    classify_bits,
+    count_kinds,
+    flag_text,
+    start_label,
+)
 from driftmark.sources.pair_fixture import pairs
 
 IDS = ("template", "pair_key")
 
 
 def _classified(spark, sf_dir):
-    return classify_pairs(pairs(spark, sf_dir), "input1", "input2", "output")
-
-
-def _flag_text():
-    """The 39 flags as one text of zeros and ones."""
-    return F.concat(*(F.when(F.col(f) == 1.0, "1").otherwise("0") for f in FLAGS))
+    return classify_bits(pairs(spark, sf_dir), "input1", "input2", "output")
 
 
 def pair_rows(spark, sf_dir):
     return _classified(spark, sf_dir).select(
-        *IDS, F.col("PredClassify").alias("label"), _flag_text().alias("flags")
+        *IDS, F.col("PredClassify").alias("label"), flag_text(F.col("flag_bits")).alias("flags")
     )
 
 
 def pair_labels(spark, sf_dir):
-    """Pairs counted by template and label, with the share of the template."""
+    """Pairs counted by template and label."""
     return (
         _classified(spark, sf_dir)
         .groupBy("template", F.col("PredClassify").alias("label"))
@@ -36,9 +37,8 @@ def pair_labels(spark, sf_dir):
 
 
 def pair_flags(spark, sf_dir):
-    return (
-        _classified(spark, sf_dir).groupBy("template").agg(*(F.sum(f).alias(f) for f in FLAGS))
-    )
+    kinds = count_kinds(_classified(spark, sf_dir), ["template"])
+    return kinds.groupBy("template").agg(*(F.sum(F.col(f) * F.col("n")).alias(f) for f in FLAGS))
 
 
 def pair_label_crosstab(spark, sf_dir):

@@ -1,6 +1,8 @@
 """(pair_key, template, input1, input2, output) triples derived from the warehouse tables.
 
-Each table is scanned once; every row yields all its templates through one generator.
+Each table is scanned once; every row carries all its triples in one array, and the arrays of
+all tables are opened by one generator. What follows is then planned and compiled once, not once
+per table.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ def _pair(template: str, a: Column, b: Column, out: Column) -> Column:
     )
 
 
-def _expand(df: DataFrame, key: str, pairs: list[Column]) -> DataFrame:
-    return spread(df).select(F.col(key).alias("pair_key"), F.inline(F.array(*pairs)))
+def _packed(df: DataFrame, key: str, pairs: list[Column]) -> DataFrame:
+    return spread(df).select(F.col(key).alias("pair_key"), F.array(*pairs).alias("triples"))
 
 
 def _pad(n: Column, width: int) -> Column:
@@ -32,7 +34,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit("")
     name, brand, kind = F.col("p_name"), F.col("p_brand"), F.col("p_type")
     size = F.col("p_size").cast("string")
-    from_part = _expand(
+    from_part = _packed(
         read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"),
         "p_partkey",
         [
@@ -52,7 +54,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     iso = F.concat_ws("-", yyyy, mm, dd)
     later = F.add_months(day, 1)
     price = F.col("o_totalprice").cast("decimal(18,2)")
-    from_orders = _expand(
+    from_orders = _packed(
         read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice"),
         "o_orderkey",
         [
@@ -87,7 +89,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
     customer = F.col("c_name")
-    from_customer = _expand(
+    from_customer = _packed(
         read_table(spark, sf_dir, "customer").select("c_custkey", "c_name"),
         "c_custkey",
         [
@@ -95,4 +97,5 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
             _pair("mask", customer, none, F.concat(F.lit("XXXX"), F.substring(customer, 5, 1000))),
         ],
     )
-    return from_part.unionAll(from_orders).unionAll(from_customer)
+    packed = from_part.unionAll(from_orders).unionAll(from_customer)
+    return packed.select("pair_key", F.inline("triples"))
