@@ -35,10 +35,8 @@ def exact_quantiles(
     The fences are written to the scratch folder first: steps 2 and 3 read them separately and
     must see the same ones.
     """
-    by = list(keys) or ["_all"]
+    by = list(keys)
     data = df.where(F.col(x).isNotNull())
-    if not keys:
-        data = data.withColumn("_all", F.lit(0))
     margin = 2.0 / accuracy
     marks = sorted({_clip(p + s * margin) for p in probs for s in (-1, 1)})
     fences = materialize(
@@ -51,11 +49,8 @@ def exact_quantiles(
     slot: Column = F.lit(0)
     for i in range(len(marks)):
         slot = slot + F.when(F.col("_x") > F.col("_fence")[i], 1).otherwise(0)
-    slotted = (
-        data.select(*by, F.col(x).cast("double").alias("_x"))
-        .join(fences, by)
-        .select(*by, "n", "_x", slot.alias("_slot"))
-    )
+    values = data.select(*by, F.col(x).cast("double").alias("_x"))
+    slotted = join_on(values, fences, by).select(*by, "n", "_x", slot.alias("_slot"))
 
     # At most one row per fence and group.
     sizes = slotted.groupBy(*by, "_slot").agg(
@@ -133,9 +128,8 @@ def outside_points(
 
 
 def join_on(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Attach per-group figures; without keys there is a single row of them."""
+    """Attach per-group figures; without keys there is one row of them, read as a scalar."""
     if keys:
         return df.join(stats, list(keys))
-    one = F.lit(0)
-    single = F.broadcast(stats.withColumn("_all", one))
-    return df.withColumn("_all", one).join(single, "_all").drop("_all")
+    one = stats.select(F.struct(*stats.columns)).scalar()
+    return df.select(*df.columns, *(one[c].alias(c) for c in stats.columns))

@@ -6,7 +6,7 @@ import calendar
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftmark.functions.scalars import half_down_double
@@ -41,9 +41,15 @@ def ordered_within_partitions(rollup: DataFrame) -> DataFrame:
 
 
 def drop_first_date(rollup: DataFrame) -> DataFrame:
-    """Remove the earliest group, which text-based pipelines mistake for a header line."""
-    first = rollup.agg(F.min("asofdate")).scalar()
-    return rollup.where(F.col("asofdate") > first)
+    """Remove the earliest group, which text-based pipelines mistake for a header line.
+
+    A roll-up has one row per date, so the window over all of it is short, and the accounts are
+    read once.
+    """
+    first = F.min("asofdate").over(Window.partitionBy())
+    return (
+        rollup.withColumn("_first", first).where(F.col("asofdate") > F.col("_first")).drop("_first")
+    )
 
 
 def regression_frame(rollup: DataFrame) -> DataFrame:

@@ -106,9 +106,10 @@ def exact_sample(
 ) -> DataFrame:
     """Adds ``in_sample``: true for exactly floor(fraction * n) rows, drawn by hash order.
 
-    Only the rows of the one hash bucket in which the quota runs out are ranked; all others are
-    decided by comparing their bucket with the quota, without a shuffle. The bucket table has at
-    most 16 ** HASH_DIGITS rows, so it is small enough to broadcast at any input size.
+    ``keys`` identify a row. The rows are counted per hash bucket (at most 16 ** HASH_DIGITS of
+    them); in the one bucket where the quota runs out the rows are ranked to find the last row
+    drawn. Every row is then decided by comparing its hash with that of the last row: the rows
+    themselves are not shuffled.
     """
     rows = df.withColumn("_hash", row_hash(*keys, seed=seed)).withColumn(
         "_bucket", F.substring("_hash", 1, HASH_DIGITS)
@@ -116,16 +117,22 @@ def exact_sample(
     counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("bucket_n"))
     upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     quota = F.floor(F.lit(fraction) * F.sum("bucket_n").over(Window.partitionBy()))
-    cuts = counts.select(
-        "_bucket",
-        (quota - F.sum("bucket_n").over(upto) + F.col("bucket_n")).alias("room"),
-        "bucket_n",
+    room = quota - F.sum("bucket_n").over(upto) + F.col("bucket_n")
+    cut = (
+        counts.withColumn("room", room)
+        .where((F.col("room") > 0) & (F.col("room") <= F.col("bucket_n")))
+        .select(F.struct("_bucket", "room"))
+        .scalar()
     )
-    decided = rows.join(F.broadcast(cuts), "_bucket")
-    split = (F.col("room") > 0) & (F.col("room") < F.col("bucket_n"))
+    place = F.struct("_hash", *keys)
     inside = Window.partitionBy("_bucket").orderBy("_hash", *keys)
-    whole = decided.where(~split).withColumn("in_sample", F.col("room") > 0)
-    partly = decided.where(split).withColumn(
-        "in_sample", F.row_number().over(inside) <= F.col("room")
+    last = (
+        rows.where(F.col("_bucket") == cut["_bucket"])
+        .withColumn("_rank", F.row_number().over(inside))
+        .where(F.col("_rank") == cut["room"])
+        .select(place)
+        .scalar()
     )
-    return whole.unionByName(partly).drop("_hash", "_bucket", "room", "bucket_n")
+    # No last row: the quota is 0.
+    drawn = F.coalesce(place <= last, F.lit(False))
+    return rows.withColumn("in_sample", drawn).drop("_hash", "_bucket")

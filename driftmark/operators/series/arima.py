@@ -282,33 +282,47 @@ def last_change(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     return ends.groupBy(*keys).agg(F.sum(signed).alias("w_last"))
 
 
-ORDERS = tuple((p, d, q) for d in (0, 1, 2) for p in (0, 1) for q in (0, 1))
+DIFFERENCES = (0, 1, 2)
 
 
 def select_order(df: DataFrame, keys: Sequence[str], x: str = "x", length: int = BLOCK) -> DataFrame:
     """(keys, p, d, q, phi, theta, sigma2, aicc): the order with the least AICc.
 
     All candidates are judged on the same rows, from position 4 on; with d = 0 the series mean
-    is taken out first.
+    is taken out first. The three differenced series go through one filter pass, and all (p, q)
+    of a d are read off the same profile.
     """
     first = 4
-    candidates = None
-    for d in sorted({d for _, d, _ in ORDERS}):
-        rows = df
-        if d == 0:
-            mean = df.groupBy(*keys).agg(F.avg(x).alias("_mean"))
-            rows = df.join(mean, list(keys)).withColumn(x, F.col(x) - F.col("_mean")).drop("_mean")
-        profile = css_profile(change_rows(rows, keys, x, d, first, length), keys, length)
-        for p, _, q in (o for o in ORDERS if o[1] == d):
-            fitted = best_fit(profile, keys, p, q).withColumn("d", F.lit(d))
-            candidates = fitted if candidates is None else candidates.unionByName(fitted)
+    mean = df.groupBy(*keys).agg(F.avg(x).alias("_mean"))
+    centred = df.join(mean, list(keys)).withColumn(x, F.col(x) - F.col("_mean")).drop("_mean")
+    changes = None
+    for d in DIFFERENCES:
+        rows = change_rows(centred, keys, x, d, first, length).withColumn("d", F.lit(d))
+        changes = rows if changes is None else changes.unionByName(rows)
+    profile = css_profile(changes, [*keys, "d"], length)
+
+    picks = []
+    for p in (0, 1):
+        sse = F.col("aa") - 2 * _phi(p) * F.col("ab") + _phi(p) * _phi(p) * F.col("bb")
+        point = F.struct(_phi(p).alias("phi"), "theta", sse.alias("sse"), "n")
+        picks.append((p, 0, F.max(F.when(F.col("theta") == 0.0, point))))
+        picks.append((p, 1, F.min_by(point, F.struct(sse, F.col("theta")))))
+    fits = profile.groupBy(*keys, "d").agg(*(c.alias(f"_{p}{q}") for p, q, c in picks))
+    candidates = F.array(
+        *(
+            F.struct(F.lit(p).alias("p"), F.lit(q).alias("q"), F.col(f"_{p}{q}").alias("fit"))
+            for p, q, _ in picks
+        )
+    )
     k = F.col("p") + F.col("q") + 1
-    n = F.col("n")
-    aicc = n * F.ln("sigma2") + 2 * k + 2 * k * (k + 1) / F.nullif(n - k - 1, F.lit(0))
-    point = F.struct("p", "d", "q", "phi", "theta", "sigma2", "aicc")
+    n = F.col("fit.n")
+    sigma2 = F.col("fit.sse") / n
+    aicc = n * F.ln(sigma2) + 2 * k + 2 * k * (k + 1) / F.nullif(n - k - 1, F.lit(0))
+    best = F.struct("p", "d", "q", "phi", "theta", "sigma2", "aicc")
     return (
-        candidates.withColumn("aicc", aicc)
+        fits.select(*keys, "d", F.inline(candidates))
+        .select(*keys, "p", "d", "q", "fit.phi", "fit.theta", sigma2.alias("sigma2"), aicc.alias("aicc"))
         .groupBy(*keys)
-        .agg(F.min_by(point, F.struct("aicc", "d", "p", "q")).alias("b"))
+        .agg(F.min_by(best, F.struct("aicc", "d", "p", "q")).alias("b"))
         .select(*keys, "b.*")
     )
