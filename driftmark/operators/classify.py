@@ -62,6 +62,39 @@ def start_label(a: Column, b: Column, out: Column) -> Column:
     )
 
 
+def compare_dates(
+    df: DataFrame, a: str, b: str, label: str = "date_label", bits: str = "date_bits"
+) -> DataFrame:
+    """Adds the date verdict on two text columns and its flags.
+
+    ``derived`` if a component changed or only one side is a date, ``datereformat`` if only the
+    spelling did, null if there is nothing to say or the texts are equal. The flags are null
+    unless both sides are dates.
+    """
+    own = df.columns
+    x, y = F.col(a), F.col(b)
+    staged = df.withColumns(
+        {
+            "_date_a": F.when(x != y, date.rewrite_date(x)),
+            "_date_b": F.when(x != y, date.rewrite_date(y)),
+        }
+    )
+    staged = staged.withColumns(
+        {
+            "_part_a": date.date_parts(F.col("_date_a")),
+            "_part_b": date.date_parts(F.col("_date_b")),
+        }
+    )
+    p, q = F.col("_part_a"), F.col("_part_b")
+    staged = staged.withColumn(
+        bits, F.when(p.isNotNull() & q.isNotNull(), _bits(date.date_flags(p, q)))
+    )
+    one_sided = p.isNull() != q.isNull()
+    changed = F.col(bits).bitwiseAND(F.lit(_CHANGED).cast("bigint")) != 0
+    verdict = F.when(one_sided | changed, date.DERIVED).when(F.col(bits) != 0, date.REFORMAT)
+    return staged.select(*own, verdict.alias(label), bits)
+
+
 def classify_bits(
     df: DataFrame,
     input1: str,
@@ -83,28 +116,14 @@ def classify_bits(
         {
             "_start": start_label(a, b, out),
             "_num": numeric.compare_numbers(a, out),
-            "_date_a": F.when(a != out, date.rewrite_date(a)),
-            "_date_o": F.when(a != out, date.rewrite_date(out)),
-        }
-    )
-    staged = staged.withColumns(
-        {
-            "_part_a": date.date_parts(F.col("_date_a")),
-            "_part_o": date.date_parts(F.col("_date_o")),
         }
     )
-    p, q = F.col("_part_a"), F.col("_part_o")
-    staged = staged.withColumn(
-        "_dbits", F.when(p.isNotNull() & q.isNotNull(), _bits(date.date_flags(p, q)))
-    )
-    one_sided = p.isNull() != q.isNull()
-    changed = F.col("_dbits").bitwiseAND(F.lit(_CHANGED).cast("bigint")) != 0
-    verdict = F.when(one_sided | changed, date.DERIVED).when(F.col("_dbits") != 0, date.REFORMAT)
+    staged = compare_dates(staged, "_a", "_o", "_dlabel", "_dbits")
     # A numeric verdict overrules everything before it; a date verdict only an open label.
     numbered = F.coalesce(F.col("_num.label"), F.col("_start"))
     staged = staged.withColumn(
         "_dated",
-        F.when(numbered == _OPEN, F.coalesce(verdict, F.lit(_OPEN))).otherwise(numbered),
+        F.when(numbered == _OPEN, F.coalesce(F.col("_dlabel"), F.lit(_OPEN))).otherwise(numbered),
     )
     still_open = F.col("_dated") == _OPEN
     staged = staged.withColumn("_blank", F.when(still_open, text.blank_change(a, out)))
@@ -175,6 +194,27 @@ def count_kinds(df: DataFrame, by: list[str], bits: str = "flag_bits", n: str =
     return expand_flags(counted, bits)
 
 
+def change_table(
+    df: DataFrame, input1: str, input2: str, output: str, actual: str
+) -> DataFrame:
+    """The full change table: four inputs, the label found, three text columns kept for the
+    changed parts (never filled), and the 39 flags."""
+    named = df.select(
+        F.col(input1).alias("InputString1"),
+        F.col(input2).alias("InputString2"),
+        F.col(output).alias("OutputString"),
+        F.col(actual).alias("ActClassify"),
+    )
+    found = classify_pairs(named, "InputString1", "InputString2", "OutputString")
+    empty = F.lit(None).cast("string")
+    return found.select(
+        *named.columns,
+        "PredClassify",
+        *(empty.alias(c) for c in ("DeleteString", "InsertString", "MoveString")),
+        *FLAGS,
+    )
+
+
 def feature_table(classified: DataFrame, label: str = "PredClassify") -> DataFrame:
     """Label and the 39 flags assembled into one vector."""
     return (

@@ -61,3 +61,8 @@ def head_tail(df: DataFrame, keys: Sequence[str], tail: int) -> tuple[DataFrame,
     sized = df.join(df.groupBy(*keys).agg(F.max("t").alias("_n")), list(keys))
     cut = F.col("t") <= F.col("_n") - tail
     return sized.where(cut).drop("_n"), sized.where(~cut).drop("_n")
+
+
+def split_at(df: DataFrame, position: int) -> tuple[DataFrame, DataFrame]:
+    """Rows up to a position, and the rows after it: a plain filter each."""
+    return df.where(F.col("t") <= position), df.where(F.col("t") > position)

@@ -6,9 +6,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from driftmark.functions.segments import as_feature
-from driftmark.operators.classify import FLAGS, classify_pairs
+from driftmark.operators.classify import FLAGS, change_table
+from driftmark.operators import models
 from driftmark.operators.features import assemble
-from driftmark.operators.rollup import asof_rollup
+from driftmark.operators.rollup import asof_rollup, regression_frame
+from driftmark.plans.models import CALENDAR
 from driftmark.plans.pairs import ORACLE as PAIR_ORACLE
 from driftmark.plans.pairs import PAIRS
 from driftmark.plans.views import ACCOUNTS, ROLLUP
@@ -39,6 +41,16 @@ def csv_header_scan(spark, sf_dir):
     return files.read_with_header(spark, path, {"DurationSince": 2, "Count": 3})
 
 
+def lr_libsvm(spark, sf_dir):
+    """Elastic-net regression on a libsvm file of (count; year, month, day)."""
+    path = scratch_path(spark, "libsvm")
+    frame = regression_frame(asof_rollup(account_balances(spark, sf_dir)))
+    files.write_libsvm(assemble(frame.withColumnRenamed("Count", "label"), CALENDAR), path)
+    data = files.read_libsvm(spark, path, len(CALENDAR))
+    model = models.fit_linear(data, "label", "predicted")
+    return models.linear_summary(spark, model, CALENDAR)
+
+
 def csv_inferred(spark, sf_dir):
     path = scratch_path(spark, "orders-csv")
     rows = account_balances(spark, sf_dir).select(
@@ -52,25 +64,13 @@ def csv_inferred(spark, sf_dir):
 
 
 def feature_csv(spark, sf_dir):
-    """The 39-flag table as text with a header, summed after reading it back."""
+    """The full change table as text with a header, summed after reading it back."""
     path = scratch_path(spark, "features-csv")
-    flagged = classify_pairs(pairs(spark, sf_dir), "input1", "input2", "output")
-    files.write_delimited(
-        flagged.select("input1", "input2", "output", "template", "PredClassify", *FLAGS),
-        path,
-        header=True,
-    )
-    read = files.read_inferred(spark, path, _feature_schema())
-    return read.groupBy("template").agg(*(F.sum(f).alias(f) for f in FLAGS))
-
-
-def _feature_schema():
-    from pyspark.sql import types as T
-
-    text = ("input1", "input2", "output", "template", "PredClassify")
-    return T.StructType(
-        [T.StructField(c, T.StringType()) for c in text]
-        + [T.StructField(f, T.DoubleType()) for f in FLAGS]
+    table = change_table(pairs(spark, sf_dir), "input1", "input2", "output", "template")
+    files.write_delimited(table, path, header=True)
+    read = files.read_inferred(spark, path, table.schema)
+    return read.groupBy(F.col("ActClassify").alias("template")).agg(
+        *(F.sum(f).alias(f) for f in FLAGS)
     )
 
 
@@ -90,7 +90,14 @@ def libsvm_roundtrip(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (csv_roundtrip, csv_header_scan, csv_inferred, feature_csv, libsvm_roundtrip)
+    for f in (
+        csv_roundtrip,
+        csv_header_scan,
+        csv_inferred,
+        feature_csv,
+        libsvm_roundtrip,
+        lr_libsvm,
+    )
 }
 
 ORACLE = {

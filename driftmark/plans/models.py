@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassificationModel
+from pyspark.ml.classification import OneVsRestModel, RandomForestClassificationModel
 from pyspark.ml.clustering import KMeansModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -245,6 +245,7 @@ def model_roundtrip(spark, sf_dir):
     for name, model, kind in (
         ("kmeans", models.fit_kmeans(data.where("is_train"), 6), KMeansModel),
         ("forest", models.fit_forest(data.where("is_train"), INDEX), RandomForestClassificationModel),
+        ("one_vs_rest", models.fit_one_vs_rest(data.where("is_train"), INDEX), OneVsRestModel),
     ):
         path = scratch_path(spark, name)
         save_model(model, path)
@@ -307,5 +308,6 @@ ORACLE = {
         FROM d CROSS JOIN line""",
     "model_roundtrip": f"""WITH {BALANCES}
         SELECT 'kmeans' AS model, count(*) AS n, count(*) AS n_same FROM balances
-        UNION ALL SELECT 'forest', count(*), count(*) FROM balances""",
+        UNION ALL SELECT 'forest', count(*), count(*) FROM balances
+        UNION ALL SELECT 'one_vs_rest', count(*), count(*) FROM balances""",
 }

@@ -8,6 +8,7 @@ from driftmark.functions.pairs import date, numeric, text
 from driftmark.operators.classify import (
     FLAGS,
     classify_bits,
+    compare_dates,
     count_kinds,
     flag_text,
     start_label,
@@ -92,6 +93,16 @@ def pair_date(spark, sf_dir):
     )
 
 
+def pair_date_change(spark, sf_dir):
+    """The date verdict alone, whatever the other steps say."""
+    judged = compare_dates(pairs(spark, sf_dir), "input1", "output")
+    return judged.select(
+        *IDS,
+        "date_label",
+        flag_text(F.coalesce(F.col("date_bits"), F.lit(0).cast("bigint"))).alias("flags"),
+    )
+
+
 def pair_text(spark, sf_dir):
     """Pairs that differ in outer blanks only."""
     step = pairs(spark, sf_dir).withColumn(
@@ -118,6 +129,7 @@ QUERIES = {
         pair_concat,
         pair_numeric,
         pair_date,
+        pair_date_change,
         pair_text,
         pair_mask,
     )
@@ -407,6 +419,13 @@ ORACLE = {
         for p in ("yyyy", "yy", "mm", "dd", "hh", "mi", "ss", "delim")
     )
     + f" FROM sides WHERE {_BOTH}",
+    "pair_date_change": _CLASSIFIED.split(",\nopened AS")[0]
+    + " SELECT template, pair_key, ld AS date_label, "
+    + " || ".join(
+        f"CAST(CAST({f[:-4]} AS INTEGER) AS VARCHAR)" if f[:-4] in _DATE_RULES else "'0'"
+        for f in FLAGS
+    )
+    + " AS flags FROM dated",
     "pair_text": f"""WITH {PAIRS} SELECT template, pair_key,
         {_LEAD.format('i1')} < {_LEAD.format('o')} AS ins_beg,
         {_LEAD.format('i1')} > {_LEAD.format('o')} AS del_beg,

@@ -56,6 +56,13 @@ def series_head_tail(spark, sf_dir):
     )
 
 
+def series_split_at(spark, sf_dir):
+    """Fifteen months to learn from, the months after them to judge by."""
+    series = _stored(segment_series(spark, sf_dir).select("mktsegment", "t", "x"))
+    head, rest = index.split_at(series, 15)
+    return head.withColumn("part", F.lit("head")).unionAll(rest.withColumn("part", F.lit("rest")))
+
+
 def _diff(spark, sf_dir, **options):
     out = X.diff(segment_series(spark, sf_dir), SEGMENT, **options)
     return out.select("mktsegment", "t", "d")
@@ -181,6 +188,10 @@ def arima111_ztest(spark, sf_dir):
     return _ztest(spark, sf_dir, (1, 1, 1))
 
 
+def arima011_ztest(spark, sf_dir):
+    return _ztest(spark, sf_dir, (0, 1, 1))
+
+
 def _forecast(spark, sf_dir, order):
     series, fits = _fit(spark, sf_dir, order)
     return _rounded(arima.forecast(series, fits, SEGMENT, "x", 6), forecast=5)
@@ -259,6 +270,7 @@ QUERIES = {
         series_index_events,
         series_position,
         series_head_tail,
+        series_split_at,
         diff_1,
         diff_2,
         diff_lag3,
@@ -279,6 +291,7 @@ QUERIES = {
         arima011_fit,
         arima110_ztest,
         arima111_ztest,
+        arima011_ztest,
         arima110_forecast,
         arima111_forecast,
         arima011_forecast,
@@ -564,6 +577,8 @@ ORACLE = {
     "series_head_tail": f"""WITH {_SEG} SELECT k AS mktsegment, t, x,
         CASE WHEN t <= max(t) OVER (PARTITION BY k) - {TAIL} THEN 'head' ELSE 'tail' END AS part
         FROM s""",
+    "series_split_at": f"""WITH {_SEG} SELECT k AS mktsegment, t, x,
+        CASE WHEN t <= 15 THEN 'head' ELSE 'rest' END AS part FROM s""",
     "diff_1": f"""WITH {_SEG}, dd AS (SELECT k, t, x - lag(x) OVER (PARTITION BY k ORDER BY t) AS d
         FROM s) {_DIFF}""",
     "diff_2": f"""WITH {_SEG}, d1 AS (
@@ -612,6 +627,7 @@ SELECT k AS mktsegment, t, x, {_PARTS} FROM parts""",
     "arima011_fit": _fit_sql((0, 1, 1)),
     "arima110_ztest": _ztest_sql((1, 1, 0)),
     "arima111_ztest": _ztest_sql((1, 1, 1)),
+    "arima011_ztest": _ztest_sql((0, 1, 1)),
     "arima110_forecast": _forecast_sql((1, 1, 0)),
     "arima111_forecast": _forecast_sql((1, 1, 1)),
     "arima011_forecast": _forecast_sql((0, 1, 1)),
