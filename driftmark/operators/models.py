@@ -116,7 +116,8 @@ def fit_one_vs_rest(
     df: DataFrame, label: str, iterations: int = 10, tol: float = 1e-6, weight: str | None = WEIGHT
 ) -> OneVsRestModel:
     base = LogisticRegression(maxIter=iterations, tol=tol, fitIntercept=True)
-    ovr = OneVsRest(classifier=base, labelCol=label, featuresCol="features")
+    # The binary fits are independent of each other.
+    ovr = OneVsRest(classifier=base, labelCol=label, featuresCol="features", parallelism=4)
     if weight:
         ovr = ovr.setWeightCol(weight)
     with persisted(df) as data:

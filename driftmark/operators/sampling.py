@@ -28,22 +28,26 @@ def unit_hash(*keys: str, seed: int = 0) -> Column:
     return head / F.lit(4294967296.0)
 
 
+def split_part(weights: Sequence[float], keys: Sequence[str], seed: int = 0) -> Column:
+    """Number of the part a row falls into, by key hash; weights are normalised."""
+    total = float(sum(weights))
+    u = unit_hash(*keys, seed=seed)
+    part = F.lit(len(weights) - 1)
+    for i in range(len(weights) - 2, -1, -1):
+        part = F.when(u < sum(weights[: i + 1]) / total, i).otherwise(part)
+    return part
+
+
 def hash_split(
     df: DataFrame, weights: Sequence[float], keys: Sequence[str], seed: int = 0
 ) -> list[DataFrame]:
-    """Random split by key hash; weights are normalised.
+    """Random split by key hash.
 
     A row lands in the same part however often, and on whatever partitions, the input is
     evaluated again, so train and test cannot overlap after a lost executor.
     """
-    total = float(sum(weights))
-    u = unit_hash(*keys, seed=seed)
-    parts, low = [], 0.0
-    for i, w in enumerate(weights):
-        high = 1.0 if i == len(weights) - 1 else low + w / total
-        parts.append(df.where((u >= low) & (u < high)))
-        low = high
-    return parts
+    part = split_part(weights, keys, seed)
+    return [df.where(part == i) for i in range(len(weights))]
 
 
 def random_split(df: DataFrame, weights: Sequence[float], seed: int) -> list[DataFrame]:

@@ -47,8 +47,7 @@ def _customer_table(spark, sf_dir):
     counted = models.compress(
         _customers(spark, sf_dir), [*CUSTOMER_FEATURES, LABEL, "is_train"]
     )
-    stored = materialize(_indexed(materialize(counted, "customers")), "customers-indexed")
-    return features.assemble(stored, CUSTOMER_FEATURES)
+    return features.assemble(_indexed(materialize(counted, "customers")), CUSTOMER_FEATURES)
 
 
 def _pair_table(spark, sf_dir):
@@ -64,8 +63,7 @@ def _pair_table(spark, sf_dir):
     )
     flagged = classify_bits(tagged, "input1", "input2", "output", "label")
     counted = count_kinds(flagged, ["label", "is_train", "fold"], n=models.WEIGHT)
-    stored = materialize(_indexed(materialize(counted, "pairs"), "label"), "pairs-indexed")
-    return features.assemble(stored, FLAGS)
+    return features.assemble(_indexed(materialize(counted, "pairs"), "label"), FLAGS)
 
 
 def _judged(scored, actual=INDEX, weight=models.WEIGHT):

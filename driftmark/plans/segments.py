@@ -63,13 +63,9 @@ def segment_onehot(spark, sf_dir):
 
 
 def split_counts_hash(spark, sf_dir):
-    parts = sampling.hash_split(
-        account_balances(spark, sf_dir).select("loannum"), [0.7, 0.2], ["loannum"], SPLIT_SEED
-    )
-    tagged = parts[0].select(F.lit("train").alias("part")).unionAll(
-        parts[1].select(F.lit("test").alias("part"))
-    )
-    return tagged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    part = sampling.split_part([0.7, 0.2], ["loannum"], SPLIT_SEED)
+    named = F.when(part == 0, "train").otherwise("test").alias("part")
+    return account_balances(spark, sf_dir).groupBy(named).agg(F.count(F.lit(1)).alias("n"))
 
 
 def sample_exact_80(spark, sf_dir):

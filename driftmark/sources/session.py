@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot key even where that costs one more shuffle further down.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A row handed to Python may hold a whole block of a series, so few rows make a batch.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
     # Derived timestamps and dates must not depend on where the driver runs.
     "spark.sql.session.timeZone": "UTC",
 }
