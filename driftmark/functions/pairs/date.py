@@ -112,24 +112,30 @@ def date_flags(p: Column, q: Column) -> dict[str, Column]:
     A flag whose components are absent may be null, which reads as not raised.
     """
 
-    def same(name):
+    # Most components are equal as text, so that is asked first and ends most comparisons.
+    def differ(name):
+        return part(p, name) != part(q, name)
+
+    def same_number(name):
         zero = F.lit("0")
         return F.ltrim(part(p, name), zero) == F.ltrim(part(q, name), zero)
 
     def changed(name):
-        return (part(p, name) != "") & (part(q, name) != "") & ~same(name)
+        both = (part(p, name) != "") & (part(q, name) != "")
+        return differ(name) & both & ~same_number(name)
 
     def respelled(name):
-        return (part(p, name) != part(q, name)) & same(name)
+        return differ(name) & same_number(name)
 
     p_long, q_long = part(p, "yyyy"), part(q, "yyyy")
     p_short, q_short = part(p, "yy"), part(q, "yy")
     p_year, q_year = F.concat(p_long, p_short), F.concat(q_long, q_short)
-    one_has_year = (p_year == "") != (q_year == "")
+    any_year = differ("yyyy") | differ("yy")
+    one_has_year = any_year & ((p_year == "") != (q_year == ""))
     long_year, short_year = F.concat(p_long, q_long), F.concat(p_short, q_short)
-    mixed = (F.length(p_year) != F.length(q_year)) & ~one_has_year
+    mixed = any_year & (p_year != "") & (q_year != "") & (F.length(p_year) != F.length(q_year))
     same_end = F.right(p_year, F.lit(2)) == F.right(q_year, F.lit(2))
-    half_day = F.abs(_hour(p) - _hour(q)) == 12
+    half_day = differ("hh") & (F.abs(_hour(p) - _hour(q)) == 12)
     return {
         "YYYYChng": changed("yyyy")
         | (one_has_year & (long_year != ""))

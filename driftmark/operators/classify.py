@@ -79,17 +79,19 @@ def compare_dates(
             "_date_b": F.when(x != y, date.rewrite_date(y)),
         }
     )
+    da, db = F.col("_date_a"), F.col("_date_b")
+    both = da.isNotNull() & db.isNotNull()
     staged = staged.withColumns(
         {
-            "_part_a": date.date_parts(F.col("_date_a")),
-            "_part_b": date.date_parts(F.col("_date_b")),
+            "_part_a": F.when(both, date.date_parts(da)),
+            "_part_b": F.when(both, date.date_parts(db)),
         }
     )
     p, q = F.col("_part_a"), F.col("_part_b")
     staged = staged.withColumn(
-        bits, F.when(p.isNotNull() & q.isNotNull(), _bits(date.date_flags(p, q)))
+        bits, F.when(p.isNotNull(), _bits(date.date_flags(p, q)))
     )
-    one_sided = p.isNull() != q.isNull()
+    one_sided = da.isNull() != db.isNull()
     changed = F.col(bits).bitwiseAND(F.lit(_CHANGED).cast("bigint")) != 0
     verdict = F.when(one_sided | changed, date.DERIVED).when(F.col(bits) != 0, date.REFORMAT)
     return staged.select(*own, verdict.alias(label), bits)
