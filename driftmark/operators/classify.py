@@ -39,16 +39,20 @@ _BIT = {flag[: -len("Flag")]: 1 << i for i, flag in enumerate(FLAGS)}
 _CHANGED = sum(_BIT[name] for name in date.CHANGES)
 
 
+def _no_bits() -> Column:
+    return F.lit(0).cast("bigint")
+
+
 def _bits(flags: dict[str, Column]) -> Column:
     """The raised flags as one whole number; a null flag is not raised."""
-    total = F.lit(0).cast("bigint")
+    total = _no_bits()
     for name, cond in flags.items():
-        total = total + F.when(cond, F.lit(_BIT[name]).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+        total = total + F.when(cond, F.lit(_BIT[name]).cast("bigint")).otherwise(_no_bits())
     return total
 
 
 def _or_zero(bits: Column) -> Column:
-    return F.coalesce(bits, F.lit(0).cast("bigint"))
+    return F.coalesce(bits, _no_bits())
 
 
 def start_label(a: Column, b: Column, out: Column) -> Column:
@@ -88,9 +92,7 @@ def compare_dates(
         }
     )
     p, q = F.col("_part_a"), F.col("_part_b")
-    staged = staged.withColumn(
-        bits, F.when(p.isNotNull(), _bits(date.date_flags(p, q)))
-    )
+    staged = staged.withColumn(bits, F.when(p.isNotNull(), _bits(date.date_flags(p, q))))
     one_sided = da.isNull() != db.isNull()
     changed = F.col(bits).bitwiseAND(F.lit(_CHANGED).cast("bigint")) != 0
     verdict = F.when(one_sided | changed, date.DERIVED).when(F.col(bits) != 0, date.REFORMAT)
@@ -186,7 +188,8 @@ def classify_pairs(
     df: DataFrame, input1: str, input2: str, output: str, label: str = "PredClassify"
 ) -> DataFrame:
     """Adds the label and the 39 flag columns. Null inputs are read as empty text."""
-    return expand_flags(classify_bits(df, input1, input2, output, label, "_flag_bits"), "_flag_bits")
+    found = classify_bits(df, input1, input2, output, label, "_flag_bits")
+    return expand_flags(found, "_flag_bits")
 
 
 def count_kinds(df: DataFrame, by: list[str], bits: str = "flag_bits", n: str = "n") -> DataFrame:

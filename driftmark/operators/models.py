@@ -214,7 +214,8 @@ def linear_summary(
 ) -> DataFrame:
     """(item, position, value): coefficients, intercept, fit quality and objective per step."""
     s = model.summary
-    rows = [(f"coefficient {n}", 0, float(c)) for n, c in zip(names, model.coefficients, strict=True)]
+    weights = zip(names, model.coefficients, strict=True)
+    rows = [(f"coefficient {n}", 0, float(c)) for n, c in weights]
     rows += [
         ("intercept", 0, float(model.intercept)),
         ("iterations", 0, float(s.totalIterations)),

@@ -65,7 +65,9 @@ def regression_frame(rollup: DataFrame) -> DataFrame:
     )
 
 
-def asof_in(accounts: DataFrame, dates: Sequence[dt.date], booked_at: str | None = None) -> DataFrame:
+def asof_in(
+    accounts: DataFrame, dates: Sequence[dt.date], booked_at: str | None = None
+) -> DataFrame:
     """Keep the given month-ends.
 
     Where the as-of date is derived from ``booked_at``, the covering range on that raw column

@@ -150,9 +150,10 @@ def best_fit(profile: DataFrame, keys: Sequence[str], p: int, q: int) -> DataFra
     )
     # The grid is fixed, so the list per series is short.
     point = F.struct("theta", "sse", "phi", "n", "bb", "e_last")
+    hundredths = F.round(F.col("theta") * 100).cast("int")
     found = rows.groupBy(*keys).agg(
         F.min_by(point, F.struct("sse", "theta")).alias("best"),
-        F.map_from_entries(F.collect_list(F.struct(F.round(F.col("theta") * 100).cast("int"), "sse"))).alias("curve"),
+        F.map_from_entries(F.collect_list(F.struct(hundredths.alias("at"), "sse"))).alias("curve"),
     )
     at = F.round(F.col("best.theta") * 100).cast("int")
     step = 0.01
@@ -162,6 +163,9 @@ def best_fit(profile: DataFrame, keys: Sequence[str], p: int, q: int) -> DataFra
         - 2 * F.col("best.sse")
     ) / F.lit(step * step)
     sigma2 = F.col("best.sse") / F.col("best.n")
+    unknown = F.lit(None).cast("double")
+    se_phi = F.sqrt(sigma2 / F.nullif(F.col("best.bb"), F.lit(0.0))) if p else unknown
+    se_theta = F.sqrt(2 * sigma2 / F.when(bend > 0, bend)) if q else unknown
     return found.select(
         *keys,
         F.lit(p).alias("p"),
@@ -171,8 +175,8 @@ def best_fit(profile: DataFrame, keys: Sequence[str], p: int, q: int) -> DataFra
         F.col("best.theta").alias("theta"),
         F.col("best.sse").alias("sse"),
         sigma2.alias("sigma2"),
-        (F.sqrt(sigma2 / F.nullif(F.col("best.bb"), F.lit(0.0))) if p else F.lit(None).cast("double")).alias("se_phi"),
-        (F.sqrt(2 * sigma2 / F.when(bend > 0, bend)) if q else F.lit(None).cast("double")).alias("se_theta"),
+        se_phi.alias("se_phi"),
+        se_theta.alias("se_theta"),
         F.col("best.e_last").alias("e_last"),
     )
 
@@ -226,7 +230,9 @@ def z_test(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
     return (
         fits.select(*keys, F.inline(terms))
         .where("used = 1")
-        .select(*keys, "term", "estimate", "std_error", z.alias("z"), two_sided_p(z).alias("p_value"))
+        .select(
+            *keys, "term", "estimate", "std_error", z.alias("z"), two_sided_p(z).alias("p_value")
+        )
     )
 
 
@@ -285,7 +291,9 @@ def last_change(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
 DIFFERENCES = (0, 1, 2)
 
 
-def select_order(df: DataFrame, keys: Sequence[str], x: str = "x", length: int = BLOCK) -> DataFrame:
+def select_order(
+    df: DataFrame, keys: Sequence[str], x: str = "x", length: int = BLOCK
+) -> DataFrame:
     """(keys, p, d, q, phi, theta, sigma2, aicc): the order with the least AICc.
 
     All candidates are judged on the same rows, from position 4 on; with d = 0 the series mean
@@ -321,7 +329,8 @@ def select_order(df: DataFrame, keys: Sequence[str], x: str = "x", length: int =
     best = F.struct("p", "d", "q", "phi", "theta", "sigma2", "aicc")
     return (
         fits.select(*keys, "d", F.inline(candidates))
-        .select(*keys, "p", "d", "q", "fit.phi", "fit.theta", sigma2.alias("sigma2"), aicc.alias("aicc"))
+        .withColumns({"sigma2": sigma2, "aicc": aicc})
+        .select(*keys, "p", "d", "q", "fit.phi", "fit.theta", "sigma2", "aicc")
         .groupBy(*keys)
         .agg(F.min_by(best, F.struct("aicc", "d", "p", "q")).alias("b"))
         .select(*keys, "b.*")

@@ -12,6 +12,8 @@ from driftmark.functions.segments import NO_SEGMENT, as_feature, customer_segmen
 from driftmark.operators import evaluate as E
 from driftmark.operators import features, models, rollup, sampling
 from driftmark.operators.classify import FLAGS, classify_bits, count_kinds
+from driftmark.plans.pairs import FLAG_TEXT
+from driftmark.plans.pairs import ORACLE as PAIR_ORACLE
 from driftmark.plans.views import BALANCES, ROLLUP, SEGMENTED
 from driftmark.sources.files import load_model, save_model
 from driftmark.sources.pair_fixture import pairs
@@ -80,6 +82,20 @@ def _as_prediction(scored):
     return scored.withColumn("prediction", F.col("prediction").cast("double"))
 
 
+def customer_training_table(spark, sf_dir):
+    """What the segment models are fitted on: distinct rows, their index and weight."""
+    cols = (*CUSTOMER_FEATURES, LABEL, INDEX, "is_train", models.WEIGHT)
+    return _customer_table(spark, sf_dir).select(*cols)
+
+
+def pair_training_table(spark, sf_dir):
+    """What the flag models are fitted on, with the flags as text."""
+    flags = F.concat(*(F.col(f).cast("int").cast("string") for f in FLAGS))
+    return _pair_table(spark, sf_dir).select(
+        "label", INDEX, flags.alias("flags"), "is_train", "fold", models.WEIGHT
+    )
+
+
 def kmeans_segments(spark, sf_dir):
     data = _customer_table(spark, sf_dir)
     model = models.fit_kmeans(data.where("is_train"), 6)
@@ -90,7 +106,8 @@ def kmeans_aligned(spark, sf_dir):
     """Confusion of segments with clusters named after their majority segment."""
     data = _customer_table(spark, sf_dir)
     model = models.fit_kmeans(data.where("is_train"), 6)
-    conf = E.confusion(_as_prediction(model.transform(data)), INDEX, "prediction", models.WEIGHT)
+    scored = _as_prediction(model.transform(data))
+    conf = E.confusion(scored, INDEX, "prediction", models.WEIGHT)
     return E.align_clusters(conf)
 
 
@@ -154,7 +171,8 @@ def tree_overall(spark, sf_dir):
 
 
 def tree_cv(spark, sf_dir):
-    return models.tree_complexity(_pair_table(spark, sf_dir), INDEX, (1, 2, 3, 5, 10), "fold", FOLDS)
+    data = _pair_table(spark, sf_dir)
+    return models.tree_complexity(data, INDEX, (1, 2, 3, 5, 10), "fold", FOLDS)
 
 
 def tree_importances(spark, sf_dir):
@@ -239,11 +257,12 @@ def lr_least_squares(spark, sf_dir):
 def model_roundtrip(spark, sf_dir):
     """Rows scored alike by fitted models and by their saved and loaded copies."""
     data = _customer_table(spark, sf_dir)
+    train = data.where("is_train")
     out = None
     for name, model, kind in (
-        ("kmeans", models.fit_kmeans(data.where("is_train"), 6), KMeansModel),
-        ("forest", models.fit_forest(data.where("is_train"), INDEX), RandomForestClassificationModel),
-        ("one_vs_rest", models.fit_one_vs_rest(data.where("is_train"), INDEX), OneVsRestModel),
+        ("kmeans", models.fit_kmeans(train, 6), KMeansModel),
+        ("forest", models.fit_forest(train, INDEX), RandomForestClassificationModel),
+        ("one_vs_rest", models.fit_one_vs_rest(train, INDEX), OneVsRestModel),
     ):
         path = scratch_path(spark, name)
         save_model(model, path)
@@ -261,6 +280,8 @@ def model_roundtrip(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
+        customer_training_table,
+        pair_training_table,
         kmeans_segments,
         kmeans_aligned,
         kmeans_centers,
@@ -292,7 +313,24 @@ _SEGMENT_RANKS = f"""WITH {{segmented}}, c AS (
 i AS (SELECT customer_type,
   CAST(row_number() OVER (ORDER BY n DESC, customer_type) - 1 AS DOUBLE) AS ix FROM c)"""
 
+_UNIT = "CAST('0x' || substr(md5({key} || '|{seed}'), 1, 8) AS BIGINT) / 4294967296.0"
+_ACCOUNT_UNIT = _UNIT.format(key="CAST(loannum AS VARCHAR)", seed=11)
+_PAIR_UNIT = _UNIT.format(key="template || '|' || CAST(pair_key AS VARCHAR)", seed=123)
+
 ORACLE = {
+    "customer_training_table": _SEGMENT_RANKS.format(segmented=SEGMENTED)
+    + f"""SELECT coalesce(CAST(acc_cb_raw_scr_no AS DOUBLE), 0.0) AS fico_score,
+          CAST(acc_pdue_pplint_qt AS DOUBLE) AS delinquency, customer_type, ix AS label_index,
+          {_ACCOUNT_UNIT} < 0.7 AS is_train, CAST(count(*) AS DOUBLE) AS n
+        FROM segmented JOIN i USING (customer_type) GROUP BY ALL""",
+    "pair_training_table": PAIR_ORACLE["pair_rows"].split("SELECT template, pair_key, label, ")[0]
+    + f""", c AS (SELECT label, count(*) AS n FROM classified GROUP BY label),
+        i AS (SELECT label, CAST(row_number() OVER (ORDER BY n DESC, label) - 1 AS DOUBLE) AS ix
+          FROM c)
+        SELECT label, ix AS label_index, {FLAG_TEXT} AS flags, {_PAIR_UNIT} < 0.8 AS is_train,
+          CAST(floor(({_PAIR_UNIT}) * 1000 % {FOLDS}) AS INTEGER) AS fold,
+          CAST(count(*) AS DOUBLE) AS n
+        FROM classified JOIN i USING (label) GROUP BY ALL""",
     "onehot_vectors": _SEGMENT_RANKS.format(segmented=SEGMENTED)
     + "SELECT customer_type, ix AS customer_type_index, "
     + ", ".join(f"CAST(ix = {i} AS DOUBLE) AS is_{i}" for i in range(5))

@@ -170,7 +170,9 @@ PAIRS = "pairs AS (\n  " + "\n  UNION ALL ".join(
         _part("num_other", _SIZE, "''", "CAST(p_size + 1 AS VARCHAR)"),
         _part("unrelated", "p_name", "''", "p_type"),
         _part("to_empty", "p_name", "''", "''"),
-        _orders("dec_trim", f"CAST({_PRICE} AS VARCHAR)", "''", f"CAST({_PRICE} AS VARCHAR) || '0'"),
+        _orders(
+            "dec_trim", f"CAST({_PRICE} AS VARCHAR)", "''", f"CAST({_PRICE} AS VARCHAR) || '0'"
+        ),
         _orders("date_sep", _ISO, "''", "strftime(o_orderdate, '%Y/%m/%d')"),
         _orders("date_order", _ISO, "''", "strftime(o_orderdate, '%m-%d-%Y')"),
         _orders("date_short_year", _ISO, "''", "strftime(o_orderdate, '%y-%m-%d')"),
@@ -388,13 +390,14 @@ _CLASSIFIED += (
     + " FROM done)\n"
 )
 _SIDES = "WITH " + PAIRS + _TEXTS
+FLAG_TEXT = " || ".join(f"CAST(CAST({f} AS INTEGER) AS VARCHAR)" for f in FLAGS)
 
 ORACLE = {
     "pair_labels": _CLASSIFIED
     + "SELECT template, label, count(*) AS n FROM classified GROUP BY ALL",
     "pair_rows": _CLASSIFIED
     + "SELECT template, pair_key, label, "
-    + " || ".join(f"CAST(CAST({f} AS INTEGER) AS VARCHAR)" for f in FLAGS)
+    + FLAG_TEXT
     + " AS flags FROM classified",
     "pair_flags": _CLASSIFIED
     + "SELECT template, "

@@ -71,7 +71,7 @@ def corr_matrix(spark, sf_dir):
 
 def histogram(spark, sf_dir):
     out = P.histogram(_lines(spark, sf_dir), "l_extendedprice", 30)
-    return out.select("bin", rounded(F.col("low"), 4).alias("low"), rounded(F.col("high"), 4).alias("high"), "n")
+    return out.withColumns({c: rounded(F.col(c), 4) for c in ("low", "high")})
 
 
 _BOX = ("q1", "med", "q3", "low", "high", "whisker_low", "whisker_high")

@@ -92,7 +92,8 @@ def log10_frame(spark, sf_dir):
 
 
 def acf_12(spark, sf_dir):
-    return _rounded(A.acf(_stored(segment_series(spark, sf_dir)), SEGMENT, max_lag=MAX_LAG), r=9, band=9)
+    series = _stored(segment_series(spark, sf_dir))
+    return _rounded(A.acf(series, SEGMENT, max_lag=MAX_LAG), r=9, band=9)
 
 
 def acf_diff2(spark, sf_dir):
@@ -225,7 +226,8 @@ def arima_residual_pacf(spark, sf_dir):
 
 
 def arima_select(spark, sf_dir):
-    logs = X.logged(segment_series(spark, sf_dir).withColumn("x", F.col("x") + 1), "x", base10=True)
+    series = segment_series(spark, sf_dir).withColumn("x", F.col("x") + 1)
+    logs = X.logged(series, "x", base10=True)
     out = arima.select_order(_stored(logs), SEGMENT)
     return _rounded(out, phi=6, theta=6, sigma2=8, aicc=4)
 
@@ -378,7 +380,7 @@ parts AS (SELECT tr.k, t, x, trend, seasonal, x - trend - seasonal AS remainder
   FROM tr JOIN se USING (k, cycle))"""
 
 
-_PARTS = f"{_r('trend', 'trend', 6)}, {_r('seasonal', 'seasonal', 6)}, {_r('remainder', 'remainder', 6)}"
+_PARTS = ", ".join(_r(c, c, 6) for c in ("trend", "seasonal", "remainder"))
 _W = f"(1 - (abs(b.t - a.t) / {SMOOTH_HALF + 1}.0::DOUBLE) ** 3) ** 3"
 
 

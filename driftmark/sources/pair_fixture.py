@@ -35,7 +35,9 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, brand, kind = F.col("p_name"), F.col("p_brand"), F.col("p_type")
     size = F.col("p_size").cast("string")
     from_part = _packed(
-        read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"),
+        read_table(spark, sf_dir, "part").select(
+            "p_partkey", "p_name", "p_brand", "p_type", "p_size"
+        ),
         "p_partkey",
         [
             _pair("same", name, none, name),
@@ -58,10 +60,17 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice"),
         "o_orderkey",
         [
-            _pair("dec_trim", price.cast("string"), none, price.cast("decimal(19,3)").cast("string")),
+            _pair(
+                "dec_trim",
+                price.cast("string"),
+                none,
+                price.cast("decimal(19,3)").cast("string"),
+            ),
             _pair("date_sep", iso, none, F.concat_ws("/", yyyy, mm, dd)),
             _pair("date_order", iso, none, F.concat_ws("-", mm, dd, yyyy)),
-            _pair("date_short_year", iso, none, F.concat_ws("-", F.right(yyyy, F.lit(2)), mm, dd)),
+            _pair(
+                "date_short_year", iso, none, F.concat_ws("-", F.right(yyyy, F.lit(2)), mm, dd)
+            ),
             _pair(
                 "date_unpadded",
                 iso,
@@ -94,7 +103,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "c_custkey",
         [
             _pair("blanks", customer, none, F.concat(F.lit("  "), customer, F.lit(" "))),
-            _pair("mask", customer, none, F.concat(F.lit("XXXX"), F.substring(customer, 5, 1000))),
+            _pair("mask", customer, none, F.concat(F.lit("XXXX"), F.substr(customer, F.lit(5)))),
         ],
     )
     packed = from_part.unionAll(from_orders).unionAll(from_customer)
