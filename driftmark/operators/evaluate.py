@@ -146,13 +146,8 @@ def overall_table(conf: DataFrame, z: float = 1.959963984540054) -> DataFrame:
 def align_clusters(conf: DataFrame) -> DataFrame:
     """Relabel clusters by the majority actual label among their rows (ties: smallest label)."""
     w = Window.partitionBy("predicted").orderBy(F.desc("n"), "actual")
-    best = conf.withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    names = best.select("predicted", F.col("actual").alias("aligned"))
-    return (
-        conf.join(names, "predicted")
-        .groupBy("actual", F.col("aligned").alias("predicted"))
-        .agg(F.sum("n").alias("n"))
-    )
+    named = conf.withColumn("_name", F.first("actual").over(w))
+    return named.groupBy("actual", F.col("_name").alias("predicted")).agg(F.sum("n").alias("n"))
 
 
 def regression_metrics(df: DataFrame, actual: str, predicted: str, *keys: str) -> DataFrame:

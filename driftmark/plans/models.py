@@ -135,8 +135,9 @@ def ovr_segments(spark, sf_dir):
 
 
 def mlp_segments(spark, sf_dir):
-    """The perceptron takes no weights, so it is fitted on the rows."""
-    rows = _customers(spark, sf_dir)
+    """The perceptron takes no weights, so it is fitted on the rows: four narrow columns, stored,
+    because indexing, fitting and judging each read them."""
+    rows = materialize(_customers(spark, sf_dir), "customer-rows")
     fitted = features.index_and_encode(rows, LABEL)
     data = features.assemble(fitted.transform(rows), CUSTOMER_FEATURES)
     model = models.fit_perceptron(data.where("is_train"), f"{LABEL}_index")

@@ -22,8 +22,7 @@ SMOOTH_HALF = 6
 
 
 def _stored(df):
-    """Series are small next to the tables they come from; operators that pass over them several
-    times read a stored copy, so the tables are scanned once."""
+    """Operators of many passes, or of several jobs, read a stored copy of the series."""
     return materialize(df, "series")
 
 
@@ -47,9 +46,7 @@ def series_position(spark, sf_dir):
 
 
 def series_head_tail(spark, sf_dir):
-    head, tail = index.head_tail(
-        _stored(segment_series(spark, sf_dir)), SEGMENT, TAIL
-    )
+    head, tail = index.head_tail(segment_series(spark, sf_dir), SEGMENT, TAIL)
     cols = ["mktsegment", "t", "x"]
     return head.select(*cols, F.lit("head").alias("part")).unionAll(
         tail.select(*cols, F.lit("tail").alias("part"))
@@ -58,7 +55,7 @@ def series_head_tail(spark, sf_dir):
 
 def series_split_at(spark, sf_dir):
     """Fifteen months to learn from, the months after them to judge by."""
-    series = _stored(segment_series(spark, sf_dir).select("mktsegment", "t", "x"))
+    series = segment_series(spark, sf_dir).select("mktsegment", "t", "x")
     head, rest = index.split_at(series, 15)
     return head.withColumn("part", F.lit("head")).unionAll(rest.withColumn("part", F.lit("rest")))
 
@@ -92,17 +89,16 @@ def log10_frame(spark, sf_dir):
 
 
 def acf_12(spark, sf_dir):
-    series = _stored(segment_series(spark, sf_dir))
-    return _rounded(A.acf(series, SEGMENT, max_lag=MAX_LAG), r=9, band=9)
+    return _rounded(A.acf(segment_series(spark, sf_dir), SEGMENT, max_lag=MAX_LAG), r=9, band=9)
 
 
 def acf_diff2(spark, sf_dir):
-    twice = X.diff(_stored(segment_series(spark, sf_dir)), SEGMENT, times=2)
+    twice = X.diff(segment_series(spark, sf_dir), SEGMENT, times=2)
     return _rounded(A.acf(twice, SEGMENT, "d", MAX_LAG), r=9, band=9)
 
 
 def pacf_12(spark, sf_dir):
-    out = A.pacf(A.acf(_stored(segment_series(spark, sf_dir)), SEGMENT, max_lag=MAX_LAG), SEGMENT)
+    out = A.pacf(A.acf(segment_series(spark, sf_dir), SEGMENT, max_lag=MAX_LAG), SEGMENT)
     return _rounded(out, r=9, partial=9)
 
 
@@ -125,13 +121,13 @@ def ols_predict(spark, sf_dir):
 
 
 def decompose_additive(spark, sf_dir):
-    out = D.decompose_additive(_stored(segment_series(spark, sf_dir)), SEGMENT, 12)
+    out = D.decompose_additive(segment_series(spark, sf_dir), SEGMENT, 12)
     cols = ("trend", "seasonal", "remainder")
     return _rounded(out.select("mktsegment", "t", "x", *cols), trend=6, seasonal=6, remainder=6)
 
 
 def decompose_weekly(spark, sf_dir):
-    out = D.decompose_additive(_stored(event_series(spark, sf_dir)), EVENT, 7)
+    out = D.decompose_additive(event_series(spark, sf_dir), EVENT, 7)
     cols = ("trend", "seasonal", "remainder")
     return _rounded(out.select("event_type", "t", "x", *cols), trend=6, seasonal=6, remainder=6)
 
@@ -149,7 +145,7 @@ def season_trend(spark, sf_dir):
 
 def series_residual_check(spark, sf_dir):
     """Largest distance between x and the sum of its components."""
-    out = D.decompose_additive(_stored(segment_series(spark, sf_dir)), SEGMENT, 12)
+    out = D.decompose_additive(segment_series(spark, sf_dir), SEGMENT, 12)
     gap = F.abs(F.col("x") - F.col("trend") - F.col("seasonal") - F.col("remainder"))
     return out.groupBy("mktsegment").agg(
         F.count("remainder").alias("n"), rounded(F.max(gap), 6).alias("gap")

@@ -1,4 +1,9 @@
-"""Series derived from the warehouse tables."""
+"""Series derived from the warehouse tables.
+
+A roll-up is small next to the tables it comes from and is read several times (first for the
+calendar of each series, then for the values), so it is written once: the tables are scanned and
+joined a single time whatever is done with the series.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmark.operators.series.index import regular_series
+from driftmark.sources.scratch import materialize
 from driftmark.sources.tables import account_balances, customer_scores, read_table
 
 SEGMENT = ["mktsegment"]
@@ -29,9 +35,8 @@ def segment_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segment_series(spark: SparkSession, sf_dir: str, fill: float | None = 0.0) -> DataFrame:
     """Accounts per market segment and month."""
-    return regular_series(
-        segment_months(spark, sf_dir), SEGMENT, "asofdate", "accounts", "month", 12, fill
-    )
+    months = materialize(segment_months(spark, sf_dir), "segment-months")
+    return regular_series(months, SEGMENT, "asofdate", "accounts", "month", 12, fill)
 
 
 def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,4 +46,5 @@ def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("event_type", F.col("ts").cast("date").alias("day"))
         .agg(F.max("value").alias("peak"))
     )
+    daily = materialize(daily, "event-days")
     return regular_series(daily, EVENT, "day", "peak", "day", 7)
