@@ -73,8 +73,10 @@ def fit_forest(
     bins: int = 32,
     weight: str | None = WEIGHT,
 ) -> RandomForestClassificationModel:
-    """With weights there is no bootstrap: resampling a large number of equal rows would leave
-    their share as it is. Trees then differ by the features drawn at each node."""
+    """With weights there is no bootstrap: resampling a large number of equal rows leaves their
+    share as it is, so this is the limit the row-wise forest tends to. Trees then differ only by
+    the features drawn at each node; with two features, where all are drawn, they are equal.
+    ``weight=None`` fits on rows with the usual bootstrap."""
     forest = RandomForestClassifier(
         labelCol=label,
         featuresCol="features",

@@ -128,6 +128,22 @@ def rf_segments(spark, sf_dir):
     return _judged(model.transform(data))
 
 
+def _customer_rows(spark, sf_dir):
+    """Indexed rows for fits that cannot use weights: a few narrow columns, stored, because
+    indexing, fitting and judging each read them."""
+    rows = materialize(_customers(spark, sf_dir), "customer-rows")
+    fitted = features.index_and_encode(rows, LABEL)
+    data = features.assemble(fitted.transform(rows), CUSTOMER_FEATURES)
+    return data.withColumn(models.WEIGHT, F.lit(1.0))
+
+
+def rf_segments_rows(spark, sf_dir):
+    """The forest on rows, each tree on a bootstrap sample."""
+    data = _customer_rows(spark, sf_dir)
+    model = models.fit_forest(data.where("is_train"), f"{LABEL}_index", weight=None)
+    return _judged(model.transform(data), f"{LABEL}_index")
+
+
 def ovr_segments(spark, sf_dir):
     data = _customer_table(spark, sf_dir)
     model = models.fit_one_vs_rest(data.where("is_train"), INDEX)
@@ -135,14 +151,10 @@ def ovr_segments(spark, sf_dir):
 
 
 def mlp_segments(spark, sf_dir):
-    """The perceptron takes no weights, so it is fitted on the rows: four narrow columns, stored,
-    because indexing, fitting and judging each read them."""
-    rows = materialize(_customers(spark, sf_dir), "customer-rows")
-    fitted = features.index_and_encode(rows, LABEL)
-    data = features.assemble(fitted.transform(rows), CUSTOMER_FEATURES)
+    """The perceptron takes no weights, so it is fitted on the rows."""
+    data = _customer_rows(spark, sf_dir)
     model = models.fit_perceptron(data.where("is_train"), f"{LABEL}_index")
-    scored = model.transform(data).withColumn("n", F.lit(1.0))
-    return _judged(scored, f"{LABEL}_index")
+    return _judged(model.transform(data), f"{LABEL}_index")
 
 
 def onehot_vectors(spark, sf_dir):
@@ -288,6 +300,7 @@ QUERIES = {
         kmeans_centers,
         kmeans_pairs,
         rf_segments,
+        rf_segments_rows,
         ovr_segments,
         mlp_segments,
         onehot_vectors,
