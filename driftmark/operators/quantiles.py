@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftmark.sources.scratch import materialize
@@ -23,77 +23,78 @@ def exact_quantiles(
     probs: Sequence[float],
     names: Sequence[str],
     accuracy: int = ACCURACY,
+    margin: float | None = None,
 ) -> DataFrame:
     """(keys, n, names...): quantiles with linear interpolation between neighbours.
 
     1. A mergeable sketch per group gives two fences around each quantile.
-    2. Rows are counted per slot between fences, so the slot that holds each wanted rank is
-       known exactly.
-    3. Only the values of those slots are shuffled and put in order; such a slot holds about
-       4 / accuracy of its group. A poor sketch makes a slot larger, never the result wrong.
+    2. One more pass counts the rows: per value between the two fences of a quantile, and in one
+       lump per stretch everywhere else. What is shuffled is about 4 / accuracy of a group.
+    3. In order, the values and lumps give every value its exact ranks.
 
-    The fences are written to the scratch folder first: steps 2 and 3 read them separately and
-    must see the same ones.
+    If a rank should fall inside a lump, the sketch was off: the fences are then set twice as far
+    apart, at last around everything. The fences are written to the scratch folder, so that all
+    tasks of the second pass, repeated ones too, see the same.
     """
     by = list(keys)
+    spread = 2.0 / accuracy if margin is None else margin
+    fence_probs = [_clip(p + side * spread) for p in probs for side in (-1, 1)]
     data = df.where(F.col(x).isNotNull())
-    margin = 2.0 / accuracy
-    marks = sorted({_clip(p + s * margin) for p in probs for s in (-1, 1)})
     fences = materialize(
         data.groupBy(*by).agg(
             F.count(F.lit(1)).alias("n"),
-            F.percentile_approx(F.col(x).cast("double"), marks, accuracy).alias("_fence"),
+            F.percentile_approx(F.col(x).cast("double"), fence_probs, accuracy).alias("_fence"),
         ),
         "fences",
     )
-    slot: Column = F.lit(0)
-    for i in range(len(marks)):
-        slot = slot + F.when(F.col("_x") > F.col("_fence")[i], 1).otherwise(0)
+    value, stretch, kept = F.col("_x"), F.lit(0), F.lit(False)
+    for i in range(0, len(fence_probs), 2):
+        low, high = F.col("_fence")[i], F.col("_fence")[i + 1]
+        kept = kept | value.between(low, high)
+        stretch = stretch + F.when(value > low, 1).otherwise(0)
+        stretch = stretch + F.when(value > high, 1).otherwise(0)
     values = data.select(*by, F.col(x).cast("double").alias("_x"))
-    slotted = join_on(values, fences, by).select(*by, "n", "_x", slot.alias("_slot"))
-
-    # At most one row per fence and group.
-    sizes = slotted.groupBy(*by, "_slot").agg(
-        F.count(F.lit(1)).alias("_size"), F.max("n").alias("n")
-    )
-    earlier = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
-    wanted = F.lit(False)
-    ranks = []
-    for p in probs:
-        h = (F.col("n") - 1) * F.lit(float(p))
-        low = F.floor(h)
-        ranks.append((low + 1, F.least(low + 2, F.col("n")), h - low))
-        for r in ranks[-1][:2]:
-            wanted = wanted | ((F.col("_before") < r) & (r <= F.col("_before") + F.col("_size")))
-    offsets = offsets.where(wanted).drop("n", "_size")
-
-    inside = Window.partitionBy(*by, "_slot").orderBy("_x")
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    counted = (
-        slotted.join(offsets, [*by, "_slot"])
-        .groupBy(*by, "_slot", "_x")
+    items = (
+        join_on(values, fences, by)
+        .select(*by, "n", "_x", stretch.alias("_stretch"), F.when(kept, value).alias("_kept"))
+        .groupBy(*by, "_stretch", "_kept")
         .agg(
             F.count(F.lit(1)).alias("_c"),
+            F.min("_x").alias("_at"),
+            F.max("_x").alias("_top"),
             F.max("n").alias("n"),
-            F.max("_before").alias("_before"),
         )
     )
-    ranked = counted.withColumn("_last", F.col("_before") + F.sum("_c").over(upto)).withColumn(
+    upto = Window.partitionBy(*by).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = items.withColumn("_last", F.sum("_c").over(upto)).withColumn(
         "_first", F.col("_last") - F.col("_c") + 1
     )
-    picks = [F.max("n").alias("n")]
-    for i, (low, high, _) in enumerate(ranks):
-        for side, r in (("l", low), ("h", high)):
-            hit = (F.col("_first") <= r) & (r <= F.col("_last"))
-            picks.append(F.max(F.when(hit, F.col("_x"))).alias(f"_{side}{i}"))
-    picked = ranked.groupBy(*by).agg(*picks)
+    picks, parts = [F.max("n").alias("n")], []
+    for i, p in enumerate(probs):
+        h = (F.col("n") - 1) * F.lit(float(p))
+        lower = F.floor(h) + 1
+        parts.append(h - F.floor(h))
+        for side, rank in (("l", lower), ("h", F.least(lower + 1, F.col("n")))):
+            # Of a lump the ends are known: a neighbour just outside the fences is one of them.
+            value_there = (
+                F.when(rank == F.col("_first"), F.col("_at"))
+                .when(rank == F.col("_last"), F.col("_top"))
+                .when((F.col("_first") < rank) & (rank < F.col("_last")), F.col("_kept"))
+            )
+            picks.append(F.max(value_there).alias(f"_{side}{i}"))
+    picked = materialize(ranked.groupBy(*by).agg(*picks).where("n > 0"), "quantiles")
+    found = [F.col(f"_{side}{i}") for i in range(len(parts)) for side in "lh"]
+    lost = F.lit(False)
+    for c in found:
+        lost = lost | c.isNull()
+    if spread < 1.0 and not picked.where(lost).isEmpty():
+        return exact_quantiles(df, keys, x, probs, names, accuracy, 2 * spread)
     return picked.select(
         *keys,
         "n",
         *(
             (F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * part).alias(name)
-            for i, ((_, _, part), name) in enumerate(zip(ranks, names, strict=True))
+            for i, (part, name) in enumerate(zip(parts, names, strict=True))
         ),
     )
 

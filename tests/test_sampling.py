@@ -83,6 +83,14 @@ def test_quantiles_are_exact_even_with_a_poor_sketch(skewed, accuracy):
     assert whole.m == pytest.approx(np.quantile(data.x, 0.5))
 
 
+def test_quantiles_widen_their_fences_until_found(skewed):
+    """Fences far closer than the error of the sketch miss at first."""
+    got = quantiles.exact_quantiles(skewed, ["k"], "x", (0.3, 0.6), ("a", "b"), 20, margin=1e-3)
+    data = skewed.toPandas()
+    for r in got.collect():
+        assert (r.a, r.b) == pytest.approx(tuple(np.quantile(data[data.k == r.k].x, (0.3, 0.6))))
+
+
 def test_quantiles_of_equal_and_missing_values(spark):
     df = spark.createDataFrame([("a", 1.0)] * 50 + [("a", None), ("b", None), ("c", 4.0)], "k string, x double")
     rows = quantiles.exact_quantiles(df, ["k"], "x", (0.25, 0.5), ("q", "m")).collect()
