@@ -67,10 +67,6 @@ LAYOUTS = {
 
 REFORMAT, DERIVED = "datereformat", "derived"
 CHANGES = ("YYYYChng", "YYChng", "MMChng", "DDChng", "HrChng", "MinChng", "SecChng")
-FORMATS = (
-    "YYYYFrmtChng", "YYFrmtChng", "MMFrmtChng", "DDFrmtChng", "DelimFrmtChng", "HrFrmtChng",
-    "MinFrmtChng", "SecFrmtChng", "DateFrmtChng",
-)
 
 
 def _may_be_date(s: Column) -> Column:

@@ -51,11 +51,6 @@ def ordered_series(
     return with_position(df, keys, order, bucket, "t")
 
 
-def series_stats(df: DataFrame, keys: Sequence[str], x: str = "x") -> DataFrame:
-    """Length and mean per series."""
-    return df.groupBy(*keys).agg(F.max("t").alias("n"), F.avg(x).alias("mean"))
-
-
 def head_tail(df: DataFrame, keys: Sequence[str], tail: int) -> tuple[DataFrame, DataFrame]:
     """All rows but the last ``tail`` of each series, and those last rows."""
     sized = df.join(df.groupBy(*keys).agg(F.max("t").alias("_n")), list(keys))
