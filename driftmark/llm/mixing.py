@@ -243,7 +243,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of ``docs``.
 
-    A pass that takes a document in part leaves its first words, with the white space between them.
+    A pass that takes a document in part leaves its first words, with the white space between
+    them; ``n_chars`` then follows the text.
     """
     columns = docs.columns
     rows = docs.select(F.struct(*columns).alias("row"))
@@ -271,9 +272,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         F.when(last.isNotNull(), F.array(last)).otherwise(F.array().cast("array<string>")),
     )
     opened = joined.select("row", F.explode(texts).alias("taken_text"))
-    return opened.select(
-        *(
-            F.col("taken_text").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c)
-            for c in columns
-        )
-    )
+    whole = F.col("taken_text") == F.col("row.text")
+    n_chars = F.length("taken_text").cast("long")
+    changed = {"text": F.col("taken_text")}
+    if "n_chars" in columns:
+        changed["n_chars"] = F.when(whole, F.col("row.n_chars")).otherwise(n_chars)
+    return opened.select(*(changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftmark.llm import mixing
+from driftmark.llm import mixing, secrets
 from driftmark.sources.tables import read_table
 
 
@@ -51,10 +51,55 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
+def op10_secret_scan(spark, sf_dir):
+    return secrets.secret_report(read_table(spark, sf_dir, "documents"))
+
+
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _kind_sql(kind: int, pattern: str, keep: str = "TRUE") -> str:
+    """Matches of one kind: (rid, kind, s, e), positions from the lengths of pieces and matches."""
+    return f"""
+  SELECT rid, {kind} AS kind, s, s + length(m[i]) AS e FROM (
+    SELECT rid, i, m, v, (list_sum(list_transform(p[1:i], lambda x: length(x)))
+           + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::BIGINT AS s
+    FROM (SELECT rid, m, v, p, unnest(range(1, len(m) + 1)) AS i FROM (
+      SELECT rid, regexp_extract_all(t, {_sql(pattern)}) AS m, string_split_regex(t, {_sql(pattern)}) AS p,
+             regexp_extract_all(t, {_sql(pattern)}, {2 if "(" in pattern else 0}) AS v
+      FROM d WHERE regexp_matches(t, {_sql(pattern)})))) WHERE {keep}"""
+
+
+OP10_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+parts AS ({" UNION ALL ".join([
+    _kind_sql(0, secrets.ASSIGN, f"length(v[i]) >= {secrets.SHORTEST_ASSIGNED}"),
+    _kind_sql(1, secrets.ACCESS), _kind_sql(2, secrets.HEX), _kind_sql(3, secrets.IDENTIFIER),
+    _kind_sql(4, secrets.MIXED), _kind_sql(5, secrets.ENDPOINT)])}),
+free AS (SELECT * FROM parts a WHERE kind < 3 OR NOT EXISTS (
+  SELECT 1 FROM parts b WHERE b.rid = a.rid AND b.kind < 3 AND a.s < b.e AND b.s < a.e)),
+shown AS (SELECT *, kind < 3 AS own,
+  EXISTS (SELECT 1 FROM free b WHERE b.rid = a.rid AND b.kind IN (1, 3) AND a.s - 200 < b.e AND b.s < a.e + 200) AS near_id,
+  EXISTS (SELECT 1 FROM free b WHERE b.rid = a.rid AND b.kind IN (0, 2, 4) AND a.s - 200 < b.e AND b.s < a.e + 200) AS near_secret
+  FROM free a),
+told AS (SELECT rid, kind, s, e, ['assign', 'access', 'hex', 'identifier', 'mixed', 'endpoint'][kind + 1]
+                || ':' || s || ':' || e AS name FROM shown
+  WHERE own OR (kind = 3 AND near_secret) OR (kind = 4 AND near_id) OR (kind = 5 AND near_id AND near_secret)),
+g AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
+      count(*) FILTER (kind = 2) AS n_hex, string_agg(name, ',' ORDER BY s, kind) FILTER (kind < 3) AS base,
+      string_agg(name, ',' ORDER BY s, kind) AS spans FROM told GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (rid)
+"""
+
 QUERIES = {
+    "op10_secret_scan": op10_secret_scan,
     "op8_mix_sources": op8_mix_sources,
 }
 
 ORACLE = {
+    "op10_secret_scan": OP10_SQL,
     "op8_mix_sources": OP8_SQL,
 }

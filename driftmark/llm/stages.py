@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from driftmark.llm import mixing
+from driftmark.llm import mixing, secrets
 
 
 def mixed(spark, docs, sf_dir):
     """Documents as often as the mix takes them."""
     return mixing.mixed_documents(docs)
+
+
+def masked(spark, docs, sf_dir):
+    """Documents with what the secret scan reports masked."""
+    return secrets.masked_documents(docs)
