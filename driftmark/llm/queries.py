@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from driftmark.llm import mixing, secrets
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from driftmark.llm import bpe, mixing, secrets
 from driftmark.sources.tables import read_table
 
 
@@ -94,7 +97,26 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN g USING (rid)
 """
 
+def encoded_digests(spark, docs, path):
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text."""
+    ranks = bpe.read_ranks(path)
+    ids = bpe.encode(spark, docs, ranks, public_tokenizers.PATTERN)
+    pieces = bpe.piece_table(ranks)
+    return ids.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(F.col("ids"), pieces), 256).alias("decoded_sha256"),
+    )
+
+
+def op6_byte_bpe(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return encoded_digests(spark, read_table(spark, sf_dir, "documents"), path)
+
+
 QUERIES = {
+    "op6_byte_bpe": op6_byte_bpe,
     "op10_secret_scan": op10_secret_scan,
     "op8_mix_sources": op8_mix_sources,
 }
