@@ -3,3 +3,10 @@
 One module per operator; ``queries`` registers a query per operator and ``stages`` holds the
 functions of the corpus pipeline. Nothing outside this package imports it.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to workers take their helpers along, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

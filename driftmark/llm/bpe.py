@@ -18,7 +18,6 @@ import heapq
 import json
 import zlib
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +25,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftmark.llm.batches import slices
+
 BUCKETS = 1 << 14
-FREQUENT = 1 << 18
+FREQUENT = 1 << 19
 LONG_WORD = 128
 SLICE_BYTES = 4 << 20
+#: More than any array of pieces is long.
+REST = 1 << 30
 
 # Fixed value: the pattern that goes with the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -66,7 +69,12 @@ def rank_of(piece: Column, buckets: Column) -> Column:
 def fold_merges(word: Column, buckets: Column) -> Column:
     """Ids of one word: again and again the leftmost neighbours of the lowest rank become one."""
     # As the argument of a function the literal is held once, however often it is looked up.
-    return F.get(F.transform(F.array(buckets), lambda b: _folded(word, b)), 0)
+    return _let(buckets, lambda b: _folded(word, b))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of the value, which is evaluated once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def _folded(word: Column, buckets: Column) -> Column:
@@ -78,40 +86,45 @@ def _folded(word: Column, buckets: Column) -> Column:
             lambda i: rank_of(F.concat(F.get(pieces, i - 1), F.get(pieces, i)), buckets),
         )
 
-    # Only the two ranks beside a merge change, so the state carries them along.
+    # Only the two ranks beside a merge change, so the state carries them along, with the place
+    # of the lowest (0: nothing left to merge). Values used more than once are bound to a name,
+    # as expressions inside a function are evaluated each time they are written.
     def state(pieces, ranks):
-        return F.struct(pieces.alias("pieces"), ranks.alias("ranks"))
-
-    def ranked(left, right):
-        return F.when(
-            left.isNotNull() & right.isNotNull(),
-            F.array(rank_of(F.concat(left, right), buckets)),
-        ).otherwise(F.array().cast("array<int>"))
-
-    def merge(now, at):
-        pieces, ranks = now["pieces"], now["ranks"]
-        joined = F.concat(F.get(pieces, at), F.get(pieces, at + 1))
-        before = F.when(at > 0, F.get(pieces, at - 1))
-        after = F.get(pieces, at + 2)
-        return state(
-            F.concat(
-                F.slice(pieces, 1, at),
-                F.array(joined),
-                F.slice(pieces, at + 3, F.greatest(F.size(pieces) - at - 2, F.lit(0))),
-            ),
-            F.concat(
-                F.slice(ranks, 1, F.greatest(at - 1, F.lit(0))),
-                ranked(before, joined),
-                ranked(joined, after),
-                F.slice(ranks, at + 3, F.greatest(F.size(ranks) - at - 2, F.lit(0))),
+        return _let(
+            ranks,
+            lambda r: F.struct(
+                pieces.alias("pieces"),
+                r.alias("ranks"),
+                F.coalesce(F.array_position(r, F.array_min(r)), F.lit(0)).cast("int").alias("at"),
             ),
         )
 
+    def merge(now):
+        pieces, ranks, at = now["pieces"], now["ranks"], now["at"]
+
+        def around(joined):
+            left = F.when(
+                at > 1, F.array(rank_of(F.concat(F.get(pieces, at - 2), joined), buckets))
+            ).otherwise(none)
+            right = F.when(
+                at < F.size(ranks), F.array(rank_of(F.concat(joined, F.get(pieces, at + 1)), buckets))
+            ).otherwise(none)
+            return state(
+                F.concat(F.slice(pieces, 1, at - 1), F.array(joined), F.slice(pieces, at + 2, REST)),
+                F.concat(
+                    F.slice(ranks, 1, F.greatest(at - 2, F.lit(0))),
+                    left,
+                    right,
+                    F.slice(ranks, at + 2, REST),
+                ),
+            )
+
+        return _let(F.concat(F.get(pieces, at - 1), F.get(pieces, at)), around)
+
     def step(now, _):
-        lowest = F.array_min(now["ranks"])
-        at = (F.array_position(now["ranks"], lowest) - 1).cast("int")
-        return F.when(lowest.isNull(), now).otherwise(merge(now, at))
+        return F.when(now["at"] == 0, now).otherwise(merge(now))
 
+    none = F.array().cast("array<int>")
     many = F.size(pieces) > 1
     rounds = F.sequence(F.lit(1), F.size(pieces) - 1)
     folded = F.aggregate(
@@ -150,16 +163,6 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in piece if p]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that the column holds few MB (or a single row)."""
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
-        group = (np.cumsum(sizes, dtype=np.int64) - sizes) // SLICE_BYTES
-        cuts = np.flatnonzero(np.diff(group, prepend=-1))
-        for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
-            yield batch.slice(a, b - a)
-
-
 def count_words(docs: DataFrame, pattern: str = PATTERN) -> DataFrame:
     """(word, n) over all texts, for words up to ``LONG_WORD`` bytes."""
 
@@ -167,7 +170,7 @@ def count_words(docs: DataFrame, pattern: str = PATTERN) -> DataFrame:
         import regex
 
         find = regex.compile(pattern).findall
-        for batch in _slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             words: Counter[str] = Counter()
             for text in batch.column("text").to_pylist():
                 words.update(find(text or ""))
@@ -189,15 +192,18 @@ def _bytes_as_text(word: Column) -> Column:
 
 def frequent_words(
     docs: DataFrame, buckets: Column, pattern: str = PATTERN, most: int = FREQUENT
-) -> dict[str, list[int]]:
-    """Ids of the words used most; at most ``most`` of them reach the driver."""
+) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words used most, the numbers of their ids, and the ids in a row; at most ``most`` words
+    of at most ``LONG_WORD`` bytes reach the driver."""
     top = count_words(docs, pattern).orderBy(F.col("n").desc(), "word").limit(most)
     parts = docs.sparkSession.sparkContext.defaultParallelism * 4
     folded = top.repartition(parts, "word").select(
         "word", fold_merges(_bytes_as_text(F.col("word")), buckets).alias("ids")
     )
-    table = folded.toArrow()
-    return dict(zip(table["word"].to_pylist(), table["ids"].to_pylist(), strict=True))
+    table = folded.toArrow().combine_chunks()
+    ids = table["ids"]
+    lengths = pc.list_value_length(ids).to_numpy().astype(np.int32)
+    return table["word"].to_pylist(), lengths, pc.list_flatten(ids).to_numpy().astype(np.int32)
 
 
 def encode(
@@ -214,11 +220,7 @@ def encode(
     repeated ids are rows like any other.
     """
     buckets = rank_buckets(ranks)
-    known = frequent_words(docs, buckets, pattern, most)
-    words = list(known)
-    lengths = np.fromiter((len(known[w]) for w in words), np.int32, len(words))
-    flat = np.fromiter((i for w in words for i in known[w]), np.int32, int(lengths.sum()))
-    shared = spark.sparkContext.broadcast((words, lengths, flat))
+    shared = spark.sparkContext.broadcast(frequent_words(docs, buckets, pattern, most))
     all_ranks = spark.sparkContext.broadcast(ranks)
 
     def look_up(batches):
@@ -227,7 +229,7 @@ def encode(
 
         find = regex.compile(pattern).findall
         place = {w: i for i, w in enumerate(shared.value[0])}
-        for batch in _slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             codes, unknown, ends = [], [], [0]
             for text in batch.column("text").to_pylist():
                 own: dict[str, int] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from driftmark.llm import bpe, mixing, secrets
+from driftmark.llm import bpe, langid, mixing, quality, secrets
 from driftmark.sources.tables import read_table
 
 
@@ -115,7 +115,34 @@ def op6_byte_bpe(spark, sf_dir):
     return encoded_digests(spark, read_table(spark, sf_dir, "documents"), path)
 
 
+def held_out(fold: int, folds: int):
+    """Whether the row belongs to the fold that nothing is learnt from; a null id never does."""
+    left = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds))
+    return F.coalesce(left == fold, F.lit(False))
+
+
+def op3_compression_quality(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality.fit(docs, read_table(spark, sf_dir, "labels"), ~held_out(0, 5))
+    return quality.score(docs, model).select(
+        "doc_id",
+        held_out(0, 5).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def op9_crf_language(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    model = langid.fit(docs, ~held_out(2, 4))
+    return langid.predict(docs, model).select(
+        "doc_id", held_out(2, 4).alias("held_out"), "lang_pred", "score"
+    )
+
+
 QUERIES = {
+    "op3_compression_quality": op3_compression_quality,
+    "op9_crf_language": op9_crf_language,
     "op6_byte_bpe": op6_byte_bpe,
     "op10_secret_scan": op10_secret_scan,
     "op8_mix_sources": op8_mix_sources,
