@@ -12,7 +12,6 @@ is labelled, in chains of ``CHAIN`` words.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -30,6 +29,9 @@ FRAGMENT = 32
 FRAGMENTS_PER_DOC = 4
 CHAIN = 128
 FEATURE_BITS = 17
+#: Lengths of the character n-grams, and an odd number that scatters their hashes.
+GRAMS = (2, 3, 4)
+MIX = np.uint64(0x9E3779B97F4A7C15)
 EPOCHS = 4
 SLICE_BYTES = 2 << 20
 KNOWN_WORDS = 300_000
@@ -45,28 +47,46 @@ class Model:
     lexicon: dict[str, int]
 
 
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Hashed affixes and n-grams of a word, and what the lexicon knows of it."""
-    mask = (1 << FEATURE_BITS) - 1
-    marked = f"^{word}$"
-    names = [f"p{word[:k]}" for k in (2, 3) if len(word) > k]
-    names += [f"s{word[-k:]}" for k in (1, 2, 3) if len(word) > k]
-    names += [marked[i : i + k] for k in (2, 3, 4) for i in range(len(marked) - k + 1)][:96]
-    names.append(marked)
-    if word in lexicon:
-        names.append(f"lexicon {lexicon[word]}")
-    return [zlib.crc32(n.encode()) & mask for n in names]
+def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers of the words in a row, and how many each word has.
+
+    They are hashes of the n-grams of the word between boundary marks (those with a mark are its
+    affixes), of the whole word, and of what the lexicon knows of it.
+    """
+    marked = "".join(f"^{w}$" for w in words)
+    points = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+    owner = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(points))
+    owners, hashes = [], []
+    rolled = np.zeros(len(points), np.uint64)
+    for n in range(1, max(GRAMS) + 1):
+        rolled = rolled[: len(points) - n + 1] * MIX + points[n - 1 :]
+        if n in GRAMS:
+            inside = left[: len(rolled)] >= n
+            owners.append(owner[: len(rolled)][inside])
+            hashes.append(rolled[inside] + np.uint64(n))
+    starts = np.cumsum(sizes) - sizes
+    spread = points * (np.arange(len(points)) - starts[owner] + 1).astype(np.uint64) * MIX
+    spread ^= spread >> np.uint64(29)
+    owners.append(np.arange(len(words)))
+    hashes.append(np.add.reduceat(spread * MIX, starts))
+    known = np.fromiter((lexicon.get(w, -1) for w in words), np.int64, len(words))
+    owners.append(np.flatnonzero(known >= 0))
+    hashes.append(known[known >= 0].astype(np.uint64) * MIX + np.uint64(7))
+    hashed = np.concatenate(hashes) * MIX
+    hashed ^= hashed >> np.uint64(32)
+    numbers = (hashed * MIX >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
+    who = np.concatenate(owners)
+    return numbers[np.argsort(who, kind="stable")], np.bincount(who, minlength=len(words))
 
 
 def emissions(words: list[str], model: Model) -> np.ndarray:
     """Log potentials (words, languages)."""
     if not words:
         return np.empty((0, len(model.languages)), np.float32)
-    rows = [features(w, model.lexicon) for w in words]
-    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-    flat = np.fromiter((f for r in rows for f in r), np.int64, int(sizes.sum()))
-    starts = np.cumsum(sizes) - sizes
-    return np.add.reduceat(model.weights[flat], starts) / sizes[:, None]
+    flat, sizes = features(words, model.lexicon)
+    return np.add.reduceat(model.weights[flat], np.cumsum(sizes) - sizes) / sizes[:, None]
 
 
 def forward_backward(
@@ -146,9 +166,7 @@ def train(sample: list[tuple[str, str]], seed: int = 0) -> Model:
         return model
     chains, labels = _chains(parsed, languages, rng)
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for c in chains for w in c))}
-    rows = [features(w, model.lexicon) for w in vocabulary]
-    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-    flat = np.fromiter((f for r in rows for f in r), np.int64, int(sizes.sum()))
+    flat, sizes = features(list(vocabulary), model.lexicon)
     starts = np.cumsum(sizes) - sizes
     squares, t_squares = np.full_like(model.weights, 1e-6), np.full((k, k), 1e-6)
     for _ in range(EPOCHS):

@@ -2,8 +2,9 @@
 
 Two zstandard dictionaries are built, from good and from bad labelled text. A text is cut into
 pieces; each piece is compressed with either dictionary. The difference of the two sizes over their
-sum says which one describes the text better, and a logistic curve, fitted on labelled rows that
-neither dictionary has seen, turns it into a score.
+sum says which one describes the text better; how far they shrink it says how much it repeats
+itself. A logistic curve over the two, fitted on labelled rows that neither dictionary has seen,
+turns them into a score.
 
 The fit sees a bounded sample: at most ``SAMPLE_ROWS`` rows of either label, of texts up to
 ``SAMPLE_TEXT`` bytes. Every whole text is scored.
@@ -11,6 +12,7 @@ The fit sees a bounded sample: at most ``SAMPLE_ROWS`` rows of either label, of
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,13 +28,15 @@ DICTIONARY_BYTES = 1 << 16
 PIECE_BYTES = 1 << 10
 LEVEL = 3
 SLICE_BYTES = 8 << 20
+#: Bounds of the logarithm of compressed over plain size.
+MOST_SHRUNK, LEAST_SHRUNK = -5.0, -0.5
 
 
 @dataclass(frozen=True)
 class Model:
     good: bytes
     bad: bytes
-    slope: float
+    slopes: tuple[float, float]
     offset: float
     piece: int = PIECE_BYTES
 
@@ -41,15 +45,17 @@ def pieces_of(text: bytes, piece: int) -> list[bytes]:
     return [text[i : i + piece] for i in range(0, len(text), piece)]
 
 
-def size_difference(text: bytes, good, bad, piece: int) -> float:
-    """(bad size - good size) / (bad size + good size), above 0 for text like the good one; 0 for
-    an empty text."""
+def size_difference(text: bytes, good, bad, piece: int) -> tuple[float, float]:
+    """(bad size - good size) / (bad size + good size), above 0 for text like the good one, and the
+    logarithm of the mean size over the length, between the bounds below; 0 and the upper bound
+    for an empty text."""
     if not text:
-        return 0.0
+        return 0.0, LEAST_SHRUNK
     parts = pieces_of(text, piece)
     g = sum(len(good.compress(p)) for p in parts)
     b = sum(len(bad.compress(p)) for p in parts)
-    return (b - g) / (b + g)
+    shrunk = math.log((g + b) / (2 * len(text)))
+    return (b - g) / (b + g), min(max(shrunk, MOST_SHRUNK), LEAST_SHRUNK)
 
 
 def compressor(dictionary: bytes):
@@ -77,13 +83,13 @@ def build_dictionary(texts: list[bytes], size: int, piece: int) -> bytes:
         return b"".join(parts)[-size:]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset by Newton steps, with a small penalty on the slope."""
+def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], float]:
+    """Slopes and offset by Newton steps, with a small penalty on the slopes."""
     if not len(x):
-        return 0.0, 0.0
-    scale = x.std() or 1.0
+        return (0.0, 0.0), 0.0
+    scale = np.where(x.std(0) > 0, x.std(0), 1.0)
     z = np.column_stack([x / scale, np.ones(len(x))])
-    w, ridge = np.zeros(2), np.diag([1e-2, 1e-4])
+    w, ridge = np.zeros(z.shape[1]), np.diag([1e-2] * x.shape[1] + [1e-4])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         gradient = z.T @ (p - y) + ridge @ w
@@ -91,7 +97,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         w -= step
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0] / scale), float(w[1])
+    return tuple(map(float, w[:-1] / scale)), float(w[-1])
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, usable: Column, rows: int) -> DataFrame:
@@ -130,8 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = SAMPLE_R
         for text in by_label[q][1::2]:
             x.append(size_difference(text, a, b, PIECE_BYTES))
             y.append(q)
-    slope, offset = fit_logistic(np.array(x), np.array(y, float))
-    return Model(good, bad, slope, offset)
+    slopes, offset = fit_logistic(np.array(x), np.array(y, float))
+    return Model(good, bad, slopes, offset)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -145,13 +151,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         good, bad = compressor(m.good), compressor(m.bad)
         for batch in slices(batches, "text", SLICE_BYTES):
-            x = np.array(
-                [
-                    size_difference((t or "").encode(), good, bad, m.piece)
-                    for t in batch.column("text").to_pylist()
-                ]
-            )
-            scores = 1 / (1 + np.exp(-np.clip(m.slope * x + m.offset, -700, 700)))
+            texts = batch.column("text").to_pylist()
+            x = [size_difference((t or "").encode(), good, bad, m.piece) for t in texts]
+            z = np.array(x) @ np.array(m.slopes) + m.offset
+            scores = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
             yield pa.record_batch(
                 {"doc_id": batch.column("doc_id"), "score": pa.array(scores, pa.float64())}
             )
