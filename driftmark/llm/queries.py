@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from driftmark.llm import bpe, langid, mixing, quality, secrets
+from driftmark.llm import bpe, html, langid, mixing, neighbours, quality, secrets, topk
 from driftmark.sources.tables import read_table
 
 
@@ -132,6 +132,33 @@ def op3_compression_quality(spark, sf_dir):
     )
 
 
+def op1_main_text(spark, sf_dir):
+    return html.main_text(read_table(spark, sf_dir, "pages"))
+
+
+def op5_nearest_neighbours(spark, sf_dir):
+    return neighbours.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op7_topk_products(spark, sf_dir):
+    return topk.top_products(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP7_SQL = """
+WITH v AS (SELECT DISTINCT vec_id, embedding FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+n AS (SELECT len(embedding) AS d FROM v GROUP BY 1 ORDER BY count(*) DESC, d LIMIT 1),
+w AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM v
+      WHERE len(embedding) = (SELECT d FROM n)),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+      FROM w q JOIN w c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+             vec_id, score FROM p)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+
 def op9_crf_language(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     model = langid.fit(docs, ~held_out(2, 4))
@@ -141,6 +168,9 @@ def op9_crf_language(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_main_text": op1_main_text,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
+    "op7_topk_products": op7_topk_products,
     "op3_compression_quality": op3_compression_quality,
     "op9_crf_language": op9_crf_language,
     "op6_byte_bpe": op6_byte_bpe,
@@ -149,6 +179,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op7_topk_products": OP7_SQL,
     "op10_secret_scan": OP10_SQL,
     "op8_mix_sources": OP8_SQL,
 }
