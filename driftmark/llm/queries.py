@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from driftmark.llm import bpe, html, langid, mixing, neighbours, quality, secrets, topk
+from driftmark.llm import bpe, html, jaccard, langid, mixing, neighbours, quality, secrets, topk
 from driftmark.sources.tables import read_table
 
 
@@ -136,6 +136,11 @@ def op1_main_text(spark, sf_dir):
     return html.main_text(read_table(spark, sf_dir, "pages"))
 
 
+def op4_jaccard_join(spark, sf_dir):
+    found = jaccard.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op5_nearest_neighbours(spark, sf_dir):
     return neighbours.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -168,6 +173,7 @@ def op9_crf_language(spark, sf_dir):
 
 
 QUERIES = {
+    "op4_jaccard_join": op4_jaccard_join,
     "op1_main_text": op1_main_text,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op7_topk_products": op7_topk_products,
