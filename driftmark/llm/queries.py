@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from driftmark.llm import bpe, html, jaccard, langid, mixing, neighbours, quality, secrets, topk
+from driftmark.llm import bpe, html, jaccard, langid, mixing, neighbours, quality, repeats, secrets, topk
 from driftmark.sources.tables import read_table
 
 
@@ -136,6 +136,17 @@ def op1_main_text(spark, sf_dir):
     return html.main_text(read_table(spark, sf_dir, "pages"))
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    found = repeats.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_jaccard_join(spark, sf_dir):
     found = jaccard.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
@@ -173,6 +184,7 @@ def op9_crf_language(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op4_jaccard_join": op4_jaccard_join,
     "op1_main_text": op1_main_text,
     "op5_nearest_neighbours": op5_nearest_neighbours,
