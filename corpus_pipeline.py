@@ -9,7 +9,11 @@ from driftmark.sources.scratch import materialize
 from driftmark.sources.tables import read_table
 
 STAGES = [
-    ("mixing", stages.mixed),
+    ("language ID", stages.identified),
+    ("n-gram Jaccard join", stages.deduplicated),
+    ("secret scans", stages.masked),
+    ("mixing sources to target weights", stages.mixed),
+    ("byte-level BPE encoding and decoding", stages.encoded),
 ]
 
 #: No SQL can express the language model and the byte-pair merges; tests/llm checks every stage

@@ -92,10 +92,13 @@ def _lists(flat: np.ndarray, sizes: np.ndarray, kind) -> pa.ListArray:
 
 
 def slice_documents(docs: DataFrame) -> DataFrame:
-    """(slice, rid, doc_id, n, digest, packed): a few hundred documents a row, their texts packed.
+    """(slice, rid, rest, n, digest, present, lengths, packed): a few hundred documents a row, their
+    texts packed.
 
-    rid numbers the rows of ``docs``; n and digest are size and hash of the set of shingles.
+    rid numbers the rows of ``docs``, rest has their other columns; n and digest are size and hash
+    of the set of shingles.
     """
+    rest = F.struct("doc_id", *(c for c in docs.columns if c not in ("doc_id", "text")))
 
     def pack(batches):
         import zstandard
@@ -112,16 +115,18 @@ def slice_documents(docs: DataFrame) -> DataFrame:
             body = b"".join(texts)
             lengths = np.fromiter(map(len, texts), np.int64, len(texts))
             one = np.array([batch.num_rows])
+            present = batch.column("text").is_valid().to_numpy(zero_copy_only=False)
             rid = batch.column("rid").to_numpy()
             yield pa.record_batch(
                 {
                     "slice": pa.array(rid[:1]),
                     "rid": _lists(rid, one, pa.int64()),
-                    "doc_id": pa.ListArray.from_arrays(
-                        pa.array([0, batch.num_rows], pa.int32()), batch.column("doc_id")
+                    "rest": pa.ListArray.from_arrays(
+                        pa.array([0, batch.num_rows], pa.int32()), batch.column("rest")
                     ),
                     "n": _lists(sizes, one, pa.int64()),
                     "digest": pa.array([digests], pa.list_(pa.binary())),
+                    "present": _lists(present, one, pa.bool_()),
                     "lengths": _lists(lengths, one, pa.int64()),
                     "packed": pa.array([packer.compress(body)], pa.binary()),
                 }
@@ -129,13 +134,12 @@ def slice_documents(docs: DataFrame) -> DataFrame:
 
     spark = docs.sparkSession
     path = scratch_path(spark, "jaccard-slices")
-    numbered = docs.select(
-        F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), "text"
-    )
+    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), rest.alias("rest"), "text")
+    kind = numbered.schema["rest"].dataType.simpleString()
     packed = numbered.mapInArrow(
         pack,
-        "slice long, rid array<long>, doc_id array<long>, n array<long>, digest array<binary>,"
-        " lengths array<long>, packed binary",
+        f"slice long, rid array<long>, rest array<{kind}>, n array<long>, digest array<binary>,"
+        " present array<boolean>, lengths array<long>, packed binary",
     )
     # Small row groups: a reader holds one of them, and rows are large.
     packed.write.option("parquet.block.size", 8 << 20).parquet(path)
@@ -376,17 +380,63 @@ def join_families(candidates: DataFrame, families: DataFrame, percent: int) -> D
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, rid) per document.
+    """(doc_id, n_shingles, component_id) per document.
 
     docs: doc_id and text; other columns are ignored. A document without words, or of null text, has
     no shingle and is a component of its own. Repeated rows and ids are documents like any other
-    (equal texts are linked); a null id counts last in a component. ``rid`` numbers the rows of
-    ``docs`` as they were read.
+    (equal texts are linked); a null id counts last in a component.
     """
+    found = find_components(slice_documents(docs.select("doc_id", "text")), percent)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+def one_per_component(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` without those linked with a document of smaller id (of rows with that id,
+    the first stays); all that have no words stay."""
     sliced = slice_documents(docs)
-    each = sliced.select(
-        F.inline(F.arrays_zip("rid", "doc_id", "n", "digest"))
-    ).withColumnRenamed("n", "n_shingles")
+    found = find_components(sliced, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid", "slice")).alias("first")
+    kept = (
+        found.where(F.col("root").isNotNull())
+        .groupBy("root")
+        .agg(first)
+        .select("first.slice", "first.rid")
+        .unionByName(found.where(F.col("root").isNull()).select("slice", "rid"))
+        .groupBy("slice")
+        .agg(F.collect_list("rid").alias("kept"))
+    )
+    columns = docs.columns
+
+    def choose(left, right):
+        parts = []
+        for i in range(left.num_rows if right.num_rows else 0):
+            row = left.slice(i, 1)
+            numbers = row["rid"].combine_chunks().flatten().to_numpy()
+            at = np.flatnonzero(np.isin(numbers, right["kept"].combine_chunks().flatten().to_numpy()))
+            texts = unpack(row["packed"][0].as_py(), row["lengths"][0].as_py())
+            known = row["present"].combine_chunks().flatten().to_pylist()
+            rest = row["rest"].combine_chunks().flatten().take(pa.array(at))
+            own = {c: rest.field(c) for c in columns if c != "text"}
+            own["text"] = pa.array([texts[j].decode() if known[j] else None for j in at], pa.string())
+            parts.append(pa.table({c: own[c] for c in columns}))
+        return pa.concat_tables(parts) if parts else empty.slice(0, 0)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    empty = to_arrow_schema(docs.select(columns).schema).empty_table()
+    return (
+        sliced.select("slice", "rid", "rest", "present", "lengths", "packed")
+        .groupBy("slice")
+        .cogroup(kept.groupBy("slice"))
+        .applyInArrow(choose, docs.schema)
+    )
+
+
+def find_components(sliced: DataFrame, percent: int) -> DataFrame:
+    """(slice, rid, doc_id, n_shingles, root, component_id) per document; documents of one component
+    share a root, those without words have none."""
+    rows = F.arrays_zip("rid", F.col("rest.doc_id").alias("doc_id"), "n", "digest")
+    each = sliced.select("slice", F.inline(rows)).withColumnRenamed("n", "n_shingles")
     tokens = each.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first().n
     buckets = int(-(-tokens // BUCKET_TOKENS)) or 1
     shared = count_shared(sliced, buckets)
@@ -402,21 +452,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     edges = prefixes.join(stars, "token").select("a", F.col("rid").alias("b")).distinct()
     families = components(edges)
     links = materialize(join_families(candidates, families, percent), "jaccard-links")
-    linked = components(links)
-    labels = candidates.select("rid", "digest").join(
-        linked.withColumnRenamed("node", "rid"), "rid"
-    ).select("digest", "root")
-    smallest = (
-        each.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("least"))
+    linked = components(links).withColumnRenamed("node", "rid")
+    labels = candidates.select("rid", "digest").join(linked, "rid").select("digest", "root")
+    sets = each.where(F.col("digest").isNotNull())
+    smallest = sets.groupBy("digest").agg(
+        F.min("doc_id").alias("least"), F.min("rid").alias("own")
     )
-    by_set = smallest.join(labels, "digest", "left")
-    roots = by_set.where(F.col("root").isNotNull()).groupBy("root").agg(
-        F.min("least").alias("component_id")
+    # A set that no link joins is its own root; rids of such sets and of linked ones differ.
+    by_set = smallest.join(labels, "digest", "left").withColumn(
+        "root", F.coalesce("root", F.col("own"))
     )
-    merged = by_set.join(roots, "root", "left").select(
-        "digest", F.coalesce("component_id", "least").alias("component_id")
+    roots = by_set.groupBy("root").agg(F.min("least").alias("component_id"))
+    merged = by_set.join(roots, "root").select("digest", "root", "component_id")
+    columns = ["slice", "rid", "doc_id", "n_shingles", "root", "component_id"]
+    without = each.where(F.col("digest").isNull()).select(
+        "*", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id")
     )
-    with_words = each.where(F.col("digest").isNotNull()).join(merged, "digest", "left")
-    without = each.where(F.col("digest").isNull()).withColumn("component_id", F.col("doc_id"))
-    columns = ["doc_id", "n_shingles", "component_id", "rid"]
-    return with_words.select(columns).unionByName(without.select(columns))
+    return sets.join(merged, "digest").select(columns).unionByName(without.select(columns))

@@ -282,12 +282,8 @@ class Labeller:
         return total / np.maximum(n_words, 1)[:, None]
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score): the language of highest mean probability, ties to the first by
-    name; ``und`` and 0 for texts that are null or have no letter, or if no language is known.
-
-    docs: doc_id and text; other columns are ignored. Null and repeated ids are rows like any other.
-    """
+def _labelled(docs: DataFrame, model: Model, carried: Column) -> DataFrame:
+    """(carried, lang_pred, score)"""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def label(batches):
@@ -301,13 +297,28 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 score, best = np.zeros(len(p)), np.zeros(len(p), np.int64)
             yield pa.record_batch(
                 {
-                    "doc_id": batch.column("doc_id"),
+                    "carried": batch.column("carried"),
                     "lang_pred": pa.array([names[i] for i in best], pa.string()),
                     "score": pa.array(np.minimum(score, 1.0), pa.float64()),
                 }
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        label, f"doc_id {kind}, lang_pred string, score double"
-    )
+    rows = docs.select(carried.alias("carried"), "text")
+    kind = rows.schema["carried"].dataType.simpleString()
+    return rows.mapInArrow(label, f"carried {kind}, lang_pred string, score double")
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, lang_pred, score): the language of highest mean probability, ties to the first by
+    name; ``und`` and 0 for texts that are null or have no letter, or if no language is known.
+
+    docs: doc_id and text; other columns are ignored. Null and repeated ids are rows like any other.
+    """
+    return _labelled(docs, model, F.col("doc_id")).withColumnRenamed("carried", "doc_id")
+
+
+def with_language(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` for which a language is found."""
+    found = _labelled(docs, model, F.struct(*docs.columns))
+    kept = found.where(F.col("lang_pred") != UNDETERMINED)
+    return kept.select(*(F.col(f"carried.`{c}`").alias(c) for c in docs.columns))

@@ -255,14 +255,16 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         word_count(F.col("row.text")).alias("size"),
     )
     lines = mixed_lines(rows.drop("row"), **options)
-    same = Window.partitionBy("source_key", "doc_id", "size").orderBy(F.xxhash64("row"))
-    copies = rows.withColumn("copy", F.row_number().over(same) - 1).alias("d")
+    # Never null, and the same keys for the window and the join: the texts move once.
+    doc_key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_key")
+    keys = ["source_key", "doc_key", "size"]
+    same = Window.partitionBy(*keys).orderBy(F.xxhash64("row"))
+    copies = rows.select("row", "source_key", doc_key, "size").withColumn(
+        "copy", F.row_number().over(same) - 1
+    )
     joined = copies.join(
-        lines.alias("m"),
-        (F.col("d.source_key") == F.col("m.source_key"))
-        & F.col("d.doc_id").eqNullSafe(F.col("m.doc_id"))
-        & (F.col("d.size") == F.col("m.size")),
-    ).select("d.row", "d.copy", "m.size", "m.passes", "m.start", "m.rest")
+        lines.select("source_key", doc_key, "size", "passes", "start", "rest"), keys
+    )
     part = _part(F.col("start") + F.col("copy") * F.col("size"))
     words = F.slice(F.regexp_extract_all("row.text", F.lit(WORD_AND_GAP), 0), 1, part.cast("int"))
     cut = F.rtrim(F.array_join(words, ""))

@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
-from driftmark.llm import mixing, secrets
+import public_tokenizers
 
+from driftmark.llm import jaccard, langid, mixing, queries, secrets
 
-def mixed(spark, docs, sf_dir):
-    """Documents as often as the mix takes them."""
-    return mixing.mixed_documents(docs)
+
+def identified(spark, docs, sf_dir):
+    """Documents whose language is found; those without a letter go."""
+    return langid.with_language(docs, langid.fit(docs, ~queries.held_out(2, 4)))
+
+
+def deduplicated(spark, docs, sf_dir):
+    """One document, that of the smallest id, of every component of near duplicates."""
+    return jaccard.one_per_component(docs)
 
 
 def masked(spark, docs, sf_dir):
     """Documents with what the secret scan reports masked."""
     return secrets.masked_documents(docs)
+
+
+def mixed(spark, docs, sf_dir):
+    """Documents as often as the mix takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def encoded(spark, docs, sf_dir):
+    """Token counts and digests of every document."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return queries.encoded_digests(spark, docs, path)
