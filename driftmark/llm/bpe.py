@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
 import zlib
 from collections import Counter
 
@@ -26,16 +27,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmark.llm.batches import slices
+from driftmark.llm.hashing import BASES, Rolling
 
 BUCKETS = 1 << 14
-FREQUENT = 1 << 19
+FREQUENT = 1 << 21
 LONG_WORD = 128
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: More than any array of pieces is long.
 REST = 1 << 30
 
-# Fixed value: the pattern that goes with the rank file.
+# The pattern that goes with the rank file, and what it means for ASCII text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+ASCII_PATTERN = (
+    r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|"""
+    r"""[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"""
+)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -78,63 +84,55 @@ def _let(value: Column, body) -> Column:
 
 
 def _folded(word: Column, buckets: Column) -> Column:
-    pieces = F.filter(F.split(word, ""), lambda p: p != "")
+    """The state is the places where the word is still cut and the rank of each pair of neighbours:
+    a merge takes one cut away and changes the two ranks beside it."""
+    n = F.length(word)
 
-    def pair_ranks(pieces):
-        return F.transform(
-            F.sequence(F.lit(1), F.size(pieces) - 1),
-            lambda i: rank_of(F.concat(F.get(pieces, i - 1), F.get(pieces, i)), buckets),
-        )
+    def rank_between(start, end):
+        return rank_of(F.substring(word, start, end - start), buckets)
 
-    # Only the two ranks beside a merge change, so the state carries them along, with the place
-    # of the lowest (0: nothing left to merge). Values used more than once are bound to a name,
-    # as expressions inside a function are evaluated each time they are written.
-    def state(pieces, ranks):
+    # ``at``: number of the lowest pair, 0 when nothing is left to merge. Values used more than
+    # once are bound to a name, as a lambda evaluates an expression each time it is written.
+    def state(cuts, ranks):
         return _let(
             ranks,
             lambda r: F.struct(
-                pieces.alias("pieces"),
+                cuts.alias("cuts"),
                 r.alias("ranks"),
                 F.coalesce(F.array_position(r, F.array_min(r)), F.lit(0)).cast("int").alias("at"),
             ),
         )
 
     def merge(now):
-        pieces, ranks, at = now["pieces"], now["ranks"], now["at"]
-
-        def around(joined):
-            left = F.when(
-                at > 1, F.array(rank_of(F.concat(F.get(pieces, at - 2), joined), buckets))
-            ).otherwise(none)
-            right = F.when(
-                at < F.size(ranks), F.array(rank_of(F.concat(joined, F.get(pieces, at + 1)), buckets))
-            ).otherwise(none)
-            return state(
-                F.concat(F.slice(pieces, 1, at - 1), F.array(joined), F.slice(pieces, at + 2, REST)),
-                F.concat(
-                    F.slice(ranks, 1, F.greatest(at - 2, F.lit(0))),
-                    left,
-                    right,
-                    F.slice(ranks, at + 2, REST),
-                ),
-            )
-
-        return _let(F.concat(F.get(pieces, at - 1), F.get(pieces, at)), around)
-
-    def step(now, _):
-        return F.when(now["at"] == 0, now).otherwise(merge(now))
+        cuts, ranks, at = now["cuts"], now["ranks"], now["at"]
+        # Pair i lies between cuts i and i + 2 (from 1), and merging it takes cut i + 1 away.
+        left = F.when(at > 1, F.array(rank_between(F.get(cuts, at - 2), F.get(cuts, at + 1))))
+        right = F.when(
+            at < F.size(ranks), F.array(rank_between(F.get(cuts, at - 1), F.get(cuts, at + 2)))
+        )
+        return state(
+            F.array_remove(cuts, F.get(cuts, at)),
+            F.concat(
+                F.slice(ranks, 1, F.greatest(at - 2, F.lit(0))),
+                F.coalesce(left, none),
+                F.coalesce(right, none),
+                F.slice(ranks, at + 2, REST),
+            ),
+        )
 
     none = F.array().cast("array<int>")
-    many = F.size(pieces) > 1
-    rounds = F.sequence(F.lit(1), F.size(pieces) - 1)
+    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank_between(i, i + 2))
     folded = F.aggregate(
-        rounds, state(pieces, pair_ranks(pieces)), step, lambda s: s["pieces"]
+        F.sequence(F.lit(1), n - 1),
+        state(F.sequence(F.lit(1), n + 1), pairs),
+        lambda now, _: F.when(now["at"] == 0, now).otherwise(merge(now)),
+        lambda now: F.transform(
+            F.slice(now["cuts"], 2, REST),
+            lambda end, i: rank_between(F.get(now["cuts"], i), end),
+        ),
     )
-    parts = F.when(many, folded).otherwise(pieces)
     whole = rank_of(word, buckets)
-    return F.when(whole.isNotNull(), F.array(whole)).otherwise(
-        F.transform(parts, lambda p: rank_of(p, buckets))
-    )
+    return F.when(whole.isNotNull(), F.array(whole)).when(n > 1, folded).otherwise(none)
 
 
 def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -163,13 +161,23 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in piece if p]
 
 
+def splitter(pattern: str):
+    """The matches of the pattern in a text. Over ASCII text, the public pattern needs no Unicode
+    classes, and the plain engine splits alike and faster."""
+    import regex
+
+    find = regex.compile(pattern).findall
+    if pattern != PATTERN:
+        return find
+    plain = re.compile(ASCII_PATTERN).findall
+    return lambda text: plain(text) if text.isascii() else find(text)
+
+
 def count_words(docs: DataFrame, pattern: str = PATTERN) -> DataFrame:
     """(word, n) over all texts, for words up to ``LONG_WORD`` bytes."""
 
     def count(batches):
-        import regex
-
-        find = regex.compile(pattern).findall
+        find = splitter(pattern)
         for batch in slices(batches, "text", SLICE_BYTES):
             words: Counter[str] = Counter()
             for text in batch.column("text").to_pylist():
@@ -190,20 +198,81 @@ def _bytes_as_text(word: Column) -> Column:
     return F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
 
 
+class WordHash:
+    """128 bits of words in a buffer of UTF-8 bytes, as two numbers."""
+
+    def __init__(self):
+        self.rollings = [Rolling(base, 7 + i) for i, base in enumerate(BASES)]
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """Chunk by chunk; of words too long to be known only as much as tells them apart."""
+        out = [np.empty(len(starts), np.uint64) for _ in self.rollings]
+        ends = np.minimum(ends, starts + LONG_WORD + 1)
+        for a in range(0, len(data), SLICE_BYTES):
+            i, j = np.searchsorted(starts, [a, a + SLICE_BYTES])
+            chunk = data[a : a + SLICE_BYTES + LONG_WORD + 1]
+            for codes, r in zip(out, self.rollings, strict=True):
+                codes[i:j] = r.of(r.sums(chunk), starts[i:j] - a, ends[i:j] - a)
+        return out
+
+
+class WordPlaces:
+    """Places of known words by their hashes: an open-addressing table in numpy arrays, a fraction
+    of the size of a dictionary of texts."""
+
+    def __init__(self, codes: np.ndarray, checks: np.ndarray):
+        self.codes, self.checks = codes, checks
+        bits = max(int(2 * len(codes)).bit_length(), 4)
+        self.mask = np.uint64((1 << bits) - 1)
+        self.slots = np.full(1 << bits, -1, np.int32)
+        rest = np.arange(len(codes), dtype=np.int32)
+        at = codes & self.mask
+        while len(rest):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = rest[free]
+            missed = self.slots[at] != rest
+            rest, at = rest[missed], (at[missed] + np.uint64(1)) & self.mask
+
+    def __call__(self, codes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Place of each word, or -1."""
+        out = np.full(len(codes), -1, np.int32)
+        open_, at = np.arange(len(codes)), codes & self.mask
+        while len(open_):
+            found = self.slots[at]
+            same = (found >= 0) & (self.codes[found] == codes[open_])
+            same &= self.checks[found] == checks[open_]
+            out[open_[same]] = found[same]
+            more = (found >= 0) & ~same
+            open_, at = open_[more], (at[more] + np.uint64(1)) & self.mask
+        return out
+
+
 def frequent_words(
     docs: DataFrame, buckets: Column, pattern: str = PATTERN, most: int = FREQUENT
-) -> tuple[list[str], np.ndarray, np.ndarray]:
+) -> tuple[WordPlaces, np.ndarray, np.ndarray]:
     """The words used most, the numbers of their ids, and the ids in a row; at most ``most`` words
     of at most ``LONG_WORD`` bytes reach the driver."""
     top = count_words(docs, pattern).orderBy(F.col("n").desc(), "word").limit(most)
     parts = docs.sparkSession.sparkContext.defaultParallelism * 4
     folded = top.repartition(parts, "word").select(
-        "word", fold_merges(_bytes_as_text(F.col("word")), buckets).alias("ids")
+        F.encode("word", "UTF-8").alias("word"),
+        fold_merges(_bytes_as_text(F.col("word")), buckets).alias("ids"),
+    )
+    hashes, codes, lengths, ids = WordHash(), [], [], []
+    for batch in folded.toArrow().to_batches(max_chunksize=1 << 16):
+        sizes = pc.binary_length(batch["word"]).to_numpy().astype(np.int64)
+        data = np.frombuffer(b"".join(batch["word"].to_pylist()), np.uint8)
+        ends = np.cumsum(sizes)
+        codes.append(np.stack(hashes(data, ends - sizes, ends)))
+        lengths.append(pc.list_value_length(batch["ids"]).to_numpy().astype(np.uint8))
+        ids.append(batch["ids"].flatten().to_numpy().astype(np.int32))
+    both = np.concatenate([np.empty((2, 0), np.uint64), *codes], axis=1)
+    nothing = np.empty(0, np.int32)
+    return (
+        WordPlaces(both[0].copy(), both[1].copy()),
+        np.concatenate([nothing.astype(np.uint8), *lengths]),
+        np.concatenate([nothing, *ids]),
     )
-    table = folded.toArrow().combine_chunks()
-    ids = table["ids"]
-    lengths = pc.list_value_length(ids).to_numpy().astype(np.int32)
-    return table["word"].to_pylist(), lengths, pc.list_flatten(ids).to_numpy().astype(np.int32)
 
 
 def encode(
@@ -212,45 +281,57 @@ def encode(
     ranks: dict[bytes, int],
     pattern: str = PATTERN,
     most: int = FREQUENT,
-    long_word: int = LONG_WORD,
 ) -> DataFrame:
-    """(doc_id, n_bytes, ids) per document; ids is an array of int.
+    """(doc_id, ids) per document; ids is an array of int.
 
     docs: doc_id and text; other columns are ignored. Null and empty texts have no ids; null and
     repeated ids are rows like any other.
     """
     buckets = rank_buckets(ranks)
-    shared = spark.sparkContext.broadcast(frequent_words(docs, buckets, pattern, most))
+    places, known_lengths, known_ids = frequent_words(docs, buckets, pattern, most)
+    shared_places = spark.sparkContext.broadcast(places)
+    shared_ids = spark.sparkContext.broadcast((known_lengths, known_ids))
     all_ranks = spark.sparkContext.broadcast(ranks)
 
     def look_up(batches):
         """Per document the places of its words in the shared list; below zero, in its own one."""
-        import regex
-
-        find = regex.compile(pattern).findall
-        place = {w: i for i, w in enumerate(shared.value[0])}
+        find, hashes = splitter(pattern), WordHash()
         for batch in slices(batches, "text", SLICE_BYTES):
-            codes, unknown, ends = [], [], [0]
-            for text in batch.column("text").to_pylist():
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            found = [find(t) for t in texts]
+            words = [w for own in found for w in own]
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            whole = "".join(words)
+            sizes = np.fromiter(map(len, words), np.int64, len(words))
+            data = np.frombuffer(whole.encode(), np.uint8)
+            if len(data) > len(whole):
+                # Bytes per character: every byte but the continuation bytes starts one.
+                heads = np.append(np.flatnonzero(data & 0xC0 != 0x80), len(data))
+                ends = heads[np.cumsum(sizes)] if len(sizes) else sizes
+            else:
+                ends = np.cumsum(sizes)
+            starts = np.concatenate([[0], ends[:-1]])[: len(ends)]
+            codes = shared_places.value(*hashes(data, starts, ends))
+            unknown = []
+            new = np.flatnonzero(codes < 0)
+            cuts = np.searchsorted(new, np.concatenate([[0], np.cumsum(counts)]))
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 own: dict[str, int] = {}
-                for w in find(text or ""):
-                    at = place.get(w)
-                    codes.append(at if at is not None else -1 - own.setdefault(w, len(own)))
+                for at in new[i:j].tolist():
+                    codes[at] = -1 - own.setdefault(words[at], len(own))
                 unknown.append(list(own))
-                ends.append(len(codes))
+            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             yield pa.record_batch(
                 {
                     "doc_id": batch.column("doc_id"),
-                    "codes": pa.ListArray.from_arrays(
-                        pa.array(ends, pa.int32()), pa.array(codes, pa.int32())
-                    ),
+                    "codes": pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes)),
                     "unknown": pa.array(unknown, pa.list_(pa.string())),
                 }
             )
 
     def fill_in(batches):
-        _, known_lengths, known_flat = shared.value
-        starts = np.cumsum(known_lengths, dtype=np.int64) - known_lengths
+        lengths, flat = shared_ids.value
+        starts = np.cumsum(lengths, dtype=np.int64) - lengths
         for batch in batches:
             ids, ends = [np.empty(0, np.int32)], [0]
             for codes, unknown, folded in zip(
@@ -266,11 +347,11 @@ def encode(
                 own_starts = np.cumsum(own_lengths) - own_lengths
                 new = codes < 0
                 n, first = np.empty(len(codes), np.int64), np.empty(len(codes), np.int64)
-                n[~new], first[~new] = known_lengths[codes[~new]], starts[codes[~new]]
+                n[~new], first[~new] = lengths[codes[~new]], starts[codes[~new]]
                 n[new], first[new] = own_lengths[-1 - codes[new]], own_starts[-1 - codes[new]]
                 at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 mine, out = np.repeat(new, n), np.empty(len(at), np.int32)
-                out[~mine], out[mine] = known_flat[at[~mine]], own_flat[at[mine]]
+                out[~mine], out[mine] = flat[at[~mine]], own_flat[at[mine]]
                 ids.append(out)
                 ends.append(ends[-1] + len(out))
             yield pa.record_batch(
@@ -289,7 +370,7 @@ def encode(
     folded = F.transform(
         "unknown",
         lambda w: F.when(
-            F.octet_length(w) <= long_word, fold_merges(_bytes_as_text(w), buckets)
+            F.octet_length(w) <= LONG_WORD, fold_merges(_bytes_as_text(w), buckets)
         ),
     )
     return looked.withColumn("folded", folded).mapInArrow(
