@@ -236,6 +236,8 @@ class WordPlaces:
     def __call__(self, codes: np.ndarray, checks: np.ndarray) -> np.ndarray:
         """Place of each word, or -1."""
         out = np.full(len(codes), -1, np.int32)
+        if not len(self.codes):
+            return out
         open_, at = np.arange(len(codes)), codes & self.mask
         while len(open_):
             found = self.slots[at]
