@@ -73,10 +73,8 @@ def fit_forest(
     bins: int = 32,
     weight: str | None = WEIGHT,
 ) -> RandomForestClassificationModel:
-    """With weights there is no bootstrap: resampling a large number of equal rows leaves their
-    share as it is, so this is the limit the row-wise forest tends to. Trees then differ only by
-    the features drawn at each node; with two features, where all are drawn, they are equal.
-    ``weight=None`` fits on rows with the usual bootstrap."""
+    """Every tree sees its own bootstrap: Poisson counts of the rows, which with weights are the
+    distinct rows, each drawn with all its copies. ``weight=None`` draws single rows."""
     forest = RandomForestClassifier(
         labelCol=label,
         featuresCol="features",
@@ -86,7 +84,7 @@ def fit_forest(
         impurity="gini",
         featureSubsetStrategy="auto",
         seed=seed,
-        bootstrap=weight is None,
+        bootstrap=True,
     )
     if weight:
         forest = forest.setWeightCol(weight)

@@ -188,12 +188,24 @@ def fit(
     order: tuple[int, int, int] = (1, 1, 1),
     length: int = BLOCK,
 ) -> DataFrame:
-    """Coefficients by conditional least squares; the first usable row is d + p + 1."""
+    """Coefficients by conditional least squares; the first usable row is d + p + 1.
+
+    One row per series: a series too short to have a usable row gets null coefficients. Rows of
+    null x are left out and their neighbours taken as consecutive; fill them first
+    (``outliers.interpolate``) where that is not meant.
+    """
     p, d, q = order
     changes = change_rows(df, keys, x, d, d + p + 1, length)
     if q == 0 and p == 1:
-        return ar_fit(changes, keys)
-    return best_fit(css_profile(changes, keys, length), keys, p, q)
+        found = ar_fit(changes, keys)
+    else:
+        found = best_fit(css_profile(changes, keys, length), keys, p, q)
+    series = df.select(*keys).distinct()
+    return (
+        series.join(found, list(keys), "left")
+        .withColumns({"p": F.lit(p), "q": F.lit(q)})
+        .select(found.columns)
+    )
 
 
 def ar_fit(changes: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from driftmark.operators.quantiles import exact_quantiles
 from driftmark.operators.series.blocks import BLOCK, block_window, own_rows, with_halo
+from driftmark.sources.scratch import materialize
 
 REACH = 3.0
 
@@ -37,6 +38,8 @@ def flag_outliers(
     smoothed = rolling_median(df, keys, x, half, "smooth", length).withColumn(
         "residual", F.col(x) - F.col("smooth")
     )
+    # Read three times below: twice for the quartiles, once for the flags.
+    smoothed = materialize(smoothed, "rolling-median")
     quarts = exact_quantiles(smoothed, keys, "residual", (0.25, 0.75), ("_q1", "_q3")).drop("n")
     fence = reach * (F.col("_q3") - F.col("_q1"))
     beyond = (F.col("residual") < F.col("_q1") - fence) | (
@@ -70,20 +73,26 @@ def interpolate(
         F.min_by(point, F.when(point.isNotNull(), F.col("t"))).alias("_first"),
         F.max_by(point, F.when(point.isNotNull(), F.col("t"))).alias("_last"),
     )
+    # ``last`` over what precedes is a running value; a frame that ends with the partition would be
+    # gone through again for every row. So what follows is looked for in descending order.
     order = Window.partitionBy(*keys).orderBy("_block")
+    backward = Window.partitionBy(*keys).orderBy(F.desc("_block"))
     carried = ends.select(
         *keys,
         "_block",
         F.last("_last", ignorenulls=True)
         .over(order.rowsBetween(Window.unboundedPreceding, -1))
         .alias("_from"),
-        F.first("_first", ignorenulls=True)
-        .over(order.rowsBetween(1, Window.unboundedFollowing))
+        F.last("_first", ignorenulls=True)
+        .over(backward.rowsBetween(Window.unboundedPreceding, -1))
         .alias("_to"),
     )
     inside = block_window(keys)
     before = F.last(point, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(point, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))
+    mirrored = Window.partitionBy(*keys, "_block").orderBy(F.desc("t"))
+    after = F.last(point, ignorenulls=True).over(
+        mirrored.rowsBetween(Window.unboundedPreceding, 0)
+    )
     near = (
         rows.withColumns({"_before": before, "_after": after})
         .join(carried, [*keys, "_block"])

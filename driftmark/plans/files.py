@@ -17,16 +17,37 @@ from driftmark.plans.views import ACCOUNTS, ROLLUP
 from driftmark.sources import files
 from driftmark.sources.pair_fixture import pairs
 from driftmark.sources.scratch import scratch_path
-from driftmark.sources.tables import account_balances, accountlevel
+from driftmark.sources.tables import account_balances, accountlevel, read_table
 
 
 def csv_roundtrip(spark, sf_dir):
     """Pairs as headerless text: four positional strings, empty fields kept empty."""
     path = scratch_path(spark, "pairs-csv")
     files.write_delimited(
-        pairs(spark, sf_dir).select("input1", "input2", "output", "template"), path
+        pairs(spark, sf_dir).select("input1", "input2", "output", "template"), path, quoted=True
     )
-    return files.read_headerless(spark, path)
+    return files.read_headerless(spark, path, quoted=True)
+
+
+def csv_documents(spark, sf_dir):
+    """Texts with separators, quotes and line breaks, empty and null ones, written and read back."""
+    path = scratch_path(spark, "documents-csv")
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    # Rows of each kind that the table itself may lack.
+    first = F.substring("text", 1, 1)
+    tail = F.element_at(
+        F.array(
+            F.concat(F.lit('"'), first),
+            F.concat(first, F.lit(',a""b')),
+            F.lit(""),
+            F.lit(None).cast("string"),
+            F.concat(first, F.lit("\r\n\n,"), first),
+        ),
+        (F.pmod("doc_id", F.lit(5)) + 1).cast("int"),
+    )
+    rows = rows.withColumn("awkward", tail)
+    files.write_delimited(rows, path, header=True, quoted=True)
+    return files.read_inferred(spark, path, rows.schema)
 
 
 def csv_header_scan(spark, sf_dir):
@@ -56,7 +77,7 @@ def csv_inferred(spark, sf_dir):
     rows = account_balances(spark, sf_dir).select(
         "loannum", F.col("acc_ldgr_bl").cast("double").alias("balance"), "acc_pdue_pplint_qt"
     )
-    files.write_delimited(rows, path, header=True)
+    files.write_delimited(rows, path, header=True, quoted=True)
     read = files.read_inferred(spark, path)
     return read.select(
         F.col("loannum").cast("bigint"), "balance", F.col("acc_pdue_pplint_qt").cast("bigint")
@@ -67,7 +88,7 @@ def feature_csv(spark, sf_dir):
     """The full change table as text with a header, summed after reading it back."""
     path = scratch_path(spark, "features-csv")
     table = change_table(pairs(spark, sf_dir), "input1", "input2", "output", "template")
-    files.write_delimited(table, path, header=True)
+    files.write_delimited(table, path, header=True, quoted=True)
     read = files.read_inferred(spark, path, table.schema)
     return read.groupBy(F.col("ActClassify").alias("template")).agg(
         *(F.sum(f).alias(f) for f in FLAGS)
@@ -92,6 +113,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         csv_roundtrip,
+        csv_documents,
         csv_header_scan,
         csv_inferred,
         feature_csv,
@@ -103,6 +125,13 @@ QUERIES = {
 ORACLE = {
     "csv_roundtrip": f"""WITH {PAIRS} SELECT i1 AS "InputCol1", i2 AS "InputCol2",
         o AS "OutputCol", template AS "Classification" FROM pairs""",
+    "csv_documents": r"""SELECT doc_id, source, text, CASE doc_id % 5
+          WHEN 0 THEN '"' || left(text, 1)
+          WHEN 1 THEN left(text, 1) || ',a""b'
+          WHEN 2 THEN ''
+          WHEN 3 THEN NULL
+          ELSE left(text, 1) || chr(13) || chr(10) || chr(10) || ',' || left(text, 1)
+        END AS awkward FROM documents""",
     "csv_header_scan": f"""WITH {ROLLUP} SELECT CAST((y - 1995) * 12 + m AS DOUBLE)
         AS "DurationSince", CAST(cnt AS DOUBLE) AS "Count" FROM rollup""",
     "csv_inferred": """SELECT o_orderkey AS loannum, o_totalprice AS balance,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftmark.functions.scalars import rounded
-from driftmark.functions.segments import SEGMENTS, as_feature, customer_segment
+from driftmark.functions.segments import NO_SEGMENT, SEGMENTS, as_feature, customer_segment
 from driftmark.operators import evaluate as E
 from driftmark.operators import features, nearest, sampling
 from driftmark.plans.views import ACCOUNTS, BALANCES, SEGMENTED
@@ -17,6 +17,7 @@ SCORE, DELINQUENCY = "acc_cb_raw_scr_no", "acc_pdue_pplint_qt"
 CENTRES = ((250.0, -1.0), (350.0, 1.0), (450.0, 0.0), (550.0, 2.0), (650.0, -2.0), (750.0, 1.0))
 
 SPLIT_SEED = 11
+LABELS = (*SEGMENTS, NO_SEGMENT)
 
 
 def _segment():
@@ -59,7 +60,7 @@ def segment_index(spark, sf_dir):
 
 
 def segment_onehot(spark, sf_dir):
-    return features.one_hot(segment_index(spark, sf_dir), len(SEGMENTS)).drop("n")
+    return features.one_hot(segment_index(spark, sf_dir), len(LABELS)).drop("n")
 
 
 def split_counts_hash(spark, sf_dir):
@@ -86,7 +87,7 @@ def confusion(spark, sf_dir):
 
 
 def confusion_wide(spark, sf_dir):
-    return E.confusion_wide(_confusion(spark, sf_dir), list(SEGMENTS))
+    return E.confusion_wide(_confusion(spark, sf_dir), list(LABELS))
 
 
 def label_list(spark, sf_dir):
@@ -266,7 +267,7 @@ ORACLE = {
           FROM c)
         SELECT customer_type, label_index, """
     + ", ".join(
-        f"CAST(label_index = {i} AS DOUBLE) AS is_{i}" for i in range(len(SEGMENTS) - 1)
+        f"CAST(label_index = {i} AS DOUBLE) AS is_{i}" for i in range(len(LABELS) - 1)
     )
     + " FROM i",
     "split_counts_hash": f"""WITH {BALANCES}, u AS (
@@ -283,7 +284,7 @@ ORACLE = {
     "confusion_wide": f"WITH {_CONF} SELECT actual, "
     + ", ".join(
         f"CAST(coalesce(sum(n) FILTER (predicted = '{s}'), 0) AS BIGINT) AS \"{s}\""
-        for s in SEGMENTS
+        for s in LABELS
     )
     + " FROM conf GROUP BY actual",
     "label_list": f"WITH {_CONF} SELECT label FROM labels_seen",

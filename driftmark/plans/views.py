@@ -1,5 +1,9 @@
 """SQL text of the views, for the checking engine."""
 
+from __future__ import annotations
+
+from driftmark.functions.segments import HIGH_SCORE, LOW_SCORE, NO_SEGMENT, SEGMENTS
+
 BALANCES = """balances AS (
   SELECT o_orderkey AS loannum, o_custkey AS custkey,
          last_day(CAST(o_orderdate AS DATE)) AS asofdate,
@@ -34,14 +38,14 @@ rollup AS (
 
 
 def segment_case(score: str, delinquency: str) -> str:
-    s, q = score, delinquency
-    return f"""CASE WHEN {s} > 600 AND {q} <= 0 THEN 'good'
-       WHEN {s} < 300 AND {q} > 0 THEN 'bad'
-       WHEN {s} > 600 AND {q} > 0 THEN 'ClassC'
-       WHEN {s} < 300 AND {q} <= 0 THEN 'ClassD'
-       WHEN {s} <= 600 AND {s} >= 300 AND {q} <= 0 THEN 'ClassE'
-       WHEN {s} <= 600 AND {s} >= 300 AND {q} > 0 THEN 'ClassF'
-       ELSE 'NA' END"""
+    """Score band times overdue state, looked up in a list of labels; ``NA`` when either is null."""
+    band = f"(CASE WHEN {score} > {HIGH_SCORE} THEN 0 WHEN {score} < {LOW_SCORE} THEN 2 ELSE 1 END)"
+    overdue = f"(CASE WHEN {delinquency} > 0 THEN 1 ELSE 0 END)"
+    good, bad, c, d, e, f = SEGMENTS
+    labels = ", ".join(f"'{x}'" for x in (good, c, e, f, d, bad))
+    known = f"{score} IS NOT NULL AND {delinquency} IS NOT NULL"
+    return f"""CASE WHEN {known} THEN list_extract([{labels}], 2 * {band} + {overdue} + 1)
+       ELSE '{NO_SEGMENT}' END"""
 
 
 SEGMENTED = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.util import MLReadable, MLWritable
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,19 +13,27 @@ from pyspark.sql import types as T
 PAIR_COLUMNS = ("InputCol1", "InputCol2", "OutputCol", "Classification")
 
 
+# Stands for null where every field is quoted, so that null and empty text stay apart: a
+# character of the private use area.
+_NULL = "\ue000"
+_QUOTED = {"quote": '"', "escape": '"', "nullValue": _NULL, "emptyValue": "", "lineSep": "\n"}
+
+
 def read_headerless(
-    spark: SparkSession, path: str, names: Sequence[str] = PAIR_COLUMNS, sep: str = ","
+    spark: SparkSession,
+    path: str,
+    names: Sequence[str] = PAIR_COLUMNS,
+    sep: str = ",",
+    quoted: bool = False,
 ) -> DataFrame:
-    """Positional strings; no quoting; an empty field is empty text, never null."""
+    """Positional strings; an empty field is empty text, never null. Without ``quoted`` every
+    character but the separator and the line break is data; with it, fields are quoted as
+    ``write_delimited`` does (a quoted field may hold line breaks, so a file is one task)."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = (
-        spark.read.schema(schema)
-        .option("header", False)
-        .option("sep", sep)
-        .option("quote", "")
-        .csv(path)
-    )
-    return rows.na.fill("")
+    reader = spark.read.schema(schema).option("header", False).option("sep", sep)
+    if quoted:
+        return reader.options(**_QUOTED).option("multiLine", True).csv(path).na.fill("")
+    return reader.option("quote", "").csv(path).na.fill("")
 
 
 def read_with_header(
@@ -39,29 +47,56 @@ def read_with_header(
     return body.select(*(fields[i].cast("double").alias(name) for name, i in doubles.items()))
 
 
-def read_inferred(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_inferred(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, quoted: bool = True
+) -> DataFrame:
     """Comma text with a header; types are inferred unless given. Inference is a second pass
-    over the file, so give the schema for large inputs."""
+    over the file, so give the schema for large inputs. Quoted fields may hold separators, quotes
+    and line breaks; quoted empty text is kept, nothing between separators is null."""
     reader = spark.read.option("header", True)
+    if quoted:
+        reader = reader.options(**_QUOTED).option("multiLine", True)
     if schema is None:
         return reader.option("inferSchema", True).csv(path)
     return reader.schema(schema).csv(path)
 
 
+def _plain(c: str, kind: T.DataType, sep: str) -> Column:
+    """The column, or an error where unquoted text could not be read back."""
+    column = F.col(f"`{c}`")
+    if not isinstance(kind, T.StringType):
+        return column
+    unsafe = column.rlike(f'["\\r\\n\\x00]|\\Q{sep}\\E')
+    told = F.raise_error(F.concat(F.lit(f"needs quoting, column {c}: "), column))
+    return F.when(unsafe, told).otherwise(column).alias(c)
+
+
 def write_delimited(
-    df: DataFrame, path: str, header: bool = False, single_file: bool = False
+    df: DataFrame,
+    path: str,
+    header: bool = False,
+    single_file: bool = False,
+    quoted: bool = False,
+    sep: str = ",",
 ) -> None:
-    """Unquoted comma text. ``single_file`` sends everything through one task: small tables."""
+    """Delimited text. With ``quoted`` every field is quoted, inner quotes are doubled and null is a mark
+    of its own, so any value can be read back; without, a text with a separator, a quote or a line break raises.
+    ``single_file`` sends everything through one task: small tables."""
+    if not quoted:
+        df = df.select(*(_plain(f.name, f.dataType, sep) for f in df.schema))
     out = df.coalesce(1) if single_file else df
-    (
+    writer = (
         out.write.mode("overwrite")
         .option("header", header)
-        .option("quote", "")
-        .option("emptyValue", "")
+        .option("sep", sep)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
     )
+    if quoted:
+        writer = writer.options(**_QUOTED).option("quoteAll", True)
+    else:
+        writer = writer.option("quote", "").option("emptyValue", "")
+    writer.csv(path)
 
 
 def read_libsvm(spark: SparkSession, path: str, num_features: int) -> DataFrame:

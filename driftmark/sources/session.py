@@ -21,6 +21,8 @@ SETTINGS = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
+    """Sets what the session leaves open; settings of the caller stay."""
     for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     return spark

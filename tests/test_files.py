@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from driftmark.operators.features import assemble
@@ -36,6 +37,28 @@ def test_text_round_trip(spark, tmp_path):
     assert len(list((tmp_path / "out").glob("part-*.csv"))) == 1
 
 
+AWKWARD = ['"q', "a,b", 'a"b', "", None, "l\r\n\n,", "a\rb", " sp ", "\\", '\\"', "\\N", "NaN"]
+
+
+def test_quoted_text_brings_every_value_back(spark, tmp_path):
+    rows = [(i, a, b) for i, (a, b) in enumerate(zip(AWKWARD, AWKWARD[::-1], strict=True))]
+    df = spark.createDataFrame(rows, "i int, a string, b string")
+    path = str(tmp_path / "quoted")
+    files.write_delimited(df, path, header=True, quoted=True)
+    back = files.read_inferred(spark, path, df.schema).collect()
+    assert sorted(tuple(r) for r in back) == rows
+    files.write_delimited(df.select("a", "b"), path, quoted=True)
+    back = files.read_headerless(spark, path, ["a", "b"], quoted=True).collect()
+    assert sorted(tuple(r) for r in back) == sorted((a or "", b or "") for _, a, b in rows)
+
+
+@pytest.mark.parametrize("value", ["a,b", 'a"b', "a\nb", "a\rb"])
+def test_unquoted_text_refuses_what_it_cannot_hold(spark, tmp_path, value):
+    df = spark.createDataFrame([("fine",), (value,)], "a string")
+    with pytest.raises(Exception, match="needs quoting"):
+        files.write_delimited(df, str(tmp_path / "plain"))
+
+
 def test_inferred_types(spark, tmp_path):
     path = tmp_path / "x.csv"
     path.write_text("Month,cnt\n1,2.5\n2,3\n")
@@ -50,6 +73,27 @@ def test_libsvm_round_trip(spark, tmp_path):
     assert back == {1.0: [0.0, 2.0], 0.0: [3.0, 0.0]}
 
 
+class _Cluster:
+    """A session whose executors are elsewhere."""
+
+    class conf:
+        @staticmethod
+        def get(key, default=None):
+            return default
+
+    class sparkContext:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        scratch.scratch_root(_Cluster)
+
+
 def test_scratch_follows_the_session_setting(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     a, b = scratch.scratch_path(spark, "t"), scratch.scratch_path(spark, "t")

@@ -54,6 +54,7 @@ def test_forest(table):
     assert _accuracy(a.transform(table)) > 0.9
     assert a.toDebugString.split("\n")[1:] == b.toDebugString.split("\n")[1:]
     assert a.getNumTrees == 20
+    assert len({t.toDebugString.split("\n", 1)[1] for t in a.trees}) > 1
 
 
 def test_one_vs_rest(table):

@@ -328,3 +328,21 @@ def test_head_tail(series, values):
 def test_logs_of_non_positive_values_are_null(spark):
     df = spark.createDataFrame([(100.0,), (0.0,), (-1.0,)], "x double")
     assert [r.x for r in X.logged(df, "x", base10=True).collect()] == [2.0, None, None]
+
+
+def test_short_series_keep_their_row(spark):
+    rows = [("long", t, float(t * t % 7)) for t in range(1, 30)] + [("short", 1, 1.0), ("short", 2, 2.0)]
+    df = spark.createDataFrame(rows, "k string, t long, x double")
+    for order in ((1, 1, 0), (1, 1, 1), (0, 1, 1)):
+        got = {r.k: r for r in arima.fit(df, KEY, order=order).collect()}
+        assert set(got) == {"long", "short"} and got["long"].sse is not None
+        assert got["short"].p == order[0] and (order[0] == 0 or got["short"].phi is None)
+
+
+def test_interpolation_on_every_row(spark):
+    rows = [("k", t, None if t % 4 else float(3 * t)) for t in range(1, 200)]
+    df = spark.createDataFrame(rows, "k string, t long, x double")
+    for length in (7, 50, 1000):
+        got = _by_key(outliers.interpolate(df, KEY, "x", "y", length=length), "y")["k"]
+        want = {t: min(max(t, 4), 196) * 3.0 for t in range(1, 200)}
+        assert got == pytest.approx(want)
