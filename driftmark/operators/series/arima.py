@@ -292,6 +292,35 @@ def forecast(
     )
 
 
+def error_bands(
+    fits: DataFrame, keys: Sequence[str], steps: int, d: int = 1, z: float = 1.959963984540054
+) -> DataFrame:
+    """(keys, h, se, half_width): standard error of the forecast h steps ahead, and z times it.
+
+    The error is the sum of the coming shocks, weighted by the response to a unit shock: for
+    the changes 1, phi + theta, phi (phi + theta), ..., summed up once per difference.
+    """
+    phi, theta = F.col("phi"), F.col("theta")
+    response = F.transform(
+        F.sequence(F.lit(0), F.lit(steps - 1)),
+        lambda j: F.when(j == 0, F.lit(1.0)).otherwise(F.pow(phi, j - 1) * (phi + theta)),
+    )
+
+    def running(values: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(1), F.lit(steps)),
+            lambda i: F.aggregate(F.slice(values, 1, i), F.lit(0.0), lambda a, b: a + b),
+        )
+
+    for _ in range(d):
+        response = running(response)
+    variance = running(F.transform(response, lambda r: r * r))
+    se = F.sqrt(F.col("sigma2") * F.col("v"))
+    return fits.select(*keys, "sigma2", F.posexplode(variance).alias("at", "v")).select(
+        *keys, (F.col("at") + 1).alias("h"), se.alias("se"), (se * z).alias("half_width")
+    )
+
+
 def last_change(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     """(keys, w_last): the last first difference of each series."""
     size = df.groupBy(*keys).agg(F.max("t").alias("_n"))

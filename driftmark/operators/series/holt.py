@@ -96,3 +96,24 @@ def forecast(fits: DataFrame, keys: Sequence[str], steps: int) -> DataFrame:
         "h",
         (F.col("level") + F.col("h") * F.col("slope")).alias("forecast"),
     )
+
+
+def intervals(fits: DataFrame, keys: Sequence[str], steps: int) -> DataFrame:
+    """(keys, t, h, forecast, se, low80, high80, low95, high95).
+
+    A shock raises the forecast j steps later by alpha (1 + beta j); its variance is the mean
+    squared error of the rows after the two that only set the state.
+    """
+    ahead = forecast(fits, keys, steps).join(fits.select(*keys, "n", "alpha", "beta", "sse"), list(keys))
+    j = F.sequence(F.lit(0), F.col("h") - 1)
+    gain = F.transform(
+        j, lambda i: F.when(i == 0, F.lit(1.0)).otherwise(F.col("alpha") * (1 + F.col("beta") * i))
+    )
+    total = F.aggregate(gain, F.lit(0.0), lambda a, g: a + g * g)
+    se = F.sqrt(F.col("sse") / F.nullif(F.col("n") - 2, F.lit(0)) * total)
+    bands = [
+        (F.col("forecast") + sign * z * F.col("se")).alias(f"{name}{level}")
+        for level, z in ((80, 1.2815515655446004), (95, 1.959963984540054))
+        for name, sign in (("low", -1), ("high", 1))
+    ]
+    return ahead.withColumn("se", se).select(*keys, "t", "h", "forecast", "se", *bands)

@@ -56,11 +56,14 @@ def asof_sql_scan(spark, sf_dir):
     """The roll-up as SQL text over a temporary view."""
     account_balances(spark, sf_dir).createOrReplaceTempView("driftmark_account_balances")
     dates = ", ".join(f"date'{d}'" for d in AS_OF_DATES)
+    # The dates are month ends: their range of booking times reaches the scan.
+    begin, end = min(AS_OF_DATES).replace(day=1), max(AS_OF_DATES)
     return spark.sql(
         f"""SELECT count(*) AS cnt,
                    round(CAST(sum(acc_ldgr_bl) AS DOUBLE), 2) AS acc_ldgr_sum,
                    year(asofdate) AS year, month(asofdate) AS month, dayofmonth(asofdate) AS day
             FROM driftmark_account_balances WHERE asofdate IN ({dates})
+              AND booked_at >= timestamp'{begin}' AND booked_at < timestamp'{end}' + interval 1 day
             GROUP BY asofdate ORDER BY year, month, day"""
     )
 

@@ -206,6 +206,36 @@ def arima011_forecast(spark, sf_dir):
     return _forecast(spark, sf_dir, (0, 1, 1))
 
 
+def _forecast_se(spark, sf_dir, order):
+    series, fits = _fit(spark, sf_dir, order)
+    fits = _stored(fits)
+    ahead = arima.forecast(series, fits, SEGMENT, "x", 6)
+    out = ahead.join(arima.error_bands(fits, SEGMENT, 6), [*SEGMENT, "h"])
+    low, high = F.col("forecast") - F.col("half_width"), F.col("forecast") + F.col("half_width")
+    out = out.withColumns({"low95": low, "high95": high}).drop("half_width")
+    return _rounded(out, forecast=5, se=5, low95=4, high95=4)
+
+
+def arima110_forecast_se(spark, sf_dir):
+    return _forecast_se(spark, sf_dir, (1, 1, 0))
+
+
+def arima111_forecast_se(spark, sf_dir):
+    return _forecast_se(spark, sf_dir, (1, 1, 1))
+
+
+def holt_intervals(spark, sf_dir):
+    series = _stored(segment_series(spark, sf_dir).select("mktsegment", "t", "x"))
+    out = holt.intervals(holt.fit(series, SEGMENT), SEGMENT, 5)
+    return _rounded(out, forecast=5, se=5, low80=4, high80=4, low95=4, high95=4)
+
+
+def outliers_default_reach(spark, sf_dir):
+    """The documented rule: three quartile distances."""
+    out = outliers.outliers(_stored(event_series(spark, sf_dir)), EVENT)
+    return _rounded(out, replacement=6)
+
+
 def arima_residual_acf(spark, sf_dir):
     order = (1, 1, 1)
     series, fits = _fit(spark, sf_dir, order)
@@ -292,6 +322,10 @@ QUERIES = {
         arima011_ztest,
         arima110_forecast,
         arima111_forecast,
+        arima110_forecast_se,
+        arima111_forecast_se,
+        holt_intervals,
+        outliers_default_reach,
         arima011_forecast,
         arima_residual_acf,
         arima_residual_pacf,
@@ -402,13 +436,11 @@ p{i} AS (SELECT ad{i}.*, lo{i}.fit AS trend FROM ad{i}
 
 def _changes(src: str, d: int, start: int, name: str = "ch") -> str:
     """Nested differences, then rows from position ``start`` on."""
-    cols, prev = [], "x"
     out = f"{name}_0 AS (SELECT k, t, x AS w0 FROM {src})"
     for i in range(1, d + 1):
         out += f""",
 {name}_{i} AS (SELECT k, t, w{i-1} - lag(w{i-1}) OVER (PARTITION BY k ORDER BY t) AS w{i}
   FROM {name}_{i-1})"""
-    del cols, prev
     return (
         out
         + f""",
@@ -486,7 +518,7 @@ SELECT k AS mktsegment, term, {_r('estimate', 'estimate', 6)}, {_r('std_error',
   {_r('zz', 'z', 5)}, {_r(f'2 * {_CDF}', 'p_value', 6)} FROM zs"""
 
 
-def _forecast_sql(order):
+def _ahead_sql(order):
     return f"""WITH RECURSIVE {_SEG},
 {_arima(order)},
 ends AS (SELECT k, arg_max(x, t) AS x_last, arg_max(x, t) - arg_max(prev, t) AS w_last
@@ -494,10 +526,25 @@ ends AS (SELECT k, arg_max(x, t) AS x_last, arg_max(x, t) - arg_max(prev, t) AS
 ahead(k, phi, h, w, f) AS (
   SELECT k, phi, 1, phi * w_last + theta * e_last, x_last + phi * w_last + theta * e_last
   FROM css JOIN ends USING (k)
-  UNION ALL SELECT k, phi, h + 1, phi * w, f + phi * w FROM ahead WHERE h < 6)
+  UNION ALL SELECT k, phi, h + 1, phi * w, f + phi * w FROM ahead WHERE h < 6)"""
+
+
+def _forecast_sql(order):
+    return f"""{_ahead_sql(order)}
 SELECT k AS mktsegment, h, {_r('f', 'forecast', 5)} FROM ahead"""
 
 
+def _forecast_se_sql(order):
+    # The summed response in closed form.
+    response = "pow(1 + (css.phi + theta) * (1 - pow(css.phi, j)) / (1 - css.phi), 2)"
+    return f"""{_ahead_sql(order)},
+bands AS (SELECT k, h, f, sqrt(sigma2 * list_sum(list_transform(range(0, h), lambda j: {response}))) AS se
+  FROM ahead JOIN css USING (k))
+SELECT k AS mktsegment, h, {_r('f', 'forecast', 5)}, {_r('se', 'se', 5)},
+  {_r('f - 1.959963984540054::DOUBLE * se', 'low95', 4)},
+  {_r('f + 1.959963984540054::DOUBLE * se', 'high95', 4)} FROM bands"""
+
+
 def _residuals_sql(order):
     return f"""{_arima(order)},
 res(k, t, phi, theta, x) AS (
@@ -627,6 +674,19 @@ SELECT k AS mktsegment, t, x, {_PARTS} FROM parts""",
     "arima111_ztest": _ztest_sql((1, 1, 1)),
     "arima011_ztest": _ztest_sql((0, 1, 1)),
     "arima110_forecast": _forecast_sql((1, 1, 0)),
+    "arima110_forecast_se": _forecast_se_sql((1, 1, 0)),
+    "arima111_forecast_se": _forecast_se_sql((1, 1, 1)),
+    "holt_intervals": f"""WITH RECURSIVE {_SEG}, {_holt('s')}, e AS (
+        SELECT k, n, l, b, unnest(range(1, 6)) AS h, alpha, beta, sse FROM hb), g AS (
+        SELECT k, CAST(n + h AS INTEGER) AS t, h, l + h * b AS f, sqrt(sse / (n - 2) * (1 + alpha * alpha * ((h - 1)
+          + beta * (h - 1) * h + beta * beta * (h - 1) * h * (2 * h - 1) / 6))) AS se FROM e)
+        SELECT k AS mktsegment, t, CAST(h AS INTEGER) AS h, {_r('f', 'forecast', 5)}, {_r('se', 'se', 5)},
+          {_r('f - 1.2815515655446004::DOUBLE * se', 'low80', 4)},
+          {_r('f + 1.2815515655446004::DOUBLE * se', 'high80', 4)},
+          {_r('f - 1.959963984540054::DOUBLE * se', 'low95', 4)},
+          {_r('f + 1.959963984540054::DOUBLE * se', 'high95', 4)} FROM g""",
+    "outliers_default_reach": f"""WITH {_EVENT}, {_OUT.format(r='3.0')} SELECT k AS event_type, t, x,
+        {_r('smooth', 'replacement', 6)} FROM fl WHERE is_outlier""",
     "arima111_forecast": _forecast_sql((1, 1, 1)),
     "arima011_forecast": _forecast_sql((0, 1, 1)),
     "arima_residual_acf": f"""WITH RECURSIVE {_SEG}, {_residuals_sql((1, 1, 1))}, {_acf('res')}
