@@ -41,42 +41,61 @@ _SUMS = ("aa", "ab", "bb", "a", "b")
 
 # The functions that run in Python workers are closures: they travel by value, so a worker needs
 # numpy and pandas but not this package.
+def _padding():
+    """Lists as columns of a matrix, in the given order, zeros after their end."""
+
+    def padded(lists: pd.Series, order: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        out = np.zeros((sizes[0] if len(sizes) else 0, len(order)))
+        for at, (i, size) in enumerate(zip(order, sizes, strict=True)):
+            out[:size, at] = lists.iloc[i]
+        return out
+
+    return padded
+
+
 def _block_sums():
-    """UDF: sums of aa, ab, bb over the rows after the warm-up, and the last a and b, per theta."""
-    theta = np.array(THETAS)
-
-    def filtered(w, lagged, skip):
-        a, b = np.zeros_like(theta), np.zeros_like(theta)
-        aa, ab, bb = np.zeros_like(theta), np.zeros_like(theta), np.zeros_like(theta)
-        for i in range(len(w)):
-            a = w[i] - theta * a
-            b = lagged[i] - theta * b
-            if i >= skip:
-                aa += a * a
-                ab += a * b
-                bb += b * b
-        return aa, ab, bb, a, b
+    """UDF: sums of aa, ab, bb over the rows after the warm-up, and the last a and b, per theta.
+
+    All blocks of a batch take a step together, the longest ones first, so that those that have
+    ended fall off the end."""
+    theta, padded = np.array(THETAS), _padding()
 
     def sums(w: pd.Series, lagged: pd.Series, skip: pd.Series) -> pd.DataFrame:
-        rows = [filtered(x, y, int(n)) for x, y, n in zip(w, lagged, skip, strict=True)]
-        return pd.DataFrame(rows, columns=["aa", "ab", "bb", "a", "b"])
+        n = w.map(len).to_numpy()
+        order = np.argsort(-n, kind="stable")
+        skips, sizes = skip.to_numpy()[order], n[order]
+        xs, ys = padded(w, order, sizes), padded(lagged, order, sizes)
+        state = np.zeros((5, len(n), len(theta)))
+        a, b, aa, ab, bb = state
+        for i in range(sizes[0] if len(sizes) else 0):
+            k = int(np.searchsorted(-sizes, -i, side="left"))
+            a[:k] = xs[i, :k, None] - theta * a[:k]
+            b[:k] = ys[i, :k, None] - theta * b[:k]
+            on = (i >= skips[:k])[:, None]
+            aa[:k] += np.where(on, a[:k] * a[:k], 0.0)
+            ab[:k] += np.where(on, a[:k] * b[:k], 0.0)
+            bb[:k] += np.where(on, b[:k] * b[:k], 0.0)
+        back = np.argsort(order, kind="stable")
+        columns = dict(zip(("a", "b", "aa", "ab", "bb"), state[:, back], strict=True))
+        return pd.DataFrame({c: list(columns[c]) for c in ("aa", "ab", "bb", "a", "b")})
 
     return F.pandas_udf(sums, T.StructType([T.StructField(c, _ARRAY) for c in _SUMS]))
 
 
 def _block_residuals():
-    """UDF: the residuals of a block, warm-up included."""
+    """UDF: the residuals of a block, warm-up included; all blocks of a batch step together."""
+    padded = _padding()
 
     def recurse(w: pd.Series, lagged: pd.Series, phi: pd.Series, theta: pd.Series) -> pd.Series:
-        out = []
-        for x, y, p, q in zip(w, lagged, phi, theta, strict=True):
-            u = (x - p * y).tolist()
-            e = 0.0
-            for i, v in enumerate(u):
-                e = v - q * e
-                u[i] = e
-            out.append(u)
-        return pd.Series(out)
+        n = w.map(len).to_numpy()
+        order = np.argsort(-n, kind="stable")
+        sizes, p, q = n[order], phi.to_numpy()[order], theta.to_numpy()[order]
+        u = padded(w, order, sizes) - p * padded(lagged, order, sizes)
+        for i in range(1, len(u)):
+            k = int(np.searchsorted(-sizes, -i, side="left"))
+            u[i, :k] -= q[:k] * u[i - 1, :k]
+        back = np.argsort(order, kind="stable")
+        return pd.Series([u[: n[i], at] for i, at in enumerate(back)])
 
     return F.pandas_udf(recurse, _ARRAY)
 

@@ -32,28 +32,32 @@ def _block_smooth():
     alpha = np.array([a for a, _ in GRID])
     gain = alpha * np.array([b for _, b in GRID])
 
-    def smooth(x, first, skip):
-        level, slope, sse = np.zeros_like(alpha), np.zeros_like(alpha), np.zeros_like(alpha)
-        start = 0
-        if first:
-            # Rows 1 and 2 only set the state.
-            start = min(2, len(x))
-            level += x[start - 1]
-            slope += x[start - 1] - x[0]
-        else:
-            level += x[0]
-        for i in range(start, len(x)):
-            level = level + slope
-            error = x[i] - level
-            level = level + alpha * error
-            slope = slope + gain * error
-            if i >= skip:
-                sse += error * error
-        return sse, level, slope
-
     def run(x: pd.Series, block: pd.Series, skip: pd.Series) -> pd.DataFrame:
-        rows = [smooth(v, b == 0, int(s)) for v, b, s in zip(x, block, skip, strict=True)]
-        return pd.DataFrame(rows, columns=["sse", "level", "slope"])
+        # All blocks of a batch take a step together, the longest ones first.
+        n = x.map(len).to_numpy()
+        order = np.argsort(-n, kind="stable")
+        sizes, skips, first = n[order], skip.to_numpy()[order], (block.to_numpy() == 0)[order]
+        data = np.zeros((sizes[0] if len(sizes) else 0, len(order)))
+        for at, (i, size) in enumerate(zip(order, sizes, strict=True)):
+            data[:size, at] = x.iloc[i]
+        # Rows 1 and 2 of a series only set the state.
+        start = np.where(first, np.minimum(2, sizes), 0)
+        begin = data[np.maximum(start - 1, 0), np.arange(len(order))] if len(data) else sizes
+        state = np.zeros((3, len(order), len(alpha)))
+        sse, level, slope = state
+        level += begin[:, None]
+        slope += np.where(first, begin - (data[0] if len(data) else 0), 0.0)[:, None]
+        for i in range(len(data)):
+            k = int(np.searchsorted(-sizes, -i, side="left"))
+            on = (i >= start[:k])[:, None]
+            ahead = level[:k] + slope[:k]
+            error = data[i, :k, None] - ahead
+            level[:k] = np.where(on, ahead + alpha * error, level[:k])
+            slope[:k] = np.where(on, slope[:k] + gain * error, slope[:k])
+            sse[:k] += np.where(on & (i >= skips[:k])[:, None], error * error, 0.0)
+        back = np.argsort(order, kind="stable")
+        names = ("sse", "level", "slope")
+        return pd.DataFrame({c: list(v) for c, v in zip(names, state[:, back], strict=True)})
 
     kind = T.ArrayType(T.DoubleType())
     return F.pandas_udf(run, T.StructType([T.StructField(c, kind) for c in _STATE]))
