@@ -30,7 +30,7 @@ from driftmark.llm.batches import slices
 from driftmark.llm.hashing import BASES, Rolling
 
 BUCKETS = 1 << 14
-FREQUENT = 1 << 21
+FREQUENT = 1 << 20
 LONG_WORD = 128
 SLICE_BYTES = 1 << 20
 #: More than any array of pieces is long.
