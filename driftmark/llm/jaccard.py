@@ -34,7 +34,7 @@ from driftmark.sources.scratch import materialize, scratch_path
 SHINGLE = 5
 PERCENT = 80
 SLICE_BYTES = 2 << 20
-BUCKET_TOKENS = 4_000_000
+BUCKET_TOKENS = 2_000_000
 BLOCK_TOKENS = 2_000_000
 GROUP = 64
 MOST_CLASSES = 250
