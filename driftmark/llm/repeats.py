@@ -31,11 +31,11 @@ from driftmark.llm.suffixes import common_prefixes, suffix_array
 from driftmark.sources.scratch import materialize, scratch_path
 
 LENGTH = 100
-GRAM = 24
+GRAM = 40
 MOST_STARTS = 64
-SLICE_BYTES = 2 << 20
-SEGMENT_BYTES = 4 << 20
-BUCKET_RUNS = 2_000_000
+SLICE_BYTES = 1 << 20
+SEGMENT_BYTES = 2 << 20
+BUCKET_RUNS = 1_000_000
 SHARD_RUNS = 16_000
 MERGE_WINDOWS = 2_000_000
 NO_ID = np.iinfo(np.int64).max
@@ -282,13 +282,15 @@ def _flat(table: pa.Table, column: str) -> np.ndarray:
 def cut_runs(sliced: DataFrame, matched: DataFrame, parts: int) -> DataFrame:
     """(group, shard, many, anchor, doc, rid, slice, start, bytes) of runs that may repeat in part."""
 
+    runs = Runs()
+
     def cut(left, right):
         out = {k: [] for k in ("group", "shard", "many", "anchor", "doc", "rid", "slice", "start", "bytes")}
         starts, shards = _flat(right, "part"), _flat(right, "shard")
         if len(starts):
             for row in left.to_pylist():
                 body, ends, ids = _open(row)
-                first, last, anchor, _ = Runs()(body, ends)
+                first, last, anchor, _ = runs(body, ends)
                 at = np.searchsorted(first, starts)
                 owner = np.searchsorted(ends, starts, side="right")
                 out["group"] += (anchor[at] % np.uint64(parts)).astype(np.int64).tolist()
@@ -439,12 +441,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         .withColumn("whole", F.array().cast("array<int>"))
     )
 
+    runs = Runs()
+
     def drop(left, right):
         out = {"doc_id": [], "n_bytes": [], "spans": [], "kept": []}
         whole, firsts, lasts = (_flat(right, c) for c in ("whole", "first", "last"))
         for row in left.to_pylist():
             body, ends, ids = _open(row)
-            found = Runs()(body, ends)
+            found = runs(body, ends)
             first, last = found[0], found[1]
             earliest, group = distinct_runs(found, ends, ids)
             repeated = np.ones(len(first), bool)
