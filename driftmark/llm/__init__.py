@@ -8,5 +8,6 @@ import sys
 
 from pyspark import cloudpickle
 
-# Functions sent to workers take their helpers along, so executors need not have this package.
+# Functions sent to workers take their helpers along, so executors need not have this package. What
+# is broadcast must then be plain values: a broadcast names its classes instead of carrying them.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -220,10 +220,15 @@ class WordPlaces:
     """Places of known words by their hashes: an open-addressing table in numpy arrays, a fraction
     of the size of a dictionary of texts."""
 
-    def __init__(self, codes: np.ndarray, checks: np.ndarray):
-        self.codes, self.checks = codes, checks
+    def __init__(self, codes: np.ndarray, checks: np.ndarray, slots: np.ndarray | None = None):
+        self.codes, self.checks, self.slots = codes, checks, slots
         bits = max(int(2 * len(codes)).bit_length(), 4)
         self.mask = np.uint64((1 << bits) - 1)
+        if slots is None:
+            self._fill(bits)
+
+    def _fill(self, bits: int) -> None:
+        codes = self.codes
         self.slots = np.full(1 << bits, -1, np.int32)
         rest = np.arange(len(codes), dtype=np.int32)
         at = codes & self.mask
@@ -291,13 +296,13 @@ def encode(
     """
     buckets = rank_buckets(ranks)
     places, known_lengths, known_ids = frequent_words(docs, buckets, pattern, most)
-    shared_places = spark.sparkContext.broadcast(places)
+    shared_places = spark.sparkContext.broadcast((places.codes, places.checks, places.slots))
     shared_ids = spark.sparkContext.broadcast((known_lengths, known_ids))
     all_ranks = spark.sparkContext.broadcast(ranks)
 
     def look_up(batches):
         """Per document the places of its words in the shared list; below zero, in its own one."""
-        find, hashes = splitter(pattern), WordHash()
+        find, hashes, places = splitter(pattern), WordHash(), WordPlaces(*shared_places.value)
         for batch in slices(batches, "text", SLICE_BYTES):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             found = [find(t) for t in texts]
@@ -313,7 +318,7 @@ def encode(
             else:
                 ends = np.cumsum(sizes)
             starts = np.concatenate([[0], ends[:-1]])[: len(ends)]
-            codes = shared_places.value(*hashes(data, starts, ends))
+            codes = places(*hashes(data, starts, ends))
             unknown = []
             new = np.flatnonzero(codes < 0)
             cuts = np.searchsorted(new, np.concatenate([[0], np.cumsum(counts)]))

@@ -284,11 +284,13 @@ class Labeller:
 
 def _labelled(docs: DataFrame, model: Model, carried: Column) -> DataFrame:
     """(carried, lang_pred, score)"""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (model.languages, model.weights, model.transitions, model.lexicon)
+    )
 
     def label(batches):
-        labeller = Labeller(shared.value)
-        names = [*shared.value.languages, UNDETERMINED]
+        labeller = Labeller(Model(*shared.value))
+        names = [*labeller.model.languages, UNDETERMINED]
         for batch in slices(batches, "text", SLICE_BYTES):
             p = labeller([t or "" for t in batch.column("text").to_pylist()])
             if p.shape[1]:

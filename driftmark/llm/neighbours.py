@@ -128,11 +128,12 @@ def nearest(
     # A group is some leaves, or a part of a leaf that has outgrown the sample's depth.
     salts = -(-(n >> forest.depth) // GROUP_ROWS) or 1
     groups = -(-trees * n // (GROUP_ROWS * salts)) or 1
-    shared = rows.sparkSession.sparkContext.broadcast(forest)
+    shared = rows.sparkSession.sparkContext.broadcast((forest.directions, forest.cuts))
 
     def index(batches):
+        forest = Forest(*shared.value)
         for batch in batches:
-            where = leaves_of(matrix(batch.column("embedding")), shared.value)
+            where = leaves_of(matrix(batch.column("embedding")), forest)
             for t, leaf in enumerate(where):
                 code = np.full(len(leaf), t, np.int64) << 32 | leaf
                 yield pa.record_batch(
@@ -144,9 +145,10 @@ def nearest(
                 )
 
     def probe(batches):
+        forest = Forest(*shared.value)
         for batch in batches:
             found = [
-                [t << 32 | leaf for t, leaf in nearest_leaves(q, shared.value, opened)]
+                [t << 32 | leaf for t, leaf in nearest_leaves(q, forest, opened)]
                 for q in matrix(batch.column("embedding"))
             ]
             yield pa.record_batch(

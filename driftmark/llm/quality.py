@@ -145,10 +145,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     docs: doc_id and text; other columns are ignored. Null and repeated ids are rows like any other.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (model.good, model.bad, model.slopes, model.offset, model.piece)
+    )
 
     def compress(batches):
-        m = shared.value
+        m = Model(*shared.value)
         good, bad = compressor(m.good), compressor(m.bad)
         for batch in slices(batches, "text", SLICE_BYTES):
             texts = batch.column("text").to_pylist()
