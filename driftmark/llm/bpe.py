@@ -33,6 +33,7 @@ BUCKETS = 1 << 14
 FREQUENT = 1 << 20
 LONG_WORD = 128
 SLICE_BYTES = 1 << 20
+OUTPUT_ROWS = 256
 #: More than any array of pieces is long.
 REST = 1 << 30
 
@@ -336,10 +337,16 @@ def encode(
                 }
             )
 
+    def parts(batches):
+        """A few hundred rows at a time, as ids take several times the room of the text."""
+        for batch in batches:
+            for i in range(0, batch.num_rows, OUTPUT_ROWS):
+                yield batch.slice(i, OUTPUT_ROWS)
+
     def fill_in(batches):
         lengths, flat = shared_ids.value
         starts = np.cumsum(lengths, dtype=np.int64) - lengths
-        for batch in batches:
+        for batch in parts(batches):
             ids, ends = [np.empty(0, np.int32)], [0]
             for codes, unknown, folded in zip(
                 batch.column("codes"), batch.column("unknown"), batch.column("folded"), strict=True

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
 from driftmark.llm import bpe, html, jaccard, langid, mixing, neighbours, quality, repeats, secrets, topk
+from driftmark.llm.batches import small_batches
 from driftmark.sources.tables import read_table
 
 
@@ -183,17 +186,28 @@ def op9_crf_language(spark, sf_dir):
     )
 
 
+def _run(query):
+    @wraps(query)
+    def run(spark, sf_dir):
+        return query(small_batches(spark), sf_dir)
+
+    return run
+
+
 QUERIES = {
-    "op2_suffix_dedup": op2_suffix_dedup,
-    "op4_jaccard_join": op4_jaccard_join,
-    "op1_main_text": op1_main_text,
-    "op5_nearest_neighbours": op5_nearest_neighbours,
-    "op7_topk_products": op7_topk_products,
-    "op3_compression_quality": op3_compression_quality,
-    "op9_crf_language": op9_crf_language,
-    "op6_byte_bpe": op6_byte_bpe,
-    "op10_secret_scan": op10_secret_scan,
-    "op8_mix_sources": op8_mix_sources,
+    f.__name__: _run(f)
+    for f in (
+        op1_main_text,
+        op2_suffix_dedup,
+        op3_compression_quality,
+        op4_jaccard_join,
+        op5_nearest_neighbours,
+        op6_byte_bpe,
+        op7_topk_products,
+        op8_mix_sources,
+        op9_crf_language,
+        op10_secret_scan,
+    )
 }
 
 ORACLE = {

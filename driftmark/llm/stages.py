@@ -5,15 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 
 from driftmark.llm import jaccard, langid, mixing, queries, secrets
+from driftmark.llm.batches import small_batches
 
 
 def identified(spark, docs, sf_dir):
     """Documents whose language is found; those without a letter go."""
+    small_batches(spark)
     return langid.with_language(docs, langid.fit(docs, ~queries.held_out(2, 4)))
 
 
 def deduplicated(spark, docs, sf_dir):
     """One document, that of the smallest id, of every component of near duplicates."""
+    small_batches(spark)
     return jaccard.one_per_component(docs)
 
 
@@ -29,5 +32,6 @@ def mixed(spark, docs, sf_dir):
 
 def encoded(spark, docs, sf_dir):
     """Token counts and digests of every document."""
+    small_batches(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return queries.encoded_digests(spark, docs, path)
