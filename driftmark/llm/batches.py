@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +23,21 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def release_memory() -> None:
+    """Free pages back to the system: a Python worker goes on to other stages with what it has."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(
     batches: Iterator[pa.RecordBatch], column: str, size: int
 ) -> Iterator[pa.RecordBatch]:
     """Parts of the batches in which the text or binary column holds about ``size`` bytes; a
     longer value is a part of its own."""
+    release_memory()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -35,3 +46,4 @@ def slices(
         cuts = np.flatnonzero(np.diff(before // size, prepend=-1))
         for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
+    release_memory()

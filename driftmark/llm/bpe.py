@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm.batches import slices
+from driftmark.llm.batches import release_memory, slices
 from driftmark.llm.hashing import BASES, Rolling
 
 BUCKETS = 1 << 14
@@ -342,6 +342,7 @@ def encode(
         for batch in batches:
             for i in range(0, batch.num_rows, OUTPUT_ROWS):
                 yield batch.slice(i, OUTPUT_ROWS)
+        release_memory()
 
     def fill_in(batches):
         lengths, flat = shared_ids.value
