@@ -24,7 +24,6 @@ from driftmark.llm.batches import slices
 from driftmark.sources.scratch import scratch_path
 
 LEAST_PAGES = 5
-LEAST_SHARE = 0.05
 SLICE_BYTES = 8 << 20
 
 VOID = frozenset(
@@ -262,32 +261,22 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def templates(
-    parsed: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE
-) -> DataFrame:
-    """(host, subtree): subtrees beside at least ``least_pages`` different articles of the host, and
-    beside at least ``least_share`` of them."""
+def templates(parsed: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """(host, subtree): subtrees beside at least ``least_pages`` different articles of the host,
+    however many it has: the bar does not grow with the host, where a section's template is on few
+    of its pages."""
     # Copies of a page count once; equal rows meet before the shuffle.
-    articles = parsed.select("host", "article").distinct().groupBy("host").agg(
-        F.count(F.lit(1)).alias("of")
-    )
-    seen = (
+    return (
         parsed.select("host", "article", F.explode("subtrees").alias("subtree"))
         .distinct()
         .groupBy("host", "subtree")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= least_pages)
-    )
-    return (
-        seen.join(articles, "host")
-        .where(F.col("n") >= least_share * F.col("of"))
         .select("host", "subtree")
     )
 
 
-def main_text(
-    pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE
-) -> DataFrame:
+def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars, host) per page; text is empty where there is none.
 
     pages: page_id, url and html; other columns are ignored. Null and empty html give empty text, a
@@ -304,7 +293,7 @@ def main_text(
     opened = parsed.where(F.col("text").isNull()).withColumn(
         "key", F.xxhash64("host", "article", "subtrees", "blocks")
     )
-    template = templates(parsed, least_pages, least_share)
+    template = templates(parsed, least_pages)
     gone = (
         opened.select("key", "host", F.explode(F.array_distinct(F.flatten("blocks.inside"))).alias("subtree"))
         .distinct()

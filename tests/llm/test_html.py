@@ -54,6 +54,16 @@ def test_templates_of_a_host(spark):
     assert got[None].text == "t"
 
 
+def test_template_on_one_page_in_a_hundred_of_a_large_host(spark):
+    def page(i):
+        notice = "<div>Strike news <b>here</b></div>" if i % 100 == 0 else ""
+        wrap = "<article>{}</article>" if i % 200 == 0 else "<div>{}</div>"
+        return (i, f"https://big/{i}", "<body>" + wrap.format(f"{notice}<p>Story {i}</p>") + "</body>")
+
+    got = html.main_text(pages(spark, [page(i) for i in range(2000)])).collect()
+    assert len(got) == 2000 and all(r.text == f"Story {r.page_id}" for r in got)
+
+
 def test_articles_keep_repeated_paragraphs(spark):
     rows = [
         (i, "http://h/", f"<nav>m</nav><article><p>Always the same.</p><p>No. {i} 😀</p></article>") for i in range(30)
