@@ -3,7 +3,9 @@
 Every page is parsed once into text blocks and hashes of its element subtrees. Spark counts, per
 host, the different articles a subtree occurs beside; subtrees that recur across many of them are
 the site's template and are deleted. Tags and class names that say what they are (menus, adverts,
-forms, ...) are left out on every page, so pages of small hosts lose their furniture too.
+forms, ...) are left out on every page, so pages of small hosts lose their furniture too. Headings
+and plain paragraphs are not judged by name, and inside an article a name only counts as a whole
+class or role of a container that the host uses beside many different articles.
 
 Plain paragraphs and headings of an article are never template: a host may print one article, or one
 sentence, many times.
@@ -40,7 +42,11 @@ INLINE = frozenset(
     "span strike strong sub sup time tt u var wbr br".split()
 )
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr tbody thead".split())
+#: Prose that a name never removes.
+PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 ROOTS = frozenset("html body article main".split())
+#: Classes and roles of an article element that is not the page's.
+CARDS = frozenset("comment comments reply related".split())
 CLOSED_BY = {
     "li": ("li",),
     "dt": ("dt", "dd"),
@@ -52,7 +58,7 @@ CLOSED_BY = {
 }
 #: Where a search for an element to close stops.
 SCOPES = frozenset("table ul ol dl article section div body html".split())
-#: Words of class, id and role that name furniture.
+#: Words of class, id and role that name furniture; inside an article, whole classes and roles.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo "
     "cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription paywall "
@@ -70,23 +76,24 @@ WORDS = re.compile(r"[A-Za-z]+")
 
 
 class _Element:
-    __slots__ = ("tag", "gone", "article", "digest", "number", "prose")
+    __slots__ = ("tag", "gone", "article", "digest", "number", "prose", "shell")
 
-    def __init__(self, tag, gone, article, number, prose):
+    def __init__(self, tag, gone, article, number, prose, shell=-1):
         self.tag, self.gone, self.article = tag, gone, article
         self.digest = hashlib.blake2b(digest_size=8)
-        self.number, self.prose = number, prose
+        self.number, self.prose, self.shell = number, prose, shell
 
 
 class Page:
     """Blocks of text with the subtrees they lie in.
 
-    ``blocks``: (text, in an article, numbers of the enclosing subtrees); ``subtrees``: their hashes
-    by number. Furniture has subtrees but no blocks.
+    ``blocks``: (text, in an article, numbers of the enclosing subtrees, in a named container of an
+    article); ``subtrees``: their hashes by number. Furniture has subtrees but no blocks. A named
+    container of an article has one more entry, its shell: the hash of its tag and names alone.
     """
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, bool, list[int]]] = []
+        self.blocks: list[tuple[str, bool, list[int], bool]] = []
         self.subtrees: list[int] = []
         self.has_article = False
         self._stack = [_Element("", False, False, -1, False)]
@@ -134,7 +141,8 @@ class Page:
         self._text.clear()
         if text:
             chain = [e.number for e in self._stack if e.number >= 0]
-            self.blocks.append((text, self._stack[-1].article, chain))
+            shells = [e.shell for e in self._stack if e.shell >= 0]
+            self.blocks.append((text, self._stack[-1].article, chain + shells, bool(shells)))
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag not in INLINE:
@@ -143,19 +151,28 @@ class Page:
         if tag == "br":
             self._text.append(" ")
         above = self._stack[-1]
-        names = set()
+        names, tokens = set(), set()
         if attributes:
             for m in ATTRIBUTE.finditer(attributes):
-                names.update(w.lower() for w in WORDS.findall(m[2] or m[3] or m[4] or ""))
+                value = (m[2] or m[3] or m[4] or "").lower()
+                names.update(WORDS.findall(value))
+                if m[1].lower() != "id":
+                    tokens.update(value.split())
         article = above.article or tag in ("article", "main") or "main" in names and tag == "div"
         # A header is the site's unless it stands in an article.
         gone = (
             above.gone
             or tag in FURNITURE
             or tag == "header" and not above.article
-            or tag not in ROOTS and bool(names & NAMES)
-            or tag == "article" and bool(names & {"comment", "comments", "reply", "related"})
+            or tag not in ROOTS | PLAIN and not above.article and bool(names & NAMES)
+            or tag == "article" and not above.article and bool(tokens & CARDS)
         )
+        shell = -1
+        if above.article and not gone and tag not in INLINE | PROSE and tokens & NAMES:
+            mark = f"{tag} {' '.join(sorted(tokens))}".encode("utf-8", "replace")
+            digest = hashlib.blake2b(mark, digest_size=8, person=b"shell").digest()
+            shell = len(self.subtrees)
+            self.subtrees.append(int.from_bytes(digest, "big", signed=True))
         self.has_article |= article and not gone
         prose = above.prose or tag in PROSE
         counted = tag not in ROOTS and tag not in INLINE and not (prose and above.article)
@@ -163,7 +180,7 @@ class Page:
         if counted:
             number = len(self.subtrees)
             self.subtrees.append(0)
-        element = _Element(tag, gone, article and not gone, number, prose)
+        element = _Element(tag, gone, article and not gone, number, prose, shell)
         element.digest.update(f"<{tag} {' '.join(sorted(names))}>".encode())
         self._stack.append(element)
 
@@ -201,13 +218,14 @@ class Page:
         if element.number >= 0:
             self.subtrees[element.number] = int.from_bytes(digest, "big", signed=True)
 
-    def main_blocks(self) -> list[tuple[str, list[int]]]:
+    def main_blocks(self, named: bool = False) -> list[tuple[str, list[int]]]:
         """(text, hashes of the enclosing subtrees): the article's blocks, or without an article
-        all that are not furniture."""
+        all that are not furniture. Those in named containers of an article, which the counts of
+        the host decide, only if ``named``."""
         return [
             (text, [self.subtrees[n] for n in chain])
-            for text, article, chain in self.blocks
-            if article or not self.has_article
+            for text, article, chain, inside in self.blocks
+            if (article or not self.has_article) and (named or not inside)
         ]
 
 
@@ -228,9 +246,10 @@ def parse_pages(pages: DataFrame) -> DataFrame:
             articles, subtrees, texts, blocks = [], [], [], []
             for source in batch.column("html").to_pylist():
                 page = Page(source or "")
-                main = page.main_blocks()
-                text = "\n\n".join(t for t, _ in main)
+                # Copies of an article under other comments or links are one article.
+                text = "\n\n".join(t for t, _ in page.main_blocks())
                 mark = hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest()
+                main = page.main_blocks(named=True)
                 articles.append(int.from_bytes(mark, "big", signed=True))
                 subtrees.append(list(dict.fromkeys(page.subtrees)))
                 open_ = any(chain for _, chain in main)

@@ -64,6 +64,26 @@ def test_template_on_one_page_in_a_hundred_of_a_large_host(spark):
     assert len(got) == 2000 and all(r.text == f"Story {r.page_id}" for r in got)
 
 
+def test_names_inside_an_article(spark):
+    body = """<h1>T{0}</h1><section id="related-work"><h2 id="social-impact">Impact {0}</h2>
+    <p class="notice">Notice {0}</p><p>See <span class="share">shares</span></p></section>
+    <div class="reply-to-critics">Critics {0}</div>{1}"""
+
+    def page(i, host, extra):
+        return (i, f"https://{host}/{i}", f"<article>{body.format(i, extra.format(i))}</article>")
+
+    rows = [page(i, "a", '<div class="x comments">Comment {0}</div>') for i in range(6)]
+    rows += [page(10 + i, "b", '<section class="related">Real {0}</section>') for i in range(2)]
+    rows += [(20, "https://c/", '<h2 id="social-impact">H</h2><p class="notice">P</p><div class="notice">D</div>')]
+    got = {r.page_id: r.text for r in html.main_text(pages(spark, rows)).collect()}
+    own = "T{0}\n\nImpact {0}\n\nNotice {0}\n\nSee shares\n\nCritics {0}"
+    for i in range(6):
+        assert got[i] == own.format(i)
+    for i in (10, 11):
+        assert got[i] == own.format(i) + f"\n\nReal {i}"
+    assert got[20] == "H\n\nP"
+
+
 def test_articles_keep_repeated_paragraphs(spark):
     rows = [
         (i, "http://h/", f"<nav>m</nav><article><p>Always the same.</p><p>No. {i} 😀</p></article>") for i in range(30)
