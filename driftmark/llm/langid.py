@@ -5,9 +5,10 @@ each word a potential per language, learnt transitions tie neighbours together,
 forward-backward recursion labels every word, so a text may switch between languages. A document
 gets the language with the highest mean probability over its words.
 
-The fit sees a bounded sample, at most ``SAMPLE_ROWS`` documents per language of up to
-``SAMPLE_TEXT`` characters, in chains that join fragments of different documents. Every whole text
-is labelled, in chains of ``CHAIN`` words.
+The fit learns every language that a document with a letter is labelled with, from a bounded
+sample: at most ``SAMPLE_ROWS`` documents per language, of longer ones pieces of ``SAMPLE_TEXT``
+characters in all (less where many languages would exceed ``SAMPLE_CHARS``), in chains that join
+fragments of different documents. Every whole text is labelled, in chains of ``CHAIN`` words.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from driftmark.llm.batches import slices
 
 SAMPLE_ROWS = 400
 SAMPLE_TEXT = 20_000
-MOST_LANGUAGES = 64
+#: Characters of the whole sample, and the least left to a document of it.
+SAMPLE_CHARS = 1 << 27
+LEAST_TEXT = 2_000
 FRAGMENT = 32
 FRAGMENTS_PER_DOC = 4
 CHAIN = 128
@@ -35,6 +38,8 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 EPOCHS = 4
 SLICE_BYTES = 2 << 20
 KNOWN_WORDS = 300_000
+#: Numbers in a block of work and, times eight, in the kept word potentials, for many languages.
+BLOCK_NUMBERS = 1 << 22
 UNDETERMINED = "und"
 LETTERS = r"\p{L}+"
 
@@ -86,7 +91,18 @@ def emissions(words: list[str], model: Model) -> np.ndarray:
     if not words:
         return np.empty((0, len(model.languages)), np.float32)
     flat, sizes = features(words, model.lexicon)
-    return np.add.reduceat(model.weights[flat], np.cumsum(sizes) - sizes) / sizes[:, None]
+    ends = np.cumsum(sizes)
+    starts, k = ends - sizes, max(1, len(model.languages))
+    out = np.empty((len(words), k), np.float32)
+    first = 0
+    while first < len(words):
+        # Words whose features fill a block.
+        last = int(np.searchsorted(ends, starts[first] + BLOCK_NUMBERS // k, "right"))
+        last = max(first + 1, last)
+        rows = model.weights[flat[starts[first] : ends[last - 1]]]
+        out[first:last] = np.add.reduceat(rows, starts[first:last] - starts[first])
+        first = last
+    return out / sizes[:, None]
 
 
 def forward_backward(
@@ -108,9 +124,8 @@ def forward_backward(
         right = e[:, i + 1] * back[:, i + 1]
         b = right @ t.T
         back[:, i] = np.where(inside, b / b.sum(1, keepdims=True), 1.0)
-        joint = ahead[:, i, :, None] * t * right[:, None, :]
-        joint /= joint.sum((1, 2), keepdims=True)
-        pairs += joint[inside[:, 0]].sum(0)
+        weight = ((ahead[:, i] @ t) * right).sum(1, keepdims=True)
+        pairs += t * ((ahead[:, i] / weight)[inside[:, 0]].T @ right[inside[:, 0]])
     p = ahead * back
     return p / p.sum(2, keepdims=True), pairs
 
@@ -153,9 +168,9 @@ def train(sample: list[tuple[str, str]], seed: int = 0) -> Model:
 
     rng = np.random.default_rng(seed)
     find = regex.compile(LETTERS).findall
-    languages = sorted({lang for lang, _ in sample})
-    k = len(languages)
     parsed = [(lang, words) for lang, text in sample if (words := find(text.lower()))]
+    languages = sorted({lang for lang, _ in parsed})
+    k = len(languages)
     model = Model(
         languages,
         np.zeros((1 << FEATURE_BITS, k), np.float32),
@@ -169,8 +184,9 @@ def train(sample: list[tuple[str, str]], seed: int = 0) -> Model:
     flat, sizes = features(list(vocabulary), model.lexicon)
     starts = np.cumsum(sizes) - sizes
     squares, t_squares = np.full_like(model.weights, 1e-6), np.full((k, k), 1e-6)
+    together = min(128, max(16, 128 * 64 // k))
     for _ in range(EPOCHS):
-        for batch in np.array_split(rng.permutation(len(chains)), max(1, len(chains) // 128)):
+        for batch in np.array_split(rng.permutation(len(chains)), max(1, len(chains) // together)):
             lengths = np.array([len(chains[i]) for i in batch])
             ids = np.zeros((len(batch), lengths.max()), np.int64)
             gold = np.zeros_like(ids)
@@ -206,21 +222,28 @@ def train(sample: list[tuple[str, str]], seed: int = 0) -> Model:
 
 
 def fit(docs: DataFrame, usable: Column, rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from text and non-null lang of at most ``rows`` usable documents per language.
+    """Learn from text and non-null lang of at most ``rows`` usable documents per language; every
+    language with a letter in one of them is learnt.
 
     docs: doc_id (only to draw the sample), text and lang. Without any, the model knows no language.
     """
-    known = docs.where(usable & F.col("lang").isNotNull()).where(
-        F.length("text").between(1, SAMPLE_TEXT)
+    known = docs.where(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.lit(1 << 30))
+    known = known.select(place.alias("place"), "lang", "text")
+    # Equal rows count once; the first document of a language is always drawn.
+    counts = known.groupBy("lang").agg(
+        F.approx_count_distinct("place").alias("of"), F.min("place").alias("first")
     )
-    counts = known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang")
-    share = F.lit(0.0)
-    for r in counts.limit(MOST_LANGUAGES).collect():
-        drawn = min(1.0, 1.2 * rows / r["count"])
-        share = F.when(F.col("lang") == r["lang"], F.lit(drawn)).otherwise(share)
-    place = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30))
-    sample = known.withColumn("place", place).where(F.col("place") < share * (1 << 30))
-    table = sample.select("place", "lang", "text").toArrow().to_pylist()
+    shares = counts.select(
+        "lang",
+        F.greatest("first", F.lit(1.2 * rows * (1 << 30)) / F.col("of")).cast("long").alias("up_to"),
+    ).toArrow()
+    size = SAMPLE_CHARS // max(1, rows * shares.num_rows)
+    size = max(LEAST_TEXT, min(SAMPLE_TEXT, size))
+    drawn = F.broadcast(docs.sparkSession.createDataFrame(shares))
+    sample = known.join(drawn, "lang").where(F.col("place") <= F.col("up_to"))
+    sample = sample.select("place", "lang", _pieces(F.col("text"), size).alias("text")).distinct()
+    table = sample.toArrow().to_pylist()
     table.sort(key=lambda r: (r["place"], r["lang"], r["text"]))
     taken: Counter[str] = Counter()
     chosen = []
@@ -231,6 +254,25 @@ def fit(docs: DataFrame, usable: Column, rows: int = SAMPLE_ROWS) -> Model:
     return train(chosen)
 
 
+def _pieces(text: Column, size: int) -> Column:
+    """The text, or of the letters of one longer than ``size`` pieces from all over it."""
+    part = size // FRAGMENTS_PER_DOC
+    letters = F.trim(F.regexp_replace(text, r"\P{L}+", " "))
+
+    def cut(x):
+        left = F.greatest(F.length(x) - part, F.lit(0))
+        return F.concat_ws(
+            " ",
+            *(
+                F.substr(x, (F.floor(left * i / (FRAGMENTS_PER_DOC - 1)) + 1).cast("int"), F.lit(part))
+                for i in range(FRAGMENTS_PER_DOC)
+            ),
+        )
+
+    short = F.when(F.length(letters) <= size, letters).otherwise(cut(letters))
+    return F.when(F.length(text) <= size, text).otherwise(short)
+
+
 class Labeller:
     """Mean label probabilities of texts; word potentials are kept up to a number of words."""
 
@@ -246,7 +288,7 @@ class Labeller:
         self.scores = np.empty((0, len(self.model.languages)), np.float32)
 
     def _words(self, words: list[str]) -> np.ndarray:
-        if len(self.place) > KNOWN_WORDS:
+        if len(self.place) > min(KNOWN_WORDS, 8 * BLOCK_NUMBERS // len(self.model.languages)):
             self._forget()
         new = list(dict.fromkeys(w for w in words if w not in self.place))
         if new:
@@ -270,7 +312,8 @@ class Labeller:
         first = (np.cumsum(n_words) - n_words)[owner] + turn * self.chain
         lengths = np.minimum(n_words[owner] - turn * self.chain, self.chain)
         # Chains of like length share a block, so that little of it is padding.
-        for block in np.array_split(np.argsort(lengths), max(1, len(lengths) // 2000)):
+        together = min(2000, max(1, BLOCK_NUMBERS // (self.chain * k)))
+        for block in np.array_split(np.argsort(lengths), max(1, len(lengths) // together)):
             span = np.arange(lengths[block].max())
             real = span < lengths[block][:, None]
             at = np.where(real, first[block][:, None] + span, first[block][:, None])

@@ -67,6 +67,24 @@ def test_language_edge_cases(spark):
     assert langid.predict(documents(spark, []), model).count() == 0
 
 
+def test_every_language_is_learnt(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(80):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)]
+        for _ in range(4 if i % 2 else 3):
+            rows.append((len(rows), " ".join(rng.choices(words, k=60)), f"l{i:02}"))
+    # Documents of one language are all long, and begin with more than a sample's text of digits.
+    long = "7 " * 30_000 + "ŋandi ŋurra wanti ŋulu " * 2_000
+    rows += [(None, long, "long"), (None, long, "long"), (5000, long + "ŋa", "long"), (5001, "12", "none")]
+    docs = documents(spark, rows)
+    model = langid.fit(docs, F.lit(True))
+    assert model.languages == sorted({r[2] for r in rows} - {"none"})
+    got = langid.predict(docs.select("text", F.col("lang").alias("doc_id")), model).collect()
+    assert np.mean([r.doc_id == r.lang_pred for r in got if r.doc_id != "none"]) > 0.97
+    assert {r.lang_pred for r in got if r.doc_id == "long"} == {"long"}
+
+
 def test_quality_on_held_out_documents(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     rows = queries.op3_compression_quality(spark, SF).collect()
