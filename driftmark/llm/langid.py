@@ -14,7 +14,7 @@ fragments of different documents. Every whole text is labelled, in chains of ``C
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,10 @@ SLICE_BYTES = 2 << 20
 KNOWN_WORDS = 300_000
 #: Numbers in a block of work and, times eight, in the kept word potentials, for many languages.
 BLOCK_NUMBERS = 1 << 22
+#: One sampled document in so many is held out to set the least score, and the share of these that
+#: reach the score it is taken from.
+HELD_OUT = 5
+REACHED = 0.995
 UNDETERMINED = "und"
 LETTERS = r"\p{L}+"
 
@@ -50,6 +54,7 @@ class Model:
     weights: np.ndarray  # (features, languages)
     transitions: np.ndarray  # (languages, languages), log potentials
     lexicon: dict[str, int]
+    least: float = 0.0  # the score a text needs to count as one of the languages
 
 
 def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -221,9 +226,22 @@ def train(sample: list[tuple[str, str]], seed: int = 0) -> Model:
     return model
 
 
-def fit(docs: DataFrame, usable: Column, rows: int = SAMPLE_ROWS) -> Model:
+def least_score(sample: list[tuple[str, str]]) -> float:
+    """Halfway between chance and the score that all but a few held-out documents reach, by a model
+    that has not seen them; 0 where there is no choice between languages."""
+    model = train([r for i, r in enumerate(sample) if i % HELD_OUT])
+    held = [text for lang, text in sample[::HELD_OUT] if lang in model.languages]
+    if len(model.languages) < 2 or not held:
+        return 0.0
+    reached = np.quantile(Labeller(model)(held).max(1), 1 - REACHED)
+    return float(1 / len(model.languages) + reached) / 2
+
+
+def fit(
+    docs: DataFrame, usable: Column, rows: int = SAMPLE_ROWS, calibrate: bool = True
+) -> Model:
     """Learn from text and non-null lang of at most ``rows`` usable documents per language; every
-    language with a letter in one of them is learnt.
+    language with a letter in one of them is learnt. ``calibrate`` sets the model's least score.
 
     docs: doc_id (only to draw the sample), text and lang. Without any, the model knows no language.
     """
@@ -251,7 +269,8 @@ def fit(docs: DataFrame, usable: Column, rows: int = SAMPLE_ROWS) -> Model:
         taken[r["lang"]] += 1
         if taken[r["lang"]] <= rows:
             chosen.append((r["lang"], r["text"]))
-    return train(chosen)
+    model = train(chosen)
+    return replace(model, least=least_score(chosen)) if calibrate else model
 
 
 def _pieces(text: Column, size: int) -> Column:
@@ -363,7 +382,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def with_language(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` for which a language is found."""
+    """The rows of ``docs`` in a language of the model: those whose score is at least the model's
+    least. A model without a language cannot tell and passes every text with a letter."""
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = _labelled(docs, model, F.struct(*docs.columns))
-    kept = found.where(F.col("lang_pred") != UNDETERMINED)
+    kept = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= model.least))
     return kept.select(*(F.col(f"carried.`{c}`").alias(c) for c in docs.columns))

@@ -9,7 +9,7 @@ from driftmark.llm.batches import small_batches
 
 
 def identified(spark, docs, sf_dir):
-    """Documents whose language is found; those without a letter go."""
+    """Documents in a language that the labelled ones teach; noise and texts without a letter go."""
     small_batches(spark)
     return langid.with_language(docs, langid.fit(docs, ~queries.held_out(2, 4)))
 

@@ -85,6 +85,22 @@ def test_every_language_is_learnt(spark):
     assert {r.lang_pred for r in got if r.doc_id == "long"} == {"long"}
 
 
+def test_language_gate(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    learnt = docs.where(F.col("lang") != "es")
+    model = langid.fit(learnt, ~queries.held_out(2, 4))
+    assert 1 / 3 < model.least < 1
+    held = learnt.where(queries.held_out(2, 4) & F.col("text").rlike("[a-z]"))
+    assert langid.with_language(held, model).count() >= 0.99 * held.count()
+    rng = random.Random(1)
+    letters = "абвгдежзийклмнопрст"
+    noise = [(i, " ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(80))) for i in range(50)]
+    assert langid.with_language(documents(spark, noise), model).count() == 0
+    nothing = langid.fit(documents(spark, []), F.lit(True))
+    rows = documents(spark, [*noise, (90, None), (91, "12"), (92, "ok")])
+    assert langid.with_language(rows, nothing).count() == 51
+
+
 def test_quality_on_held_out_documents(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     rows = queries.op3_compression_quality(spark, SF).collect()
