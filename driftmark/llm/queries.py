@@ -7,8 +7,9 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from driftmark.llm import bpe, html, jaccard, langid, mixing, neighbours, quality, repeats, secrets, topk
+from driftmark.llm import bpe, html, jaccard, langid, mixing, neighbours, quality, repeats, rules, secrets, topk
 from driftmark.llm.batches import small_batches
+from driftmark.sources.scratch import materialize
 from driftmark.sources.tables import read_table
 
 
@@ -186,6 +187,23 @@ def op9_crf_language(spark, sf_dir):
     )
 
 
+def op13_decision_list(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    stats = materialize(rules.statistics(docs), "text-statistics")
+    found = rules.fit(stats, read_table(spark, sf_dir, "labels"), ~held_out(0, 5))
+    return rules.decide(stats, found).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "rule",
+    )
+
+
 def _run(query):
     @wraps(query)
     def run(spark, sf_dir):
@@ -207,6 +225,7 @@ QUERIES = {
         op8_mix_sources,
         op9_crf_language,
         op10_secret_scan,
+        op13_decision_list,
     )
 }
 
