@@ -7,7 +7,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from driftmark.llm import bpe, html, jaccard, langid, mixing, neighbours, quality, repeats, rules, secrets, topk
+from driftmark.llm import bpe, codes, html, jaccard, langid, mixing, neighbours, quality, repeats, rules, secrets, topk, whitening
 from driftmark.llm.batches import small_batches
 from driftmark.sources.scratch import materialize
 from driftmark.sources.tables import read_table
@@ -187,6 +187,62 @@ def op9_crf_language(spark, sf_dir):
     )
 
 
+def op11_vector_codes(spark, sf_dir):
+    rows, books = codes.compress(read_table(spark, sf_dir, "embeddings"), F.col("label"))
+    stored = materialize(rows, "vector-codes")
+    numbers = codes.part_major(F.col("length"), F.col("m"), F.col("entries"))
+    digests = books.select(
+        "length", F.sha2(F.array_join(numbers, ","), 256).alias("codebooks_sha256")
+    )
+    hexadecimal = F.transform("code", lambda k: F.lower(F.lpad(F.hex(k), 2, "0")))
+    return (
+        codes.errors_by_label(stored)
+        .join(digests, "length")
+        .select(
+            "vec_id",
+            F.array_join(hexadecimal, "").alias("code"),
+            "error",
+            "label_error",
+            "codebooks_sha256",
+        )
+    )
+
+
+_ASSIGNED = """SELECT rid, part, v, arg_min(k, (d, k)) AS k, min(d) AS d FROM (
+    SELECT p.rid, p.part, p.v, e.k, list_sum(list_transform(list_zip(p.v, e.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM p JOIN {book} e USING (part)) GROUP BY rid, part, v"""
+
+_RENEWED = """SELECT part, k, coalesce(m, v) AS v FROM {book} LEFT JOIN (
+    SELECT part, k, list(c ORDER BY i) AS m FROM (
+      SELECT part, k, i, (sum(v[i]) - (((sum(v[i]) % count(*)) + count(*)) % count(*))) // count(*) AS c
+      FROM {assigned}, (SELECT unnest(range(1, (SELECT len(x) // 16 FROM w LIMIT 1) + 1)) AS i) GROUP BY part, k, i)
+    GROUP BY part, k) USING (part, k)"""
+
+# For vectors of one length, a multiple of 16.
+OP11_SQL = f"""
+WITH w AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label,
+                  list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x
+           FROM embeddings WHERE embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+p AS (SELECT rid, part, x[part * (len(x) // 16) + 1 : (part + 1) * (len(x) // 16)] AS v
+      FROM w, (SELECT unnest(range(0, 16)) AS part)),
+b0 AS (SELECT part, rid - 1 AS k, v FROM p WHERE rid <= 64),
+a0 AS ({_ASSIGNED.format(book="b0")}),
+b1 AS ({_RENEWED.format(book="b0", assigned="a0")}),
+a1 AS ({_ASSIGNED.format(book="b1")}),
+b2 AS ({_RENEWED.format(book="b1", assigned="a1")}),
+a2 AS ({_ASSIGNED.format(book="b2")}),
+g AS (SELECT rid, string_agg(printf('%02x', k), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY rid),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, k)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM g JOIN w USING (rid), h
+"""
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13_decision_list(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     stats = materialize(rules.statistics(docs), "text-statistics")
@@ -225,12 +281,15 @@ QUERIES = {
         op8_mix_sources,
         op9_crf_language,
         op10_secret_scan,
+        op11_vector_codes,
+        op12_whitening,
         op13_decision_list,
     )
 }
 
 ORACLE = {
     "op7_topk_products": OP7_SQL,
+    "op11_vector_codes": OP11_SQL,
     "op10_secret_scan": OP10_SQL,
     "op8_mix_sources": OP8_SQL,
 }
