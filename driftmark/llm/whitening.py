@@ -115,14 +115,14 @@ def triangles(fit_list: DataFrame, totals: DataFrame) -> DataFrame:
         if r is not None:
             yield _triangle_row(length, r)
 
-    def stack(key, batches):
+    def stack(key, table):
         length, held = int(key[0].as_py()), []
         size = max(2, min(FAN_IN, STACK // max(length * length, 1)))
-        for row in chunk_rows(batches):
+        for row in chunk_rows(table.to_batches()):
             held.append(np.asarray(row["r"], float).reshape(length, length))
             if len(held) == size:
                 held = [_triangle(np.vstack(held))]
-        yield _triangle_row(length, _triangle(np.vstack(held)))
+        return pa.Table.from_batches([_triangle_row(length, _triangle(np.vstack(held)))])
 
     kind = "length int, r array<double>"
     met = fit_list.where("length > 0").join(totals, "length")

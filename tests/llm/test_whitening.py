@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from driftmark.llm import bidiagonal, whitening
+from driftmark.sources.scratch import materialize
 
 SCHEMA = "vec_id long, embedding array<double>, n string, length string, x string, component string"
 
@@ -83,9 +84,17 @@ def test_without_variance(spark):
 def test_many_triangles(spark, monkeypatch):
     monkeypatch.setattr(whitening, "FAN_IN", 3)
     rng = np.random.default_rng(6)
-    rows = [(i, list(map(float, v))) for i, v in enumerate(rng.standard_normal((400, 3)))]
-    df = table(spark, rows).repartition(23)
-    check(rows, whitening.whiten(df, components=9).collect())
+    points = {n: rng.integers(-500, 500, (200, n)) for n in (2, 3)}
+    rows = [(i, list(map(int, v))) for p in points.values() for i, v in enumerate(p)]
+    vectors = spark.createDataFrame(rows, "vec_id long, x array<long>").repartition(23)
+    # A task holds vectors of both lengths, so there are about 46 triangles to begin with.
+    fit_list = materialize(whitening.packed(vectors, components=30), "fit-list")
+    found = whitening.triangles(fit_list, materialize(whitening.sums(fit_list), "sums")).collect()
+    assert sorted(r.length for r in found) == [2, 3]
+    for row in found:
+        r = np.array(row.r).reshape(row.length, -1)
+        centred = points[row.length] - points[row.length].mean(0)
+        assert np.allclose(r.T @ r, centred.T @ centred, rtol=1e-10)
 
 
 def test_deviations_beyond_a_long():
