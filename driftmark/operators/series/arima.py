@@ -24,6 +24,7 @@ from driftmark.functions.scalars import two_sided_p
 from driftmark.operators.series.blocks import (
     BLOCK,
     WARM_UP,
+    added_lists,
     block_arrays,
     block_window,
     own_rows,
@@ -117,7 +118,7 @@ def change_rows(
 
 
 def css_profile(changes: DataFrame, keys: Sequence[str], length: int = BLOCK) -> DataFrame:
-    """(keys, theta, n, aa, ab, bb, a, b): sums per theta over the whole series.
+    """(keys, n, aa, ab, bb, a, b): lists of sums per theta of ``THETAS`` over the whole series.
 
     ``a`` and ``b`` are the filtered values at the last row.
     """
@@ -125,63 +126,71 @@ def css_profile(changes: DataFrame, keys: Sequence[str], length: int = BLOCK) ->
     sums = blocks.select(
         *keys,
         "_block",
-        (F.size("w") - F.col("own_from")).alias("n"),
+        (F.size("w") - F.col("own_from")).cast("long").alias("n"),
         _block_sums()("w", "w1", "own_from").alias("s"),
-    )
-    theta = F.array(*(F.lit(v) for v in THETAS)).alias("theta")
-    lists = F.arrays_zip(theta, *(F.col(f"s.{c}").alias(c) for c in _SUMS))
-    return (
-        sums.select(*keys, "_block", "n", F.inline(lists))
-        .groupBy(*keys, "theta")
-        .agg(
-            F.sum("n").alias("n"),
-            F.sum("aa").alias("aa"),
-            F.sum("ab").alias("ab"),
-            F.sum("bb").alias("bb"),
-            F.max_by("a", "_block").alias("a"),
-            F.max_by("b", "_block").alias("b"),
-        )
-    )
+    ).select(*keys, "_block", "n", "s.*")
+    return added_lists(sums, keys, ["aa", "ab", "bb"], ["a", "b"], ["n"])
 
 
-def _phi(p: int) -> Column:
+def _phi(p: int, ab: Column, bb: Column) -> Column:
     if p == 0:
         return F.lit(0.0)
-    best = F.coalesce(F.col("ab") / F.nullif(F.col("bb"), F.lit(0.0)), F.lit(0.0))
+    best = F.coalesce(ab / F.nullif(bb, F.lit(0.0)), F.lit(0.0))
     return F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), best))
 
 
-def best_fit(profile: DataFrame, keys: Sequence[str], p: int, q: int) -> DataFrame:
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _points(p: int, thetas: Sequence[float], places: Sequence[int]) -> Column:
+    """The grid points of a series, best first by (sse, theta): a list of (sse, theta, phi, bb,
+    e_last, place)."""
+    theta = F.array(*(F.lit(v) for v in thetas))
+
+    def point(i: Column) -> Column:
+        aa, ab, bb, a, b = (F.get(c, i) for c in ("aa", "ab", "bb", "a", "b"))
+        return _let(
+            _phi(p, ab, bb),
+            lambda phi: F.struct(
+                (aa - 2 * phi * ab + phi * phi * bb).alias("sse"),
+                F.get(theta, i).alias("theta"),
+                phi.alias("phi"),
+                bb.alias("bb"),
+                (a - phi * b).alias("e_last"),
+                i.alias("place"),
+            ),
+        )
+
+    return F.transform(F.array(*(F.lit(i) for i in places)), point)
+
+
+def best_fit(
+    profile: DataFrame, keys: Sequence[str], p: int, q: int, thetas: Sequence[float] = THETAS
+) -> DataFrame:
     """(keys, p, q, n, phi, theta, sse, sigma2, se_phi, se_theta, e_last).
 
     The standard error of theta comes from the curvature of the profiled sum of squares between
     the neighbouring grid points; it is null at the edge of the grid.
     """
-    rows = profile if q else profile.where(F.col("theta") == 0.0)
-    phi = _phi(p)
-    rows = rows.withColumn("phi", phi).withColumns(
-        {
-            "sse": F.col("aa")
-            - 2 * F.col("phi") * F.col("ab")
-            + F.col("phi") * F.col("phi") * F.col("bb"),
-            "e_last": F.col("a") - F.col("phi") * F.col("b"),
-        }
-    )
-    # The grid is fixed, so the list per series is short.
-    point = F.struct("theta", "sse", "phi", "n", "bb", "e_last")
-    hundredths = F.round(F.col("theta") * 100).cast("int")
-    found = rows.groupBy(*keys).agg(
-        F.min_by(point, F.struct("sse", "theta")).alias("best"),
-        F.map_from_entries(F.collect_list(F.struct(hundredths.alias("at"), "sse"))).alias("curve"),
-    )
-    at = F.round(F.col("best.theta") * 100).cast("int")
+    places = range(len(thetas)) if q else [thetas.index(0.0)]
     step = 0.01
-    bend = (
-        F.try_element_at("curve", at + 1)
-        + F.try_element_at("curve", at - 1)
-        - 2 * F.col("best.sse")
-    ) / F.lit(step * step)
-    sigma2 = F.col("best.sse") / F.col("best.n")
+
+    def picked(curve: Column) -> Column:
+        def with_sides(best: Column) -> Column:
+            at = best["place"] - places[0]
+            sides = (F.get(curve, at + side)["sse"] for side in (1, -1))
+            return F.struct(best.alias("best"), sum(sides, F.lit(0.0)).alias("sides"))
+
+        return _let(F.array_min(curve), with_sides)
+
+    # One expression, so that the grid is worked out once.
+    found = profile.select(*keys, "n", _let(_points(p, thetas, list(places)), picked).alias("_f")).select(
+        *keys, "n", F.col("_f.best").alias("best"), F.col("_f.sides").alias("sides")
+    )
+    bend = (F.col("sides") - 2 * F.col("best.sse")) / F.lit(step * step)
+    sigma2 = F.col("best.sse") / F.col("n")
     unknown = F.lit(None).cast("double")
     se_phi = F.sqrt(sigma2 / F.nullif(F.col("best.bb"), F.lit(0.0))) if p else unknown
     se_theta = F.sqrt(2 * sigma2 / F.when(bend > 0, bend)) if q else unknown
@@ -189,7 +198,7 @@ def best_fit(profile: DataFrame, keys: Sequence[str], p: int, q: int) -> DataFra
         *keys,
         F.lit(p).alias("p"),
         F.lit(q).alias("q"),
-        F.col("best.n").alias("n"),
+        "n",
         F.col("best.phi").alias("phi"),
         F.col("best.theta").alias("theta"),
         F.col("best.sse").alias("sse"),
@@ -232,13 +241,13 @@ def ar_fit(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     w, w1 = F.col("w"), F.col("w1")
     sums = changes.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(w * w).alias("aa"),
-        F.sum(w * w1).alias("ab"),
-        F.sum(w1 * w1).alias("bb"),
-        F.max_by(w, F.col("t")).alias("a"),
-        F.max_by(w1, F.col("t")).alias("b"),
+        F.array(F.sum(w * w)).alias("aa"),
+        F.array(F.sum(w * w1)).alias("ab"),
+        F.array(F.sum(w1 * w1)).alias("bb"),
+        F.array(F.max_by(w, F.col("t"))).alias("a"),
+        F.array(F.max_by(w1, F.col("t"))).alias("b"),
     )
-    return best_fit(sums.withColumn("theta", F.lit(0.0)), keys, 1, 0)
+    return best_fit(sums, keys, 1, 0, (0.0,))
 
 
 def z_test(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -369,26 +378,25 @@ def select_order(
         changes = rows if changes is None else changes.unionByName(rows)
     profile = css_profile(changes, [*keys, "d"], length)
 
-    picks = []
-    for p in (0, 1):
-        sse = F.col("aa") - 2 * _phi(p) * F.col("ab") + _phi(p) * _phi(p) * F.col("bb")
-        point = F.struct(_phi(p).alias("phi"), "theta", sse.alias("sse"), "n")
-        picks.append((p, 0, F.max(F.when(F.col("theta") == 0.0, point))))
-        picks.append((p, 1, F.min_by(point, F.struct(sse, F.col("theta")))))
-    fits = profile.groupBy(*keys, "d").agg(*(c.alias(f"_{p}{q}") for p, q, c in picks))
+    zero = THETAS.index(0.0)
     candidates = F.array(
         *(
-            F.struct(F.lit(p).alias("p"), F.lit(q).alias("q"), F.col(f"_{p}{q}").alias("fit"))
-            for p, q, _ in picks
+            F.struct(
+                F.lit(p).alias("p"),
+                F.lit(q).alias("q"),
+                F.array_min(_points(p, THETAS, range(len(THETAS)) if q else [zero])).alias("fit"),
+            )
+            for p in (0, 1)
+            for q in (0, 1)
         )
     )
     k = F.col("p") + F.col("q") + 1
-    n = F.col("fit.n")
+    n = F.col("n")
     sigma2 = F.col("fit.sse") / n
     aicc = n * F.ln(sigma2) + 2 * k + 2 * k * (k + 1) / F.nullif(n - k - 1, F.lit(0))
     best = F.struct("p", "d", "q", "phi", "theta", "sigma2", "aicc")
     return (
-        fits.select(*keys, "d", F.inline(candidates))
+        profile.select(*keys, "d", "n", F.inline(candidates))
         .withColumns({"sigma2": sigma2, "aicc": aicc})
         .select(*keys, "p", "d", "q", "fit.phi", "fit.theta", "sigma2", "aicc")
         .groupBy(*keys)

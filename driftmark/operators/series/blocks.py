@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 BLOCK = 16384
@@ -44,6 +44,38 @@ def own_rows(df: DataFrame) -> DataFrame:
     return df.where("_own").drop("_own", "_block")
 
 
+#: Blocks whose lists are added up in one step.
+TOGETHER = 64
+
+
+def added_lists(
+    df: DataFrame, keys: Sequence[str], sums: Sequence[str], last: Sequence[str], counts: Sequence[str]
+) -> DataFrame:
+    """(keys, sums, last, counts): one row per series from one per (keys, block).
+
+    Lists in ``sums`` are added element by element, those in ``last`` are taken from the last
+    block, numbers in ``counts`` are added. One row per block is shuffled, however long the lists;
+    blocks are added in groups first, so no row has to hold more than a few thousand lists.
+    """
+    names = [*sums, *last, *counts]
+
+    def combined(group: Sequence[str], rows: DataFrame) -> DataFrame:
+        together = F.sort_array(F.collect_list(F.struct("_block", *names)))
+        packed = rows.groupBy(*group).agg(together.alias("_all"))
+        first, rest = F.get("_all", F.lit(0)), F.slice("_all", F.lit(2), F.size("_all"))
+
+        def add(a: Column, b: Column) -> Column:
+            fields = {c: F.zip_with(a[c], b[c], lambda x, y: x + y) for c in sums}
+            fields |= {c: b[c] for c in last} | {c: a[c] + b[c] for c in counts}
+            return F.struct(b["_block"].alias("_block"), *(fields[c].alias(c) for c in names))
+
+        whole = F.when(F.size("_all") == 1, first).otherwise(F.aggregate(rest, first, add))
+        return packed.select(*keys, whole.alias("_w")).select(*keys, "_w.*")
+
+    some = df.select(*keys, "_block", *names).withColumn("_some", F.floor(F.col("_block") / TOGETHER))
+    return combined(keys, combined([*keys, "_some"], some)).drop("_block")
+
+
 def block_arrays(
     df: DataFrame, keys: Sequence[str], cols: Sequence[str], warm_up: int, length: int = BLOCK
 ) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftmark.operators.series.blocks import BLOCK, WARM_UP, block_arrays
+from driftmark.operators.series.blocks import BLOCK, WARM_UP, added_lists, block_arrays
 
 ALPHAS = tuple(i / 20 for i in range(1, 21))
 BETAS = (0.01, *(i / 20 for i in range(1, 20)))
@@ -68,27 +68,24 @@ def fit(df: DataFrame, keys: Sequence[str], x: str = "x", length: int = BLOCK) -
     blocks = block_arrays(df, keys, [x], WARM_UP, length)
     sums = blocks.select(
         *keys, "_block", "last_t", _block_smooth()(x, "_block", "own_from").alias("s")
+    ).select(*keys, "_block", F.array("last_t").alias("last_t"), "s.*")
+    whole = added_lists(sums, keys, ["sse"], ["level", "slope", "last_t"], [])
+    alpha = F.array(*(F.lit(a) for a, _ in GRID))
+    beta = F.array(*(F.lit(b) for _, b in GRID))
+    point = F.transform(
+        "sse",
+        lambda sse, i: F.struct(
+            sse.alias("sse"),
+            F.get(alpha, i).alias("alpha"),
+            F.get(beta, i).alias("beta"),
+            F.get("level", i).alias("level"),
+            F.get("slope", i).alias("slope"),
+        ),
     )
-    alpha = F.array(*(F.lit(a) for a, _ in GRID)).alias("alpha")
-    beta = F.array(*(F.lit(b) for _, b in GRID)).alias("beta")
-    lists = F.arrays_zip(
-        alpha, beta, *(F.col(f"s.{c}").alias(c) for c in _STATE)
-    )
-    per_point = (
-        sums.select(*keys, "_block", "last_t", F.inline(lists))
-        .groupBy(*keys, "alpha", "beta")
-        .agg(
-            F.max("last_t").alias("n"),
-            F.sum("sse").alias("sse"),
-            F.max_by("level", "_block").alias("level"),
-            F.max_by("slope", "_block").alias("slope"),
-        )
-    )
-    point = F.struct("n", "alpha", "beta", "sse", "level", "slope")
-    return (
-        per_point.groupBy(*keys)
-        .agg(F.min_by(point, F.struct("sse", "alpha", "beta")).alias("b"))
-        .select(*keys, "b.*")
+    best = F.array_min(point).alias("b")
+    names = ("alpha", "beta", "sse", "level", "slope")
+    return whole.select(*keys, F.get("last_t", F.lit(0)).alias("n"), best).select(
+        *keys, "n", *(f"b.{c}" for c in names)
     )
 
 
