@@ -8,7 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Documents in an Arrow batch, where the session leaves it open: text is large, so the usual ten
@@ -23,6 +24,11 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by names that may hold dots or quotes."""
+    return [F.col("`" + name.replace("`", "``") + "`").alias(name) for name in names]
+
+
 def release_memory() -> None:
     """Free pages back to the system: a Python worker goes on to other stages with what it has."""
     pa.default_memory_pool().release_unused()
@@ -47,3 +53,16 @@ def slices(
         for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
     release_memory()
+
+
+def joined(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Neighbouring batches as one, until together they hold ``size`` bytes."""
+    held, held_bytes = [], 0
+    for batch in batches:
+        held.append(batch)
+        held_bytes += batch.nbytes
+        if held_bytes >= size:
+            yield pa.concat_batches(held)
+            held, held_bytes = [], 0
+    if held:
+        yield pa.concat_batches(held)

@@ -5,20 +5,21 @@ ranks as a literal. The bytes of a word are a string of the code points 0 to 255
 are joined and looked up as strings. The rank literal is an array of small maps, addressed by the
 piece's hash: a lookup in one large map would compare key by key.
 
-Words are counted over the whole table; those used most, up to a fixed number, are folded once and
-their ids handed to every task. The remaining words are folded where they occur, each once per
-document, so that memory is bounded whatever the vocabulary of the corpus. Words of more than
+Texts are split once, into slices that hold their distinct words and the words of each document as
+places among these. Words are counted over all slices; those used most, up to a fixed number, are
+folded once and their ids handed to every task. The remaining words are folded where they occur, each
+once per slice, so that memory is bounded whatever the vocabulary of the corpus. Words of more than
 ``LONG_WORD`` bytes would fold in quadratic time; they are merged with a heap.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import json
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm.batches import release_memory, slices
+from driftmark.llm.batches import joined, release_memory, slices
 from driftmark.llm.hashing import BASES, Rolling
+from driftmark.llm.vectors import one_list
+from driftmark.sources.scratch import scratch_path
 
 BUCKETS = 1 << 14
 FREQUENT = 1 << 20
 LONG_WORD = 128
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 4 << 20
+HASH_BYTES = 1 << 20
 OUTPUT_ROWS = 256
 #: More than any array of pieces is long.
 REST = 1 << 30
@@ -174,25 +178,71 @@ def splitter(pattern: str):
     return lambda text: plain(text) if text.isascii() else find(text)
 
 
-def count_words(docs: DataFrame, pattern: str = PATTERN) -> DataFrame:
-    """(word, n) over all texts, for words up to ``LONG_WORD`` bytes."""
+def split_texts(docs: DataFrame, pattern: str = PATTERN, size: int = SLICE_BYTES) -> DataFrame:
+    """(doc_id, counts, words, used, codes): slices of about ``size`` bytes of text, a row each. The
+    distinct words of the slice and how often each is used; of its documents the ids and numbers of
+    words; and the words of all in a row as places in the list, packed."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def count(batches):
+    def split(batches):
         find = splitter(pattern)
-        for batch in slices(batches, "text", SLICE_BYTES):
-            words: Counter[str] = Counter()
-            for text in batch.column("text").to_pylist():
-                words.update(find(text or ""))
+        for batch in joined(slices(batches, "text", size), size):
+            own, counts, codes = Numbered(), [], []
+            number = own.__getitem__
+            for text in batch.column("text"):
+                found = find(text.as_py() or "")
+                counts.append(len(found))
+                codes.append(np.fromiter(map(number, found), np.int64, len(found)))
+            codes = np.concatenate(codes)
+            used = np.bincount(codes, minlength=len(own))
+            # Small numbers for common words pack better.
+            order = np.argsort(-used, kind="stable")
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
             yield pa.record_batch(
                 {
-                    "word": pa.array(list(words), pa.string()),
-                    "n": pa.array(list(words.values()), pa.int64()),
+                    "doc_id": one_list(batch.column("doc_id")),
+                    "counts": one_list(pa.array(counts, pa.int32())),
+                    "words": one_list(pa.array(list(own), pa.string()).take(pa.array(order))),
+                    "used": one_list(pa.array(used[order].astype(np.int32))),
+                    "codes": pa.array([packed_codes(place[codes])], pa.binary()),
                 }
             )
+        release_memory()
+
+    return docs.select("doc_id", "text").mapInArrow(
+        split, f"doc_id array<{kind}>, counts array<int>, words array<string>, used array<int>, codes binary"
+    )
+
+
+class Numbered(dict):
+    """Numbers keys in the order they come."""
+
+    def __missing__(self, key):
+        self[key] = number = len(self)
+        return number
+
+
+def packed_codes(codes: np.ndarray) -> bytes:
+    """Byte by byte: the high ones hardly differ from one another."""
+    import zstandard
+
+    planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked_codes(packed: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
 
-    counted = docs.select("text").mapInArrow(count, "word string, n long")
-    short = counted.where(F.octet_length("word") <= LONG_WORD)
-    return short.groupBy("word").agg(F.sum("n").alias("n"))
+
+def count_words(split: DataFrame) -> DataFrame:
+    """(word, n) over all slices, for words up to ``LONG_WORD`` bytes."""
+    words = split.select(F.inline(F.arrays_zip("words", "used")).alias("word", "used"))
+    short = words.where(F.octet_length("word") <= LONG_WORD)
+    return short.groupBy("word").agg(F.sum("used").alias("n"))
 
 
 def _bytes_as_text(word: Column) -> Column:
@@ -209,9 +259,9 @@ class WordHash:
         """Chunk by chunk; of words too long to be known only as much as tells them apart."""
         out = [np.empty(len(starts), np.uint64) for _ in self.rollings]
         ends = np.minimum(ends, starts + LONG_WORD + 1)
-        for a in range(0, len(data), SLICE_BYTES):
-            i, j = np.searchsorted(starts, [a, a + SLICE_BYTES])
-            chunk = data[a : a + SLICE_BYTES + LONG_WORD + 1]
+        for a in range(0, len(data), HASH_BYTES):
+            i, j = np.searchsorted(starts, [a, a + HASH_BYTES])
+            chunk = data[a : a + HASH_BYTES + LONG_WORD + 1]
             for codes, r in zip(out, self.rollings, strict=True):
                 codes[i:j] = r.of(r.sums(chunk), starts[i:j] - a, ends[i:j] - a)
         return out
@@ -256,12 +306,12 @@ class WordPlaces:
 
 
 def frequent_words(
-    docs: DataFrame, buckets: Column, pattern: str = PATTERN, most: int = FREQUENT
+    split: DataFrame, buckets: Column, most: int = FREQUENT
 ) -> tuple[WordPlaces, np.ndarray, np.ndarray]:
     """The words used most, the numbers of their ids, and the ids in a row; at most ``most`` words
     of at most ``LONG_WORD`` bytes reach the driver."""
-    top = count_words(docs, pattern).orderBy(F.col("n").desc(), "word").limit(most)
-    parts = docs.sparkSession.sparkContext.defaultParallelism * 4
+    top = count_words(split).orderBy(F.col("n").desc(), "word").limit(most)
+    parts = split.sparkSession.sparkContext.defaultParallelism * 4
     folded = top.repartition(parts, "word").select(
         F.encode("word", "UTF-8").alias("word"),
         fold_merges(_bytes_as_text(F.col("word")), buckets).alias("ids"),
@@ -289,98 +339,84 @@ def encode(
     ranks: dict[bytes, int],
     pattern: str = PATTERN,
     most: int = FREQUENT,
+    digest: bool = False,
 ) -> DataFrame:
-    """(doc_id, ids) per document; ids is an array of int.
+    """(doc_id, ids) per document; ids is an array of int. With ``digest`` also ids_sha256, of the
+    decimal ids joined by one space.
 
     docs: doc_id and text; other columns are ignored. Null and empty texts have no ids; null and
     repeated ids are rows like any other.
     """
     buckets = rank_buckets(ranks)
-    places, known_lengths, known_ids = frequent_words(docs, buckets, pattern, most)
+    path, split = scratch_path(spark, "word-slices"), split_texts(docs, pattern)
+    split.write.option("compression", "zstd").parquet(path)
+    split = spark.read.schema(split.schema).parquet(path)
+    places, known_lengths, known_ids = frequent_words(split, buckets, most)
     shared_places = spark.sparkContext.broadcast((places.codes, places.checks, places.slots))
     shared_ids = spark.sparkContext.broadcast((known_lengths, known_ids))
     all_ranks = spark.sparkContext.broadcast(ranks)
+    del places, known_lengths, known_ids
+    release_memory()
 
     def look_up(batches):
-        """Per document the places of its words in the shared list; below zero, in its own one."""
-        find, hashes, places = splitter(pattern), WordHash(), WordPlaces(*shared_places.value)
-        for batch in slices(batches, "text", SLICE_BYTES):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            found = [find(t) for t in texts]
-            words = [w for own in found for w in own]
-            counts = np.fromiter(map(len, found), np.int64, len(found))
-            whole = "".join(words)
-            sizes = np.fromiter(map(len, words), np.int64, len(words))
-            data = np.frombuffer(whole.encode(), np.uint8)
-            if len(data) > len(whole):
-                # Bytes per character: every byte but the continuation bytes starts one.
-                heads = np.append(np.flatnonzero(data & 0xC0 != 0x80), len(data))
-                ends = heads[np.cumsum(sizes)] if len(sizes) else sizes
-            else:
-                ends = np.cumsum(sizes)
-            starts = np.concatenate([[0], ends[:-1]])[: len(ends)]
-            codes = places(*hashes(data, starts, ends))
-            unknown = []
-            new = np.flatnonzero(codes < 0)
-            cuts = np.searchsorted(new, np.concatenate([[0], np.cumsum(counts)]))
-            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                own: dict[str, int] = {}
-                for at in new[i:j].tolist():
-                    codes[at] = -1 - own.setdefault(words[at], len(own))
-                unknown.append(list(own))
-            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        """Per slice the places of its words in the shared list, -1 for others, and these others."""
+        hashes, places = WordHash(), WordPlaces(*shared_places.value)
+        for row in single_rows(batches):
+            words = row["words"][0].values
+            sizes = pc.binary_length(words).to_numpy().astype(np.int64)
+            ends = np.cumsum(sizes)
+            data = np.frombuffer(b"".join(words.cast(pa.binary()).to_pylist()), np.uint8)
+            found = places(*hashes(data, ends - sizes, ends))
+            unknown = words.take(pa.array(np.flatnonzero(found < 0)))
             yield pa.record_batch(
-                {
-                    "doc_id": batch.column("doc_id"),
-                    "codes": pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes)),
-                    "unknown": pa.array(unknown, pa.list_(pa.string())),
-                }
+                {c: row[c] for c in ("doc_id", "counts", "codes")}
+                | {"places": one_list(pa.array(found)), "unknown": one_list(unknown)}
             )
-
-    def parts(batches):
-        """A few hundred rows at a time, as ids take several times the room of the text."""
-        for batch in batches:
-            for i in range(0, batch.num_rows, OUTPUT_ROWS):
-                yield batch.slice(i, OUTPUT_ROWS)
         release_memory()
 
     def fill_in(batches):
         lengths, flat = shared_ids.value
         starts = np.cumsum(lengths, dtype=np.int64) - lengths
-        for batch in parts(batches):
-            ids, ends = [np.empty(0, np.int32)], [0]
-            for codes, unknown, folded in zip(
-                batch.column("codes"), batch.column("unknown"), batch.column("folded"), strict=True
-            ):
-                codes = codes.values.to_numpy()
-                own = [
-                    ids_of if ids_of is not None else heap_merges(w.encode(), all_ranks.value)
-                    for w, ids_of in zip(unknown.as_py(), folded.as_py(), strict=True)
-                ]
-                own_lengths = np.fromiter(map(len, own), np.int64, len(own))
-                own_flat = np.fromiter((i for x in own for i in x), np.int32, own_lengths.sum())
-                own_starts = np.cumsum(own_lengths) - own_lengths
-                new = codes < 0
-                n, first = np.empty(len(codes), np.int64), np.empty(len(codes), np.int64)
-                n[~new], first[~new] = lengths[codes[~new]], starts[codes[~new]]
-                n[new], first[new] = own_lengths[-1 - codes[new]], own_starts[-1 - codes[new]]
-                at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                mine, out = np.repeat(new, n), np.empty(len(at), np.int32)
-                out[~mine], out[mine] = flat[at[~mine]], own_flat[at[mine]]
-                ids.append(out)
-                ends.append(ends[-1] + len(out))
-            yield pa.record_batch(
-                {
-                    "doc_id": batch.column("doc_id"),
-                    "ids": pa.ListArray.from_arrays(
-                        pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32())
-                    ),
+        digests = DecimalDigests(max(all_ranks.value.values(), default=0)) if digest else None
+        for row in single_rows(batches):
+            at = row["places"][0].values.to_numpy()
+            own = [
+                ids if ids is not None else heap_merges(w.encode(), all_ranks.value)
+                for w, ids in zip(row["unknown"][0].as_py(), row["folded"][0].as_py(), strict=True)
+            ]
+            # The ids of the slice's own words follow those of the shared list.
+            own_n = np.fromiter(map(len, own), np.int64, len(own))
+            own_flat = np.fromiter((i for x in own for i in x), np.int32, int(own_n.sum()))
+            n, first = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+            new = at < 0
+            n[~new], first[~new] = lengths[at[~new]], starts[at[~new]]
+            n[new], first[new] = own_n, np.cumsum(own_n) - own_n
+            codes = unpacked_codes(row["codes"][0].as_py())
+            ends = np.cumsum(row["counts"][0].values.to_numpy(), dtype=np.int64)
+            ids_of = row["doc_id"][0].values
+            for i in range(0, len(ends), OUTPUT_ROWS):
+                last = ends[i : i + OUTPUT_ROWS]
+                begin = ends[i - 1] if i else 0
+                part = codes[begin : last[-1]]
+                size = n[part]
+                after = np.cumsum(size)
+                place = np.repeat(first[part] - (after - size), size) + np.arange(size.sum())
+                mine, out = np.repeat(new[part], size), np.empty(len(place), np.int32)
+                out[~mine], out[mine] = flat[place[~mine]], own_flat[place[mine]]
+                cuts = np.concatenate([[0], after])[np.concatenate([[0], last - begin])]
+                told = {
+                    "doc_id": ids_of.slice(i, OUTPUT_ROWS),
+                    "ids": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(out)),
                 }
-            )
+                if digests:
+                    told["ids_sha256"] = pa.array(digests(out, cuts), pa.string())
+                yield pa.record_batch(told)
+        release_memory()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    looked = docs.select("doc_id", "text").mapInArrow(
-        look_up, f"doc_id {kind}, codes array<int>, unknown array<string>"
+    looked = split.select("doc_id", "counts", "words", "codes").mapInArrow(
+        look_up,
+        f"doc_id array<{kind}>, counts array<int>, codes binary, places array<int>, unknown array<string>",
     )
     folded = F.transform(
         "unknown",
@@ -388,9 +424,33 @@ def encode(
             F.octet_length(w) <= LONG_WORD, fold_merges(_bytes_as_text(w), buckets)
         ),
     )
-    return looked.withColumn("folded", folded).mapInArrow(
-        fill_in, f"doc_id {kind}, ids array<int>"
-    )
+    told = f"doc_id {kind}, ids array<int>" + (", ids_sha256 string" if digest else "")
+    return looked.withColumn("folded", folded).mapInArrow(fill_in, told)
+
+
+class DecimalDigests:
+    """SHA-256 of decimal numbers joined by a space, for many rows at a time."""
+
+    def __init__(self, largest: int):
+        texts = [b"%d " % i for i in range(largest + 1)]
+        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        width = int(self.sizes.max())
+        self.table = np.frombuffer(b"".join(t.ljust(width) for t in texts), np.uint8).reshape(-1, width)
+        self.inside = np.arange(width) < self.sizes[:, None]
+
+    def __call__(self, numbers: np.ndarray, cuts: np.ndarray) -> list[str]:
+        out = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            row = numbers[a:b]
+            text = self.table[row][self.inside[row]].tobytes()[:-1]
+            out.append(hashlib.sha256(text).hexdigest())
+        return out
+
+
+def single_rows(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1)
 
 
 def decode(ids: Column, pieces: Column) -> Column:

@@ -85,7 +85,7 @@ parts AS ({" UNION ALL ".join([
     _kind_sql(1, secrets.ACCESS), _kind_sql(2, secrets.HEX), _kind_sql(3, secrets.IDENTIFIER),
     _kind_sql(4, secrets.MIXED), _kind_sql(5, secrets.ENDPOINT)])}),
 free AS (SELECT * FROM parts a WHERE kind < 3 OR NOT EXISTS (
-  SELECT 1 FROM parts b WHERE b.rid = a.rid AND b.kind < 3 AND a.s < b.e AND b.s < a.e)),
+  SELECT 1 FROM parts b WHERE b.rid = a.rid AND b.kind < 3 AND b.s <= a.s AND a.e <= b.e)),
 shown AS (SELECT *, kind < 3 AS own,
   EXISTS (SELECT 1 FROM free b WHERE b.rid = a.rid AND b.kind IN (1, 3) AND a.s - 200 < b.e AND b.s < a.e + 200) AS near_id,
   EXISTS (SELECT 1 FROM free b WHERE b.rid = a.rid AND b.kind IN (0, 2, 4) AND a.s - 200 < b.e AND b.s < a.e + 200) AS near_secret
@@ -104,12 +104,12 @@ FROM d LEFT JOIN g USING (rid)
 def encoded_digests(spark, docs, path):
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text."""
     ranks = bpe.read_ranks(path)
-    ids = bpe.encode(spark, docs, ranks, public_tokenizers.PATTERN)
+    ids = bpe.encode(spark, docs, ranks, public_tokenizers.PATTERN, digest=True)
     pieces = bpe.piece_table(ranks)
     return ids.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        "ids_sha256",
         F.sha2(bpe.decode(F.col("ids"), pieces), 256).alias("decoded_sha256"),
     )
 
@@ -168,14 +168,12 @@ OP7_SQL = """
 WITH v AS (SELECT DISTINCT vec_id, embedding FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-n AS (SELECT len(embedding) AS d FROM v GROUP BY 1 ORDER BY count(*) DESC, d LIMIT 1),
-w AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM v
-      WHERE len(embedding) = (SELECT d FROM n)),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
-      FROM w q JOIN w c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+w AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM v),
+p AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+      FROM w q JOIN w c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT query_id, (row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id))::INTEGER AS rank,
              vec_id, score FROM p)
-SELECT * FROM r WHERE rank <= 10
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
