@@ -66,7 +66,7 @@ LAYOUTS = {
 }
 
 REFORMAT, DERIVED = "datereformat", "derived"
-CHANGES = ("YYYYChng", "YYChng", "MMChng", "DDChng", "HrChng", "MinChng", "SecChng")
+CHANGES = ("YYYYChngFlag", "YYChngFlag", "MMChngFlag", "DDChngFlag", "HrChngFlag", "MinChngFlag", "SecChngFlag")
 
 
 def _may_be_date(s: Column) -> Column:
@@ -133,25 +133,25 @@ def date_flags(p: Column, q: Column) -> dict[str, Column]:
     same_end = F.right(p_year, F.lit(2)) == F.right(q_year, F.lit(2))
     half_day = differ("hh") & (F.abs(_hour(p) - _hour(q)) == 12)
     return {
-        "YYYYChng": changed("yyyy")
+        "YYYYChngFlag": changed("yyyy")
         | (one_has_year & (long_year != ""))
         | (mixed & (p_long != "") & ~same_end),
-        "YYChng": changed("yy")
+        "YYChngFlag": changed("yy")
         | (one_has_year & ~short_year.isin("", "00"))
         | (mixed & (p_short != "") & ~same_end),
-        "MMChng": changed("mm"),
-        "DDChng": changed("dd"),
-        "HrChng": changed("hh") & ~half_day,
-        "MinChng": changed("mi"),
-        "SecChng": changed("ss"),
-        "YYYYFrmtChng": mixed & (p_long != "") & same_end,
-        "YYFrmtChng": (one_has_year & (short_year == "00"))
+        "MMChngFlag": changed("mm"),
+        "DDChngFlag": changed("dd"),
+        "HrChngFlag": changed("hh") & ~half_day,
+        "MinChngFlag": changed("mi"),
+        "SecChngFlag": changed("ss"),
+        "YYYYFrmtChngFlag": mixed & (p_long != "") & same_end,
+        "YYFrmtChngFlag": (one_has_year & (short_year == "00"))
         | (mixed & (p_short != "") & same_end),
-        "MMFrmtChng": respelled("mm"),
-        "DDFrmtChng": respelled("dd"),
-        "DelimFrmtChng": part(p, "delim") != part(q, "delim"),
-        "HrFrmtChng": respelled("hh") | half_day,
-        "MinFrmtChng": respelled("mi"),
-        "SecFrmtChng": respelled("ss"),
-        "DateFrmtChng": p == q,
+        "MMFrmtChngFlag": respelled("mm"),
+        "DDFrmtChngFlag": respelled("dd"),
+        "DelimFrmtChngFlag": part(p, "delim") != part(q, "delim"),
+        "HrFrmtChngFlag": respelled("hh") | half_day,
+        "MinFrmtChngFlag": respelled("mi"),
+        "SecFrmtChngFlag": respelled("ss"),
+        "DateFrmtChngFlag": p == q,
     }

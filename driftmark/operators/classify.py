@@ -14,16 +14,14 @@ from pyspark.sql import functions as F
 from driftmark.functions.pairs import date, numeric, text
 
 # The 39 change flags in feature order.
-FLAGS = tuple(
-    f"{name}Flag"
-    for name in (
-        "DelSpBeg", "DelSpBet", "DelSpEnd", "DelzBeg", "DelzBet", "DelzEnd", "DelBeg", "DelBet",
-        "DelEnd", "InsSpBeg", "InsSpBet", "InsSpEnd", "Ins", "InsSame", "InszBeg", "InsDecEnd",
-        "DelDecEnd", "Mov", "Concat", "YYYYChng", "YYChng", "MMChng", "DDChng", "TSChng",
-        "HrChng", "MinChng", "SecChng", "TZChng", "YYYYFrmtChng", "YYFrmtChng", "MMFrmtChng",
-        "DDFrmtChng", "DelimFrmtChng", "TSFrmtChng", "HrFrmtChng", "MinFrmtChng", "SecFrmtChng",
-        "TZFrmtChng", "DateFrmtChng",
-    )
+FLAGS = (
+    "DelSpBegFlag", "DelSpBetFlag", "DelSpEndFlag", "DelzBegFlag", "DelzBetFlag", "DelzEndFlag",
+    "DelBegFlag", "DelBetFlag", "DelEndFlag", "InsSpBegFlag", "InsSpBetFlag", "InsSpEndFlag",
+    "InsFlag", "InsSameFlag", "InszBegFlag", "InsDecEndFlag", "DelDecEndFlag", "MovFlag",
+    "ConcatFlag", "YYYYChngFlag", "YYChngFlag", "MMChngFlag", "DDChngFlag", "TSChngFlag",
+    "HrChngFlag", "MinChngFlag", "SecChngFlag", "TZChngFlag", "YYYYFrmtChngFlag",
+    "YYFrmtChngFlag", "MMFrmtChngFlag", "DDFrmtChngFlag", "DelimFrmtChngFlag", "TSFrmtChngFlag",
+    "HrFrmtChngFlag", "MinFrmtChngFlag", "SecFrmtChngFlag", "TZFrmtChngFlag", "DateFrmtChngFlag",
 )
 
 # Final labels.
@@ -35,7 +33,7 @@ LABELS = (
 _OPEN = "not sm"
 
 
-_BIT = {flag[: -len("Flag")]: 1 << i for i, flag in enumerate(FLAGS)}
+_BIT = {flag: 1 << i for i, flag in enumerate(FLAGS)}
 _CHANGED = sum(_BIT[name] for name in date.CHANGES)
 
 
@@ -144,10 +142,10 @@ def classify_bits(
         F.col("_num.label") == numeric.REFORMAT,
         _bits(
             {
-                "DelzBeg": F.col("_num.del_beg"),
-                "InszBeg": F.col("_num.ins_beg"),
-                "DelDecEnd": F.col("_num.del_end"),
-                "InsDecEnd": F.col("_num.ins_end"),
+                "DelzBegFlag": F.col("_num.del_beg"),
+                "InszBegFlag": F.col("_num.ins_beg"),
+                "DelDecEndFlag": F.col("_num.del_end"),
+                "InsDecEndFlag": F.col("_num.ins_end"),
             }
         ),
     )
@@ -155,14 +153,14 @@ def classify_bits(
         F.col("_blank").isNotNull(),
         _bits(
             {
-                "InsSpBeg": F.col("_blank.ins_beg"),
-                "DelSpBeg": F.col("_blank.del_beg"),
-                "InsSpEnd": F.col("_blank.ins_end"),
-                "DelSpEnd": F.col("_blank.del_end"),
+                "InsSpBegFlag": F.col("_blank.ins_beg"),
+                "DelSpBegFlag": F.col("_blank.del_beg"),
+                "InsSpEndFlag": F.col("_blank.ins_end"),
+                "DelSpEndFlag": F.col("_blank.del_end"),
             }
         ),
     )
-    other_bits = _bits({"Concat": F.col("_start") == "concatenate", "InsSame": F.col("_mask")})
+    other_bits = _bits({"ConcatFlag": F.col("_start") == "concatenate", "InsSameFlag": F.col("_mask")})
     # The four groups of flags have no flag in common, so adding them is setting their bits.
     raised = (
         _or_zero(F.col("_dbits")) + _or_zero(number_bits) + _or_zero(blank_bits) + other_bits

@@ -196,6 +196,7 @@ def fit_linear(
     iterations: int = 10,
     reg: float = 0.3,
     l1_ratio: float = 0.8,
+    tol: float = 1e-6,
 ) -> LinearRegressionModel:
     line = LinearRegression(
         featuresCol="features",
@@ -204,6 +205,7 @@ def fit_linear(
         maxIter=iterations,
         regParam=reg,
         elasticNetParam=l1_ratio,
+        tol=tol,
     )
     with persisted(df) as data:
         return line.fit(data)

@@ -15,6 +15,36 @@ def squared_distance(cols: Sequence[str], centre: Sequence[float]) -> Column:
     return total
 
 
+def lloyd(
+    df: DataFrame,
+    cols: Sequence[str],
+    centres: Sequence[Sequence[float]],
+    rounds: int,
+    weight: str,
+) -> tuple[list[tuple[float, ...]], list[tuple[float, float]]]:
+    """Centres after that many rounds from given ones, and per cluster the weight and the weighted
+    squared distance of its rows.
+
+    A round is one aggregate; a row per centre reaches the driver. A centre without rows stays.
+    """
+    w = F.col(weight)
+    means = [(F.sum(w * F.col(c)) / F.sum(w)).alias(c) for c in cols]
+    now = [tuple(map(float, c)) for c in centres]
+
+    def clusters():
+        sums = [F.sum(w).alias("_w"), F.sum(w * F.col("distance2")).alias("_d")]
+        rows = nearest_centre(df, cols, now).groupBy("cluster").agg(*means, *sums).collect()
+        return {r.cluster: r for r in rows}
+
+    for _ in range(rounds):
+        found = clusters()
+        now = [
+            tuple(found[i][c] for c in cols) if i in found else centre for i, centre in enumerate(now)
+        ]
+    last = clusters()
+    return now, [(last[i]["_w"], last[i]["_d"]) if i in last else (0.0, 0.0) for i in range(len(now))]
+
+
 def nearest_centre(
     df: DataFrame, cols: Sequence[str], centres: Sequence[Sequence[float]]
 ) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftmark.operators.series.blocks import BLOCK, block_window, own_rows, with_halo
+from driftmark.sources.scratch import materialize
 
 
 def centred_average(x: Column, keys: Sequence[str], frequency: int) -> Column:
@@ -95,10 +96,13 @@ def season_trend(
     passes: int = 2,
     length: int = BLOCK,
 ) -> DataFrame:
-    """Periodic season and local-linear trend, refined in a fixed number of passes."""
+    """Periodic season and local-linear trend, refined in a fixed number of passes. A pass reads the
+    one before twice, so that is stored."""
     cols = df.columns
     out = df.withColumn("trend", F.lit(0.0))
-    for _ in range(passes):
+    for i in range(passes):
+        if i:
+            out = materialize(out, "season-trend")
         season = cycle_means(out, keys, F.col("x") - F.col("trend"))
         seasoned = out.drop("trend", "seasonal").join(season, [*keys, "cycle"])
         seasoned = seasoned.withColumn("_adjusted", F.col("x") - F.col("seasonal"))

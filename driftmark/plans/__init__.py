@@ -12,7 +12,7 @@ from driftmark.sources.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-TOPICS = ("rollup", "segments", "profile", "pairs", "series", "arma", "models", "files")
+TOPICS = ("rollup", "segments", "profile", "pairs", "series", "arma", "models", "optima", "files")
 
 
 def _merged(attribute: str) -> dict:

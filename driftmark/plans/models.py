@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from driftmark.functions.scalars import rounded
 from driftmark.functions.segments import NO_SEGMENT, as_feature, customer_segment
 from driftmark.operators import evaluate as E
-from driftmark.operators import features, models, rollup, sampling
+from driftmark.operators import features, models, pruning, rollup, sampling
 from driftmark.operators.classify import FLAGS, classify_bits, count_kinds
 from driftmark.plans.pairs import FLAG_TEXT
 from driftmark.plans.pairs import ORACLE as PAIR_ORACLE
@@ -164,7 +164,10 @@ def onehot_vectors(spark, sf_dir):
     size = 5
     bits = vector_to_array(f"{LABEL}_vec")
     return out.select(
-        LABEL, f"{LABEL}_index", *(bits[i].alias(f"is_{i}") for i in range(size))
+        LABEL,
+        f"{LABEL}_index",
+        # With fewer labels there are fewer bits.
+        *(F.coalesce(F.get(bits, F.lit(i)), F.lit(0.0)).alias(f"is_{i}") for i in range(size)),
     )
 
 
@@ -188,6 +191,12 @@ def tree_cv(spark, sf_dir):
     return models.tree_complexity(data, INDEX, (1, 2, 3, 5, 10), "fold", FOLDS)
 
 
+def tree_pruning(spark, sf_dir):
+    """The pruning sequence of the tree on the flags, with its cross-validated errors."""
+    data = _pair_table(spark, sf_dir)
+    return pruning.complexity_table(data, INDEX, "fold", FOLDS)
+
+
 def tree_importances(spark, sf_dir):
     data = _pair_table(spark, sf_dir)
     return models.tree_importances(spark, models.fit_tree(data.where("is_train"), INDEX), FLAGS)
@@ -307,6 +316,7 @@ QUERIES = {
         tree_pairs,
         tree_overall,
         tree_cv,
+        tree_pruning,
         tree_importances,
         tree_text,
         lr_count,

@@ -299,27 +299,27 @@ _NOYEAR1 = "(yyyy1 IS NULL AND yy1 IS NULL)"
 _NOYEAR2 = "(yyyy2 IS NULL AND yy2 IS NULL)"
 _TWELVE = f"(abs({_int('hh1')} - {_int('hh2')}) = 12)"
 _DATE_RULES = {
-    "YYYYChng": f"""{_diff('yyyy')} OR (yyyy1 IS NOT NULL AND {_NOYEAR2})
+    "YYYYChngFlag": f"""{_diff('yyyy')} OR (yyyy1 IS NOT NULL AND {_NOYEAR2})
       OR (yyyy2 IS NOT NULL AND {_NOYEAR1})
       OR (yyyy1 IS NOT NULL AND yy2 IS NOT NULL AND right(yyyy1, 2) <> yy2)""",
-    "YYChng": f"""{_diff('yy')} OR (yy1 IS NOT NULL AND {_NOYEAR2} AND yy1 <> '00')
+    "YYChngFlag": f"""{_diff('yy')} OR (yy1 IS NOT NULL AND {_NOYEAR2} AND yy1 <> '00')
       OR (yy2 IS NOT NULL AND {_NOYEAR1} AND yy2 <> '00')
       OR (yy1 IS NOT NULL AND yyyy2 IS NOT NULL AND right(yyyy2, 2) <> yy1)""",
-    "MMChng": _diff("mm"),
-    "DDChng": _diff("dd"),
-    "HrChng": f"{_diff('hh')} AND NOT {_TWELVE}",
-    "MinChng": _diff("mi"),
-    "SecChng": _diff("ss"),
-    "YYYYFrmtChng": "yyyy1 IS NOT NULL AND yy2 IS NOT NULL AND right(yyyy1, 2) = yy2",
-    "YYFrmtChng": f"""(yy1 = '00' AND {_NOYEAR2}) OR (yy2 = '00' AND {_NOYEAR1})
+    "MMChngFlag": _diff("mm"),
+    "DDChngFlag": _diff("dd"),
+    "HrChngFlag": f"{_diff('hh')} AND NOT {_TWELVE}",
+    "MinChngFlag": _diff("mi"),
+    "SecChngFlag": _diff("ss"),
+    "YYYYFrmtChngFlag": "yyyy1 IS NOT NULL AND yy2 IS NOT NULL AND right(yyyy1, 2) = yy2",
+    "YYFrmtChngFlag": f"""(yy1 = '00' AND {_NOYEAR2}) OR (yy2 = '00' AND {_NOYEAR1})
       OR (yy1 IS NOT NULL AND yyyy2 IS NOT NULL AND right(yyyy2, 2) = yy1)""",
-    "MMFrmtChng": _spelling("mm"),
-    "DDFrmtChng": _spelling("dd"),
-    "DelimFrmtChng": "delim1 IS DISTINCT FROM delim2",
-    "HrFrmtChng": f"{_spelling('hh')} OR ({_diff('hh')} AND {_TWELVE})",
-    "MinFrmtChng": _spelling("mi"),
-    "SecFrmtChng": _spelling("ss"),
-    "DateFrmtChng": " AND ".join(
+    "MMFrmtChngFlag": _spelling("mm"),
+    "DDFrmtChngFlag": _spelling("dd"),
+    "DelimFrmtChngFlag": "delim1 IS DISTINCT FROM delim2",
+    "HrFrmtChngFlag": f"{_spelling('hh')} OR ({_diff('hh')} AND {_TWELVE})",
+    "MinFrmtChngFlag": _spelling("mi"),
+    "SecFrmtChngFlag": _spelling("ss"),
+    "DateFrmtChngFlag": " AND ".join(
         f"{c}1 IS NOT DISTINCT FROM {c}2"
         for c in ("yyyy", "yy", "mm", "dd", "hh", "mi", "ss", "delim")
     ),
@@ -365,23 +365,23 @@ classified AS (SELECT template, pair_key,
 )
 
 _RAISED = {
-    "DelSpBeg": f"blank AND {_LEAD.format('i1')} > {_LEAD.format('o')}",
-    "DelSpEnd": f"blank AND {_TRAIL.format('i1')} > {_TRAIL.format('o')}",
-    "InsSpBeg": f"blank AND {_LEAD.format('i1')} < {_LEAD.format('o')}",
-    "InsSpEnd": f"blank AND {_TRAIL.format('i1')} < {_TRAIL.format('o')}",
-    "DelzBeg": f"ln = 'numeric reformat' AND {_LEN1} > {_LEN2}",
-    "InszBeg": f"ln = 'numeric reformat' AND {_LEN1} < {_LEN2}",
-    "DelDecEnd": "ln = 'numeric reformat' AND dl1 > dl2",
-    "InsDecEnd": "ln = 'numeric reformat' AND dl1 < dl2",
-    "Concat": "l0 = 'concatenate'",
-    "InsSame": "masked",
+    "DelSpBegFlag": f"blank AND {_LEAD.format('i1')} > {_LEAD.format('o')}",
+    "DelSpEndFlag": f"blank AND {_TRAIL.format('i1')} > {_TRAIL.format('o')}",
+    "InsSpBegFlag": f"blank AND {_LEAD.format('i1')} < {_LEAD.format('o')}",
+    "InsSpEndFlag": f"blank AND {_TRAIL.format('i1')} < {_TRAIL.format('o')}",
+    "DelzBegFlag": f"ln = 'numeric reformat' AND {_LEN1} > {_LEN2}",
+    "InszBegFlag": f"ln = 'numeric reformat' AND {_LEN1} < {_LEN2}",
+    "DelDecEndFlag": "ln = 'numeric reformat' AND dl1 > dl2",
+    "InsDecEndFlag": "ln = 'numeric reformat' AND dl1 < dl2",
+    "ConcatFlag": "l0 = 'concatenate'",
+    "InsSameFlag": "masked",
     **{name: name for name in _DATE_RULES},
 }
 _CLASSIFIED += (
     ", ".join(
         (
-            f"CASE WHEN {_RAISED[f[:-4]]} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
-            if f[:-4] in _RAISED
+            f"CASE WHEN {_RAISED[f]} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+            if f in _RAISED
             else "0.0::DOUBLE"
         )
         + f" AS {f}"
@@ -425,7 +425,7 @@ ORACLE = {
     "pair_date_change": _CLASSIFIED.split(",\nopened AS")[0]
     + " SELECT template, pair_key, ld AS date_label, "
     + " || ".join(
-        f"CAST(CAST({f[:-4]} AS INTEGER) AS VARCHAR)" if f[:-4] in _DATE_RULES else "'0'"
+        f"CAST(CAST({f} AS INTEGER) AS VARCHAR)" if f in _DATE_RULES else "'0'"
         for f in FLAGS
     )
     + " AS flags FROM dated",
