@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from driftmark.llm.batches import slices
+from driftmark.llm.batches import quoted, slices
 from driftmark.llm.components import components
 from driftmark.llm.hashing import BASES, Rolling, mixed
 from driftmark.sources.scratch import materialize, scratch_path
@@ -98,7 +99,8 @@ def slice_documents(docs: DataFrame) -> DataFrame:
     rid numbers the rows of ``docs``, rest has their other columns; n and digest are size and hash
     of the set of shingles.
     """
-    rest = F.struct("doc_id", *(c for c in docs.columns if c not in ("doc_id", "text")))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct("doc_id", *quoted(others))
 
     def pack(batches):
         import zstandard
@@ -135,12 +137,18 @@ def slice_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     path = scratch_path(spark, "jaccard-slices")
     numbered = docs.select(F.monotonically_increasing_id().alias("rid"), rest.alias("rest"), "text")
-    kind = numbered.schema["rest"].dataType.simpleString()
-    packed = numbered.mapInArrow(
-        pack,
-        f"slice long, rid array<long>, rest array<{kind}>, n array<long>, digest array<binary>,"
-        " present array<boolean>, lengths array<long>, packed binary",
-    )
+    kinds = {
+        "rid": T.LongType(),
+        "rest": numbered.schema["rest"].dataType,
+        "n": T.LongType(),
+        "digest": T.BinaryType(),
+        "present": T.BooleanType(),
+        "lengths": T.LongType(),
+    }
+    told = T.StructType().add("slice", "long")
+    for name, kind in kinds.items():
+        told.add(name, T.ArrayType(kind))
+    packed = numbered.mapInArrow(pack, told.add("packed", "binary"))
     # Small row groups: a reader holds one of them, and rows are large.
     packed.write.option("parquet.block.size", 8 << 20).parquet(path)
     return spark.read.schema(packed.schema).parquet(path)
@@ -423,7 +431,7 @@ def one_per_component(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    empty = to_arrow_schema(docs.select(columns).schema).empty_table()
+    empty = to_arrow_schema(docs.schema).empty_table()
     return (
         sliced.select("slice", "rid", "rest", "present", "lengths", "packed")
         .groupBy("slice")

@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from driftmark.llm.batches import slices
+from driftmark.llm.batches import quoted, release_memory, slices
 
 SAMPLE_ROWS = 400
 SAMPLE_TEXT = 20_000
@@ -154,17 +155,17 @@ def _chains(sample: list[tuple[str, list[str]]], languages: list[str], rng) -> t
 
 def learn_lexicon(sample: list[tuple[str, list[str]]], languages: list[str]) -> dict[str, int]:
     """Words seen at least three times, nine times of ten in one language."""
-    counts: dict[str, Counter] = {}
+    per_language: dict[str, Counter] = {lang: Counter() for lang in languages}
+    total: Counter[str] = Counter()
     for lang, words in sample:
-        for w in words:
-            counts.setdefault(w, Counter())[lang] += 1
-    number = {x: i for i, x in enumerate(languages)}
-    out = {}
-    for w, c in counts.items():
-        lang, n = c.most_common(1)[0]
-        if n >= 3 and n >= 0.9 * sum(c.values()):
-            out[w] = number[lang]
-    return out
+        per_language[lang].update(words)
+        total.update(words)
+    return {
+        w: number
+        for number, lang in enumerate(languages)
+        for w, n in per_language[lang].items()
+        if n >= 3 and n >= 0.9 * total[w]
+    }
 
 
 def train(sample: list[tuple[str, str]], seed: int = 0) -> Model:
@@ -226,11 +227,9 @@ def train(sample: list[tuple[str, str]], seed: int = 0) -> Model:
     return model
 
 
-def least_score(sample: list[tuple[str, str]]) -> float:
+def least_score(model: Model, held: list[str]) -> float:
     """Halfway between chance and the score that all but a few held-out documents reach, by a model
     that has not seen them; 0 where there is no choice between languages."""
-    model = train([r for i, r in enumerate(sample) if i % HELD_OUT])
-    held = [text for lang, text in sample[::HELD_OUT] if lang in model.languages]
     if len(model.languages) < 2 or not held:
         return 0.0
     reached = np.quantile(Labeller(model)(held).max(1), 1 - REACHED)
@@ -241,7 +240,8 @@ def fit(
     docs: DataFrame, usable: Column, rows: int = SAMPLE_ROWS, calibrate: bool = True
 ) -> Model:
     """Learn from text and non-null lang of at most ``rows`` usable documents per language; every
-    language with a letter in one of them is learnt. ``calibrate`` sets the model's least score.
+    language with a letter in one of them is learnt. ``calibrate`` sets the model's least score, by a
+    fifth of the sample that is then not learnt from, but for languages that have no other document.
 
     docs: doc_id (only to draw the sample), text and lang. Without any, the model knows no language.
     """
@@ -269,8 +269,14 @@ def fit(
         taken[r["lang"]] += 1
         if taken[r["lang"]] <= rows:
             chosen.append((r["lang"], r["text"]))
-    model = train(chosen)
-    return replace(model, least=least_score(chosen)) if calibrate else model
+    del table
+    taught = {lang for i, (lang, _) in enumerate(chosen) if i % HELD_OUT}
+    held = [calibrate and not i % HELD_OUT and lang in taught for i, (lang, _) in enumerate(chosen)]
+    model = train([r for r, out in zip(chosen, held, strict=True) if not out])
+    if calibrate:
+        model = replace(model, least=least_score(model, [t for (_, t), out in zip(chosen, held, strict=True) if out]))
+    release_memory()
+    return model
 
 
 def _pieces(text: Column, size: int) -> Column:
@@ -368,8 +374,8 @@ def _labelled(docs: DataFrame, model: Model, carried: Column) -> DataFrame:
             )
 
     rows = docs.select(carried.alias("carried"), "text")
-    kind = rows.schema["carried"].dataType.simpleString()
-    return rows.mapInArrow(label, f"carried {kind}, lang_pred string, score double")
+    told = T.StructType([rows.schema["carried"]]).add("lang_pred", "string").add("score", "double")
+    return rows.mapInArrow(label, told)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -386,6 +392,6 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
     least. A model without a language cannot tell and passes every text with a letter."""
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = _labelled(docs, model, F.struct(*docs.columns))
+    found = _labelled(docs, model, F.struct(*quoted(docs.columns)))
     kept = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= model.least))
     return kept.select(*(F.col(f"carried.`{c}`").alias(c) for c in docs.columns))

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftmark.llm.batches import quoted
 from driftmark.operators.sampling import with_position
 from driftmark.sources.scratch import materialize
 
@@ -247,7 +248,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     them; ``n_chars`` then follows the text.
     """
     columns = docs.columns
-    rows = docs.select(F.struct(*columns).alias("row"))
+    rows = docs.select(F.struct(*quoted(columns)).alias("row"))
     rows = rows.select(
         "row",
         source_key(F.col("row.source")).alias("source_key"),

@@ -85,5 +85,16 @@ def test_encoding(tables):
     assert sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in tables[5]) == sorted(want)
 
 
+def test_columns_with_dots(spark):
+    docs = spark.createDataFrame(
+        [(i, f"{w} " * 200 + "token=abcdefghijklmn", "en", "s", 1, 4 + i) for i, w in ((1, "cat"), (2, "dog"))],
+        "doc_id long, text string, lang string, source string, n_chars long, `a.b` int",
+    )
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert {r["a.b"] for r in out.collect()} == {5, 6}
+
+
 def test_mask_is_no_secret():
     assert not brute_base("[SECRET]") and secrets.KINDS[0] == "assign"
