@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftmark.llm.batches import quoted
 from driftmark.sources.scratch import materialize
 
 ASSIGN = (
@@ -105,8 +106,8 @@ def _bucketed(parts: DataFrame, scope: int, reach: int) -> DataFrame:
     return parts.withColumn("bucket", F.explode(F.sequence(first, last)))
 
 
-def _near(parts: DataFrame, others: DataFrame, scope: int, reach: int, how: str) -> DataFrame:
-    """Parts with (or without, for an anti join) one of ``others`` less than ``reach`` away."""
+def _near(parts: DataFrame, others: DataFrame, scope: int, reach: int) -> DataFrame:
+    """Parts with one of ``others`` less than ``reach`` away."""
     a = _bucketed(parts, scope, reach).alias("a")
     b = _bucketed(others, scope, 0).alias("b")
     apart = (
@@ -115,10 +116,21 @@ def _near(parts: DataFrame, others: DataFrame, scope: int, reach: int, how: str)
         & (F.col("a.start") - reach < F.col("b.end"))
         & (F.col("b.start") < F.col("a.end") + reach)
     )
-    hit = a.join(b, apart, "left_semi").drop("bucket").distinct()
-    if how == "with":
-        return hit
-    return parts.join(hit, ["text_key", "start", "kind", "end"], "left_anti")
+    return a.join(b, apart, "left_semi").drop("bucket").distinct()
+
+
+def _uncovered(parts: DataFrame, others: DataFrame, scope: int) -> DataFrame:
+    """Parts that do not lie inside one of ``others``. What covers a part covers its start, so it is
+    found in the bucket of that."""
+    a = parts.withColumn("bucket", F.floor(F.col("start") / scope)).alias("a")
+    b = _bucketed(others, scope, 0).alias("b")
+    covers = (
+        (F.col("a.text_key") == F.col("b.text_key"))
+        & (F.col("a.bucket") == F.col("b.bucket"))
+        & (F.col("b.start") <= F.col("a.start"))
+        & (F.col("a.end") <= F.col("b.end"))
+    )
+    return a.join(b, covers, "left_anti").drop("bucket")
 
 
 def link_parts(found: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -129,20 +141,20 @@ def link_parts(found: DataFrame, scope: int = SCOPE) -> DataFrame:
         .select("text_key", F.inline(F.concat("base", "weak")))
     )
     base = parts.where(F.col("kind") < BASE_KINDS)
-    # What a base span already covers is not reported twice.
-    weak = _near(parts.where(F.col("kind") >= BASE_KINDS), base, scope, 0, "without")
+    # What lies inside a base span is not reported twice.
+    weak = _uncovered(parts.where(F.col("kind") >= BASE_KINDS), base, scope)
     whole = base.unionByName(weak)
     identifiers = whole.where(F.col("kind").isin(*IDENTIFIERS))
     secrets = whole.where(F.col("kind").isin(*SECRETS))
     endpoints = weak.where(F.col("kind").isin(*ENDPOINTS))
     linked = (
-        _near(weak.where(F.col("kind").isin(*IDENTIFIERS)), secrets, scope, scope, "with")
+        _near(weak.where(F.col("kind").isin(*IDENTIFIERS)), secrets, scope, scope)
         .unionByName(
-            _near(weak.where(F.col("kind").isin(*SECRETS)), identifiers, scope, scope, "with")
+            _near(weak.where(F.col("kind").isin(*SECRETS)), identifiers, scope, scope)
         )
         .unionByName(
             _near(
-                _near(endpoints, identifiers, scope, scope, "with"), secrets, scope, scope, "with"
+                _near(endpoints, identifiers, scope, scope), secrets, scope, scope
             )
         )
     )
@@ -211,7 +223,7 @@ def masked_documents(docs: DataFrame, mask: str = "[SECRET]", scope: int = SCOPE
     one. Texts without a span, null ones included, stay as they are; ``n_chars`` follows the text.
     """
     columns = docs.columns
-    found = find_secrets(docs.select("doc_id", "text", F.struct(*columns).alias("row")), scope)
+    found = find_secrets(docs.select("doc_id", "text", F.struct(*quoted(columns)).alias("row")), scope)
     text = F.col("row.text")
 
     def step(state, span):

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from driftmark.llm import secrets
 from tests.llm.tables import documents, sorted_rows
 
@@ -67,6 +69,50 @@ def test_weak_parts_need_company(spark):
     ]
 
 
+def test_parts_that_reach_beyond_a_base_span(spark):
+    """Only what lies inside a base span is left out; masking merges what overlaps."""
+    mixed = "aB3/" * 5 + "0123456789abcdef" + "/zQ9" * 5
+    rows = [
+        (1, "client_id=bob https://h/x?token=abcdefghijkl end"),
+        (2, f"client_id=bob {mixed} end"),
+        (3, "client_id=bob token=" + "aB3/" * 9),
+    ]
+    docs = documents(spark, rows)
+    got = dict(sorted_rows(secrets.secret_report(docs), "doc_id", "spans"))
+    assert got == {
+        1: "identifier:0:13,endpoint:14:44,assign:26:44",
+        2: "identifier:0:13,mixed:14:70,hex:34:50",
+        3: "identifier:0:13,assign:14:56",
+    }
+    masked = dict(sorted_rows(secrets.masked_documents(docs), "doc_id", "text"))
+    assert masked == {1: "[SECRET] [SECRET] end", 2: "[SECRET] [SECRET] end", 3: "[SECRET] [SECRET]"}
+
+
+def test_one_text_with_very_many_parts(spark):
+    """300,000 parts of a single text: the join works by places, not by texts."""
+    n, step = 100_000, 1000
+
+    def parts(kind, shift):
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(n - 1)),
+            lambda i: F.struct(
+                (i * step + shift).alias("start"), F.lit(kind).alias("kind"), (i * step + shift + 20).alias("end")
+            ),
+        )
+
+    # An assignment and an identifier in scope of each other, and every other identifier out of it.
+    near = F.filter(parts(3, 100), lambda s: F.pmod(s["start"], F.lit(2 * step)) < step)
+    far = F.filter(parts(3, 500), lambda s: F.pmod(s["start"], F.lit(2 * step)) >= step)
+    found = spark.range(1).select(
+        F.lit("k").alias("text_key"), parts(0, 0).alias("base"), F.concat(near, far, parts(5, 150)).alias("weak")
+    )
+    linked = secrets.link_parts(found).select(F.explode("linked").alias("s")).select("s.*")
+    counts = {r.kind: (r.n, r.places) for r in linked.groupBy("kind").agg(
+        F.count("*").alias("n"), F.sum(F.pmod("start", F.lit(2 * step))).alias("places")
+    ).collect()}
+    assert counts == {3: (n // 2, 100 * n // 2), 5: (n // 2, 150 * n // 2)}
+
+
 def test_masking(spark):
     rows = [
         (1, "a token=0123456789abcdef z"),
