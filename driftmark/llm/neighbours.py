@@ -7,13 +7,15 @@ squared margins first, until it has opened a given share of a tree's leaves; the
 leaves are ranked by their exact distance.
 
 Equal vectors are indexed once, with their smallest ids, so that a vector that a third of all rows
-share is one row of its leaf.
+share is one row of its leaf. Vectors are told apart by a number of their own, not by ids, which may
+repeat. Each length has a forest of its own.
 """
 
 from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -87,12 +89,13 @@ def nearest_leaves(query: np.ndarray, forest: Forest, n: int) -> list[tuple[int,
 
 
 def distinct_vectors(vectors: DataFrame, ids: int) -> DataFrame:
-    """(embedding, ids): each vector once, with its ``ids`` smallest ids in order."""
+    """(number, embedding, ids): each vector once, with its ``ids`` smallest ids in order. Numbers
+    hold once the table is stored."""
     order = Window.partitionBy("embedding").orderBy("vec_id")
     first = vectors.withColumn("n", F.row_number().over(order)).where(F.col("n") <= ids)
     return first.groupBy("embedding").agg(
         F.sort_array(F.collect_list(F.col("vec_id").cast("long"))).alias("ids")
-    )
+    ).withColumn("number", F.monotonically_increasing_id())
 
 
 def nearest(
@@ -110,9 +113,23 @@ def nearest(
     rows: vec_id and embedding, see ``usable_vectors``; zero vectors take no part either. The
     forest sees at most about ``sample_rows`` distinct vectors. A query opens as many leaves
     as ``share`` of one tree's, at least four per tree. No query, or no row, gives an empty result.
+    Different vectors of one id are different queries and different rows, but a row of the query's
+    own id is none of its answers. One search is planned per length that occurs.
     """
     nonzero = F.exists("embedding", lambda x: x != 0)
-    vectors = materialize(usable_vectors(rows).where(nonzero), "nn-vectors")
+    every = materialize(usable_vectors(rows).where(nonzero), "nn-vectors")
+    lengths = [r[0] for r in every.select(F.size("embedding")).distinct().collect()]
+    options = (k, trees, leaf_rows, share, sample_rows)
+    parts = [
+        _of_one_length(every.where(F.size("embedding") == n), is_query, *options)
+        for n in sorted(lengths) or [0]
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _of_one_length(
+    vectors: DataFrame, is_query, k: int, trees: int, leaf_rows: int, share: float, sample_rows: int
+) -> DataFrame:
     distinct = materialize(distinct_vectors(vectors, k + 1), "nn-distinct")
     n = distinct.count()
     mark = F.pmod(F.xxhash64("embedding", F.lit("forest")), F.lit(1 << 30))
@@ -128,7 +145,7 @@ def nearest(
     # A group is some leaves, or a part of a leaf that has outgrown the sample's depth.
     salts = -(-(n >> forest.depth) // GROUP_ROWS) or 1
     groups = -(-trees * n // (GROUP_ROWS * salts)) or 1
-    shared = rows.sparkSession.sparkContext.broadcast((forest.directions, forest.cuts))
+    shared = vectors.sparkSession.sparkContext.broadcast((forest.directions, forest.cuts))
 
     def index(batches):
         forest = Forest(*shared.value)
@@ -139,6 +156,7 @@ def nearest(
                 yield pa.record_batch(
                     {
                         "leaf": pa.array(code),
+                        "number": batch.column("number"),
                         "embedding": batch.column("embedding"),
                         "ids": batch.column("ids"),
                     }
@@ -159,30 +177,38 @@ def nearest(
             )
 
     def rank(asked, held):
-        """Per query and group its k + 1 nearest vectors."""
-        out = {"query_key": [], "ids": [], "score": []}
+        """Per query and group its k + 1 nearest vectors. A vector that only the id of the query has
+        is none of them, where a single id asks."""
+        out = {"query_key": [], "number": [], "ids": [], "score": []}
         if asked.num_rows and held.num_rows:
             leaf, x = held["leaf"].to_numpy(), matrix(held["embedding"])
             order = np.argsort(leaf, kind="stable")
             leaf, x, ids = leaf[order], x[order], held["ids"].take(pa.array(order))
             ids = ids.combine_chunks()
+            number = held["number"].to_numpy()[order]
+            sizes = np.diff(ids.offsets.to_numpy())
             first_id = ids.flatten().to_numpy()[ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py()]
             keys, queries = asked["query_key"].to_pylist(), matrix(asked["embedding"])
-            for key, q, leaves in zip(keys, queries, asked["leaves"].to_pylist(), strict=True):
+            only = asked["only_id"].to_pylist()
+            for key, own, q, leaves in zip(keys, only, queries, asked["leaves"].to_pylist(), strict=True):
                 starts, ends = np.searchsorted(leaf, leaves), np.searchsorted(leaf, leaves, "right")
                 at = np.concatenate([np.arange(a, b) for a, b in zip(starts, ends, strict=True)])
+                if own is not None:
+                    at = at[(sizes[at] > 1) | (first_id[at] != own)]
                 if not len(at):
                     continue
                 # A vector in leaves of several trees counts once.
-                at = at[np.unique(first_id[at], return_index=True)[1]]
+                at = at[np.unique(number[at], return_index=True)[1]]
                 distance = np.sqrt(((x[at] - q) ** 2).sum(1))
                 best = np.lexsort((first_id[at], distance))[: k + 1]
                 out["query_key"] += [key] * len(best)
+                out["number"] += number[at[best]].tolist()
                 out["ids"] += ids.take(pa.array(at[best])).to_pylist()
                 out["score"] += distance[best].tolist()
         return pa.table(
             {
                 "query_key": pa.array(out["query_key"], pa.int64()),
+                "number": pa.array(out["number"], pa.int64()),
                 "ids": pa.array(out["ids"], pa.list_(pa.int64())),
                 "score": pa.array(out["score"], pa.float64()),
             }
@@ -190,13 +216,19 @@ def nearest(
 
     group = F.pmod(F.xxhash64("leaf"), F.lit(groups)).cast("int")
     held = (
-        distinct.mapInArrow(index, "leaf long, embedding array<double>, ids array<long>")
+        distinct.mapInArrow(index, "leaf long, number long, embedding array<double>, ids array<long>")
         .withColumn("group", group)
         .withColumn("salt", F.pmod(F.xxhash64("embedding"), F.lit(salts)).cast("int"))
     )
-    # Queries of equal vectors are searched once; the first id of the vector stands for it.
+    # Queries of equal vectors are searched once.
     queries = vectors.where(is_query).select(F.col("vec_id").cast("long").alias("query_id"), "embedding")
-    keyed = queries.groupBy("embedding").agg(F.min("query_id").alias("query_key"))
+    asking = queries.groupBy("embedding").agg(
+        F.when(F.min("query_id") == F.max("query_id"), F.min("query_id")).alias("only_id")
+    )
+    keyed = materialize(
+        asking.join(distinct.select("embedding", F.col("number").alias("query_key")), "embedding"),
+        "nn-queries",
+    )
     asked = (
         keyed.select("embedding").mapInArrow(probe, "embedding array<double>, leaves array<long>")
         .withColumn("leaf", F.explode("leaves"))
@@ -208,8 +240,8 @@ def nearest(
     found = (
         asked.groupBy("group", "salt")
         .cogroup(held.groupBy("group", "salt"))
-        .applyInArrow(rank, "query_key long, ids array<long>, score double")
-        .dropDuplicates(["query_key", "ids"])
+        .applyInArrow(rank, "query_key long, number long, ids array<long>, score double")
+        .dropDuplicates(["query_key", "number"])
     )
     by_vector = Window.partitionBy("query_key").orderBy("score", F.get("ids", 0))
     nearest_vectors = found.withColumn("n", F.row_number().over(by_vector)).where(
@@ -228,7 +260,7 @@ def nearest(
         )
     )
     answered = (
-        queries.join(keyed, "embedding")
+        queries.join(keyed.drop("only_id"), "embedding")
         .join(lists.select("query_key", F.sort_array(flat).alias("flat")), "query_key")
         .select("query_id", F.filter("flat", lambda f: f["vec_id"] != F.col("query_id")).alias("flat"))
         .select("query_id", F.posexplode(F.slice("flat", 1, k)).alias("at", "hit"))

@@ -41,20 +41,28 @@ def best_rows(
     ids: np.ndarray,
     bounds_of: list[tuple[np.ndarray, np.ndarray]],
     k: int,
+    own: int | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Places and scores of the k highest inner products, ties to the smaller id. ``bounds_of``:
-    per level the statistics of the query and of the rows."""
+    """Places and scores of the k highest inner products, ties to the smaller id, rows of the id
+    ``own`` left out. ``bounds_of``: per level the statistics of the query and of the rows."""
+    mine = np.flatnonzero(ids == own) if own is not None else np.empty(0, np.int64)
+    n = len(rows) - len(mine)
 
     def bounds(level: int, at) -> np.ndarray:
         of_query, of_rows = bounds_of[level]
         return of_rows[at] @ of_query
 
+    def all_bounds(level: int) -> np.ndarray:
+        out = bounds(level, slice(None))
+        out[mine] = -np.inf
+        return out
+
     slack = SLACK * (1 + np.linalg.norm(query) * np.linalg.norm(rows, axis=1).max())
-    coarse = bounds(0, slice(None))
-    finest = bounds(len(bounds_of) - 1, slice(None)) if len(rows) > 4 * k else coarse
-    seeds = np.argpartition(-finest, k - 1)[:k] if len(rows) > k else np.arange(len(rows))
-    least = np.sort(rows[seeds] @ query)[0] if len(rows) > k else -np.inf
+    coarse = all_bounds(0)
+    finest = all_bounds(len(bounds_of) - 1) if len(rows) > 4 * k else coarse
+    least = (rows[np.argpartition(-finest, k - 1)[:k]] @ query).min() if n > k else -np.inf
     alive = np.flatnonzero(coarse >= least - slack)
+    alive = np.setdiff1d(alive, mine, assume_unique=True) if len(mine) else alive
     for level in range(1, len(bounds_of)):
         alive = alive[bounds(level, alive) >= least - slack]
     scores = rows[alive] @ query
@@ -73,8 +81,10 @@ def top_products(
     """(query_id, rank, vec_id, score): per query the k rows of highest inner product, its own id
     left out, of the components floor(scale * x), ties to the smaller id.
 
-    rows: vec_id and embedding, see ``usable_vectors`` for what takes part. Fewer than k rows give
-    all of them, no query an empty result. Scores are exact as long as they fit a double's 53 bits.
+    rows: vec_id and embedding, see ``usable_vectors`` for what takes part; a query meets the vectors
+    of its length. Fewer than k rows give all of them, no query an empty result. Different vectors of
+    one id are different queries and different rows, but a row of the query's own id is none of its
+    answers. Scores are exact as long as they fit a double's 53 bits.
     """
     whole = F.transform("embedding", lambda x: F.floor(x * scale).cast("double"))
     vectors = materialize(
@@ -84,15 +94,18 @@ def top_products(
     n_rows, n_queries = vectors.count(), queries.count()
     n_chunks, n_blocks = -(-n_rows // row_chunk) or 1, -(-n_queries // query_block) or 1
     place = F.xxhash64("vec_id", "embedding")
+    length = F.size("embedding").alias("length")
     left = queries.select(
         "vec_id",
         "embedding",
+        length,
         F.pmod(place, F.lit(n_blocks)).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk"),
     )
     right = vectors.select(
         "vec_id",
         "embedding",
+        length,
         F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"),
         F.pmod(place, F.lit(n_chunks)).cast("int").alias("chunk"),
     )
@@ -107,13 +120,11 @@ def top_products(
             keys = left["query_key"].to_numpy()
             for i in range(len(q)):
                 levels = [(a[i], b) for a, b in zip(of_queries, of_rows, strict=True)]
-                # One more, as the query's own row is found too.
-                at, scores = best_rows(q[i], x, ids, levels, k + 1)
-                others = ids[at] != asked[i]
-                out["query_id"] += [asked[i]] * int(others.sum())
-                out["query_key"] += [keys[i]] * int(others.sum())
-                out["vec_id"] += ids[at][others].tolist()
-                out["score"] += scores[others].tolist()
+                at, scores = best_rows(q[i], x, ids, levels, k, asked[i])
+                out["query_id"] += [asked[i]] * len(at)
+                out["query_key"] += [keys[i]] * len(at)
+                out["vec_id"] += ids[at].tolist()
+                out["score"] += scores.tolist()
         return pa.table(
             {
                 "query_id": pa.array(out["query_id"], pa.int64()),
@@ -126,9 +137,9 @@ def top_products(
     found = (
         left.withColumn("query_key", place)
         .withColumn("vec_id", F.col("vec_id").cast("long"))
-        .groupBy("block", "chunk")
+        .groupBy("length", "block", "chunk")
         .cogroup(
-            right.withColumn("vec_id", F.col("vec_id").cast("long")).groupBy("block", "chunk")
+            right.withColumn("vec_id", F.col("vec_id").cast("long")).groupBy("length", "block", "chunk")
         )
         .applyInArrow(search, "query_id long, query_key long, vec_id long, score long")
     )

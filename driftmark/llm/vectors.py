@@ -21,24 +21,15 @@ def finite(vector: Column) -> Column:
 
 
 def usable_vectors(rows: DataFrame) -> DataFrame:
-    """(vec_id, embedding as doubles): valid vectors of the commonest length, equal rows once.
+    """(vec_id, embedding as doubles): valid vectors, equal rows once.
 
-    Rows without an id, and vectors of another length (no measure is defined between lengths),
-    take no part; other columns are ignored.
+    Rows without an id take no part; other columns are ignored. No measure is defined between
+    vectors of different lengths: each length is searched among its own rows.
     """
     valid = rows.where(F.col("vec_id").isNotNull() & finite(F.col("embedding")))
-    length = F.size("embedding")
-    common = (
-        valid.groupBy(length.alias("length"))
-        .count()
-        .orderBy(F.col("count").desc(), "length")
-        .first()
-    )
-    return (
-        valid.where(length == (common.length if common else 0))
-        .select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-        .dropDuplicates()
-    )
+    return valid.select(
+        "vec_id", F.col("embedding").cast("array<double>").alias("embedding")
+    ).dropDuplicates()
 
 
 def matrix(lists: pa.Array | pa.ChunkedArray) -> np.ndarray:

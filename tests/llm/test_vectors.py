@@ -105,3 +105,50 @@ def test_queue_pops_the_nearest_leaves():
         assert len(set(popped)) == 48
         # A point on a cut lies in both leaves.
         assert {(t, leaves[t, i]) for t in range(3)} <= set(popped[:6])
+
+
+def brute(rows, score, best_first, nearest=False):
+    """Every distinct row of an id divisible by 20 against all rows of its length and another id."""
+    kept = sorted({(i, tuple(v)) for i, v in rows if not nearest or any(v)})
+    out = []
+    for i, q in kept:
+        if i % 20:
+            continue
+        found = sorted((best_first * score(q, v), j) for j, v in kept if j != i and len(v) == len(q))
+        out += [(i, r + 1, j, best_first * s) for r, (s, j) in enumerate(found[:10])]
+    return sorted(out)
+
+
+def mixed_table(seed=2):
+    """Ids that several vectors share, queries among them, and vectors of two lengths."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(260, 8)).astype(np.float32)
+    rows = [(i % 90, v.tolist()) for i, v in enumerate(x)]
+    rows += [(i, v[:3]) for i, v in rows[:70]] + [rows[0], (500, rows[0][1]), (40, rows[0][1])]
+    return rows
+
+
+def test_products_with_repeated_ids_and_two_lengths(spark):
+    rows = mixed_table()
+
+    def product(a, b):
+        whole = [np.floor(1024 * np.float64(np.float32(v))) for v in (a, b)]
+        return int(whole[0] @ whole[1])
+
+    want = brute(rows, lambda a, b: product(np.array(a), np.array(b)), -1)
+    got = topk.top_products(table(spark, rows), is_query())
+    assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == want
+
+
+def test_neighbours_with_repeated_ids_and_two_lengths(spark):
+    rows = mixed_table()
+
+    def distance(a, b):
+        return float(np.sqrt(((np.float64(np.float32(a)) - np.float64(np.float32(b))) ** 2).sum()))
+
+    want = brute(rows, lambda a, b: distance(np.array(a), np.array(b)), 1, nearest=True)
+    got = neighbours.nearest(table(spark, rows), is_query(), share=100.0)
+    got = sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect()))
+    # Two vectors of one id may stand at the same rank of the two.
+    assert [(q, r, v) for q, r, v, _ in got] == [(q, r, v) for q, r, v, _ in want]
+    assert np.allclose([s for *_, s in got], [s for *_, s in want], atol=1e-12)
