@@ -101,3 +101,15 @@ def test_scratch_follows_the_session_setting(spark):
     stored = scratch.materialize(spark.range(5).select((F.col("id") * 2).alias("x")), "t")
     assert stored.count() == 5
     assert "Range" not in stored._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_quoted_file_holds_a_bounded_number_of_rows(spark, tmp_path):
+    """Such a file is read by one task, so one writing task may not put all its rows into it."""
+    df = spark.range(0, 100, 1, 1).select("id", F.lit("a\nb").alias("a"))
+    path = str(tmp_path / "bounded")
+    files.write_delimited(df, path, header=True, quoted=True, rows_per_file=30)
+    parts = list((tmp_path / "bounded").glob("part-*.csv"))
+    assert len(parts) == 4
+    assert max(p.read_text().count("a\nb") for p in parts) == 30
+    back = files.read_inferred(spark, path, df.schema)
+    assert sorted(tuple(r) for r in back.collect()) == [(i, "a\nb") for i in range(100)]
