@@ -9,7 +9,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftmark.functions.pairs import date, numeric, text
-from driftmark.operators.classify import FLAGS, LABELS, classify_pairs, feature_table
+from driftmark.operators.classify import (
+    FLAGS,
+    LABELS,
+    classify_bits,
+    classify_counts,
+    classify_pairs,
+    feature_table,
+)
+from driftmark.sources.pair_fixture import pairs
+from driftmark.sources.tables import spread
 
 # (input1, input2, output, label, raised flags)
 TRUTH = [
@@ -199,3 +208,29 @@ def test_long_texts_are_read_whole(spark):
     rows = [(long, "", "  " + long), (long, "", "XXXX" + long), (long, "", long + "!")]
     got = _classified(spark, rows)
     assert [got[i].PredClassify for i in range(3)] == ["stringreformat", "masking", "derived"]
+
+
+def test_equal_triples_are_counted_before_they_are_classified(spark):
+    rows = [(t % 2, i1, i2, o) for t in range(6) for i1, i2, o, _, _ in TRUTH]
+    rows += [(0, None, "", "x"), (0, "", None, "x"), (0, "2016-01-05", "", "2016-1-5")]
+    df = spark.createDataFrame(rows, "t int, i1 string, i2 string, o string")
+    got = classify_counts(df, ["t"], "i1", "i2", "o")
+    want = classify_bits(df, "i1", "i2", "o").groupBy("t", "PredClassify", "flag_bits").count()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert [c for c, _ in got.dtypes] == ["t", "PredClassify", "flag_bits", "n"]
+
+
+def test_a_scan_of_one_split_is_dealt_out_by_its_rows(spark, tmp_path):
+    path = str(tmp_path / "one")
+    spark.range(0, 1000, 1, 1).selectExpr("id", "0 AS hot").write.parquet(path)
+    out = spread(spark.read.parquet(path), rows_per_task=20)
+    assert out.columns == ["id", "hot"] and out.rdd.getNumPartitions() == 50
+    sizes = out.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) < 60
+    assert sorted(r.id for r in out.collect()) == list(range(1000))
+
+
+def test_triples_are_made_once(spark):
+    """No filter in front of the exchange makes them too."""
+    plan = pairs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("date_order") == 1 and "Filter" not in plan
