@@ -17,6 +17,7 @@ from driftmark.operators.classify import (
     classify_pairs,
     feature_table,
 )
+from driftmark.plans import all_queries
 from driftmark.sources.pair_fixture import pairs
 from driftmark.sources.tables import spread
 
@@ -234,3 +235,21 @@ def test_triples_are_made_once(spark):
     """No filter in front of the exchange makes them too."""
     plan = pairs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("date_order") == 1 and "Filter" not in plan
+
+
+def test_dates_are_matched_once_a_side(spark):
+    """The filter on the parts and the layouts shown do not match the texts again."""
+    df = all_queries()["pair_date"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 2 * len(date.LAYOUTS)
+
+
+def test_layout_follows_the_parts(spark):
+    texts = ["2016-01-31", "01/31/2016", "31.01.2016", "2016-31-01", "10:30", "", "no date", "1-2" + "\x01" * 8]
+    df = spark.createDataFrame([(s,) for s in texts], "s string")
+    parts = date.date_parts(date.rewrite_date(F.col("s"), layout=True))
+    plain = date.date_parts(date.rewrite_date(F.col("s")))
+    named = F.slice(parts, 1, len(date.PARTS)) == F.slice(plain, 1, len(date.PARTS))
+    got = df.select(date.part_layout(parts), date.date_layout(F.col("s")), named).collect()
+    assert [r[0] for r in got] == ["ymd", "mdy", "dmy", "ydm", "time", "time", None, None]
+    assert all(r[0] == r[1] and r[2] in (True, None) for r in got)
