@@ -7,9 +7,10 @@ piece's hash: a lookup in one large map would compare key by key.
 
 Texts are split once, into slices that hold their distinct words and the words of each document as
 places among these. Words are counted over all slices; those used most, up to a fixed number, are
-folded once and their ids handed to every task. The remaining words are folded where they occur, each
-once per slice, so that memory is bounded whatever the vocabulary of the corpus. Words of more than
-``LONG_WORD`` bytes would fold in quadratic time; they are merged with a heap.
+folded once and their ids handed to every task. That list is small, so that neither the driver nor
+a worker holds much of it. The remaining words, most of them used once in the whole corpus, are
+merged where they occur, all of a slice in step, as numpy arrays of piece numbers. Words of more than
+``LONG_WORD`` bytes would take quadratic time either way; they are merged with a heap.
 """
 
 from __future__ import annotations
@@ -33,13 +34,15 @@ from driftmark.llm.vectors import one_list
 from driftmark.sources.scratch import scratch_path
 
 BUCKETS = 1 << 14
-FREQUENT = 1 << 20
+FREQUENT = 1 << 18
 LONG_WORD = 128
 SLICE_BYTES = 4 << 20
 HASH_BYTES = 1 << 20
 OUTPUT_ROWS = 256
 #: More than any array of pieces is long.
 REST = 1 << 30
+#: More than there are numbers of pieces.
+PIECES = 1 << 31
 
 # The pattern that goes with the rank file, and what it means for ASCII text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -166,6 +169,98 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in piece if p]
 
 
+class PairTable:
+    """Which two pieces make a third, by their numbers: ``keys`` in order, and the ``ranks`` of the
+    results. The number of a piece is its rank; bytes without one are numbered from ``top``."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.top = max(ranks.values(), default=-1) + 1
+        alone = {bytes([i]): self.top + i for i in range(256)}
+        number = alone | ranks
+        self.first = np.array([number[b] for b in alone], np.int32)
+        pairs = {}
+        for piece, rank in ranks.items():
+            for i in range(1, len(piece)):
+                left, right = number.get(piece[:i]), number.get(piece[i:])
+                if left is not None and right is not None:
+                    pairs[left * PIECES + right] = rank
+        keys = np.fromiter(pairs, np.int64, len(pairs))
+        found = np.fromiter(pairs.values(), np.int32, len(pairs))
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], found[order]
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, ``REST`` where it makes no piece."""
+        if not len(self.keys):
+            return np.full(len(left), REST, np.int32)
+        key = left.astype(np.int64) * PIECES + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], np.int32(REST))
+
+
+def merge_in_step(data: np.ndarray, sizes: np.ndarray, pairs: PairTable) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, ids): the same for many words at a time, their bytes in a row in ``data``. A step merges
+    the leftmost pair of the lowest rank in every word; words without one are done."""
+    out_sizes, parts = np.zeros(len(sizes), np.int64), []
+    at = np.flatnonzero(sizes)
+    piece, sizes = pairs.first[data], sizes[at]
+    last = np.cumsum(sizes) - 1
+    rank = np.full(len(piece), REST, np.int32)
+    inner = np.ones(len(piece), bool)
+    inner[last] = False
+    i = np.flatnonzero(inner)
+    rank[i] = pairs(piece[i], piece[i + 1])
+    while len(at):
+        start = np.cumsum(sizes) - sizes
+        low = np.minimum.reduceat(rank, start)
+        done = low == REST
+        if done.any():
+            over = np.repeat(done, sizes)
+            out_sizes[at[done]] = sizes[done]
+            parts.append((at[done], piece[over]))
+            piece, rank = piece[~over], rank[~over]
+            at, sizes, low = at[~done], sizes[~done], low[~done]
+            if not len(at):
+                break
+            start = np.cumsum(sizes) - sizes
+        lowest = np.flatnonzero(rank == np.repeat(low, sizes))
+        here = lowest[np.searchsorted(lowest, start)]
+        piece[here] = low
+        keep = np.ones(len(piece), bool)
+        keep[here + 1] = False
+        piece, rank = piece[keep], rank[keep]
+        here = here - np.arange(len(here))
+        sizes = sizes - 1
+        start = np.cumsum(sizes) - sizes
+        after = here < start + sizes - 1
+        rank[here] = REST
+        rank[here[after]] = pairs(piece[here[after]], piece[here[after] + 1])
+        before = here[here > start] - 1
+        rank[before] = pairs(piece[before], piece[before + 1])
+    ids = np.empty(int(out_sizes.sum()), np.int32)
+    starts = np.cumsum(out_sizes) - out_sizes
+    for words, found in parts:
+        n = out_sizes[words]
+        ids[np.repeat(starts[words] - (np.cumsum(n) - n), n) + np.arange(len(found))] = found
+    if len(ids) and ids.max() >= pairs.top:
+        raise KeyError("a byte of the text has no rank")
+    return out_sizes, ids
+
+
+def merged_words(words: list[bytes], ranks: dict[bytes, int], pairs: PairTable) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of ids, ids in a row) of words of any length."""
+    short = [b"" if len(w) > LONG_WORD or w in ranks else w for w in words]
+    n = np.fromiter(map(len, short), np.int64, len(short))
+    n, ids = merge_in_step(np.frombuffer(b"".join(short), np.uint8), n, pairs)
+    other = {i: heap_merges(w, ranks) for i, (w, s) in enumerate(zip(words, short, strict=True)) if w and not s}
+    if other:
+        cuts = np.cumsum(n)
+        where = np.repeat([cuts[i] for i in other], [len(x) for x in other.values()])
+        ids = np.insert(ids, where, [k for x in other.values() for k in x]).astype(np.int32)
+        n[list(other)] = [len(x) for x in other.values()]
+    return n, ids
+
+
 def splitter(pattern: str):
     """The matches of the pattern in a text. Over ASCII text, the public pattern needs no Unicode
     classes, and the plain engine splits alike and faster."""
@@ -354,41 +449,28 @@ def encode(
     places, known_lengths, known_ids = frequent_words(split, buckets, most)
     shared_places = spark.sparkContext.broadcast((places.codes, places.checks, places.slots))
     shared_ids = spark.sparkContext.broadcast((known_lengths, known_ids))
-    all_ranks = spark.sparkContext.broadcast(ranks)
+    all_ranks = spark.sparkContext.broadcast((ranks, PairTable(ranks)))
     del places, known_lengths, known_ids
     release_memory()
 
-    def look_up(batches):
-        """Per slice the places of its words in the shared list, -1 for others, and these others."""
-        hashes, places = WordHash(), WordPlaces(*shared_places.value)
-        for row in single_rows(batches):
-            words = row["words"][0].values
-            sizes = pc.binary_length(words).to_numpy().astype(np.int64)
-            ends = np.cumsum(sizes)
-            data = np.frombuffer(b"".join(words.cast(pa.binary()).to_pylist()), np.uint8)
-            found = places(*hashes(data, ends - sizes, ends))
-            unknown = words.take(pa.array(np.flatnonzero(found < 0)))
-            yield pa.record_batch(
-                {c: row[c] for c in ("doc_id", "counts", "codes")}
-                | {"places": one_list(pa.array(found)), "unknown": one_list(unknown)}
-            )
-        release_memory()
-
     def fill_in(batches):
+        hashes, places = WordHash(), WordPlaces(*shared_places.value)
         lengths, flat = shared_ids.value
+        own_ranks, pairs = all_ranks.value
         starts = np.cumsum(lengths, dtype=np.int64) - lengths
-        digests = DecimalDigests(max(all_ranks.value.values(), default=0)) if digest else None
+        digests = DecimalDigests(max(own_ranks.values(), default=0)) if digest else None
         for row in single_rows(batches):
-            at = row["places"][0].values.to_numpy()
-            own = [
-                ids if ids is not None else heap_merges(w.encode(), all_ranks.value)
-                for w, ids in zip(row["unknown"][0].as_py(), row["folded"][0].as_py(), strict=True)
-            ]
+            words = row["words"][0].values.cast(pa.binary())
+            sizes = pc.binary_length(words).to_numpy().astype(np.int64)
+            ends = np.cumsum(sizes)
+            data = np.frombuffer(b"".join(words.to_pylist()), np.uint8)
+            at = places(*hashes(data, ends - sizes, ends))
             # The ids of the slice's own words follow those of the shared list.
-            own_n = np.fromiter(map(len, own), np.int64, len(own))
-            own_flat = np.fromiter((i for x in own for i in x), np.int32, int(own_n.sum()))
-            n, first = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
             new = at < 0
+            own_n, own_flat = merged_words(
+                words.take(pa.array(np.flatnonzero(new))).to_pylist(), own_ranks, pairs
+            )
+            n, first = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
             n[~new], first[~new] = lengths[at[~new]], starts[at[~new]]
             n[new], first[new] = own_n, np.cumsum(own_n) - own_n
             codes = unpacked_codes(row["codes"][0].as_py())
@@ -414,18 +496,8 @@ def encode(
         release_memory()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    looked = split.select("doc_id", "counts", "words", "codes").mapInArrow(
-        look_up,
-        f"doc_id array<{kind}>, counts array<int>, codes binary, places array<int>, unknown array<string>",
-    )
-    folded = F.transform(
-        "unknown",
-        lambda w: F.when(
-            F.octet_length(w) <= LONG_WORD, fold_merges(_bytes_as_text(w), buckets)
-        ),
-    )
     told = f"doc_id {kind}, ids array<int>" + (", ids_sha256 string" if digest else "")
-    return looked.withColumn("folded", folded).mapInArrow(fill_in, told)
+    return split.select("doc_id", "counts", "words", "codes").mapInArrow(fill_in, told)
 
 
 class DecimalDigests:
