@@ -21,6 +21,7 @@ import heapq
 import json
 import re
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -169,16 +170,22 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in piece if p]
 
 
+@dataclass(frozen=True)
 class PairTable:
     """Which two pieces make a third, by their numbers: ``keys`` in order, and the ``ranks`` of the
-    results. The number of a piece is its rank; bytes without one are numbered from ``top``."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        self.top = max(ranks.values(), default=-1) + 1
-        alone = {bytes([i]): self.top + i for i in range(256)}
-        number = alone | ranks
-        self.first = np.array([number[b] for b in alone], np.int32)
-        pairs = {}
+    results. The number of a piece is its rank; bytes without one are numbered from ``top``, and
+    ``first`` has the numbers of the bytes."""
+
+    top: int
+    first: np.ndarray
+    keys: np.ndarray
+    ranks: np.ndarray
+
+    @classmethod
+    def of(cls, ranks: dict[bytes, int]) -> PairTable:
+        top = max(ranks.values(), default=-1) + 1
+        alone = {bytes([i]): top + i for i in range(256)}
+        number, pairs = alone | ranks, {}
         for piece, rank in ranks.items():
             for i in range(1, len(piece)):
                 left, right = number.get(piece[:i]), number.get(piece[i:])
@@ -187,7 +194,7 @@ class PairTable:
         keys = np.fromiter(pairs, np.int64, len(pairs))
         found = np.fromiter(pairs.values(), np.int32, len(pairs))
         order = np.argsort(keys)
-        self.keys, self.ranks = keys[order], found[order]
+        return cls(top, np.array([number[b] for b in alone], np.int32), keys[order], found[order])
 
     def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, ``REST`` where it makes no piece."""
@@ -449,14 +456,16 @@ def encode(
     places, known_lengths, known_ids = frequent_words(split, buckets, most)
     shared_places = spark.sparkContext.broadcast((places.codes, places.checks, places.slots))
     shared_ids = spark.sparkContext.broadcast((known_lengths, known_ids))
-    all_ranks = spark.sparkContext.broadcast((ranks, PairTable(ranks)))
-    del places, known_lengths, known_ids
+    table = PairTable.of(ranks)
+    all_ranks = spark.sparkContext.broadcast((ranks, table.top, table.first, table.keys, table.ranks))
+    del places, known_lengths, known_ids, table
     release_memory()
 
     def fill_in(batches):
         hashes, places = WordHash(), WordPlaces(*shared_places.value)
         lengths, flat = shared_ids.value
-        own_ranks, pairs = all_ranks.value
+        own_ranks, *fields = all_ranks.value
+        pairs = PairTable(*fields)
         starts = np.cumsum(lengths, dtype=np.int64) - lengths
         digests = DecimalDigests(max(own_ranks.values(), default=0)) if digest else None
         for row in single_rows(batches):

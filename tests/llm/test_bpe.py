@@ -61,7 +61,7 @@ def test_empty(spark, ranks):
 def test_words_merge_alike_in_step(ranks, encoding):
     words = [b"", b"a", b"the", b" ofonouhewh", "é😀ñ".encode() * 9, b"ab" * 64, b"a" * 129, bytes(range(256))]
     words += [bytes(97 + i * j % 7 for j in range(i % 40)) for i in range(500)]
-    n, ids = bpe.merged_words(words, ranks, bpe.PairTable(ranks))
+    n, ids = bpe.merged_words(words, ranks, bpe.PairTable.of(ranks))
     cuts = [0, *n.cumsum()]
     for word, a, b in zip(words, cuts[:-1], cuts[1:], strict=True):
         assert ids[a:b].tolist() == (encoding._encode_single_piece(word) if word else [])
@@ -71,7 +71,7 @@ def test_words_merge_alike_in_step(ranks, encoding):
 def test_equal_and_overlapping_pairs_merge_from_the_left():
     ranks = {bytes([i]): i for i in range(256)} | {b"aa": 256, b"ab": 257, b"aab": 258, b"abab": 259}
     words = [b"aaab", b"aaaaa", b"ababab", b"baab", b"abaab"]
-    n, ids = bpe.merged_words(words, ranks, bpe.PairTable(ranks))
+    n, ids = bpe.merged_words(words, ranks, bpe.PairTable.of(ranks))
     assert ids.tolist() == [i for w in words for i in bpe.heap_merges(w, ranks)]
     assert n.tolist() == [len(bpe.heap_merges(w, ranks)) for w in words]
 
@@ -80,3 +80,11 @@ def test_no_rare_word_is_left_to_the_interpreted_fold(spark, ranks):
     docs = documents(spark, [(i, f"qzxv{i} jkwq{i}") for i in range(20)])
     plan = bpe.encode(spark, docs, ranks, most=0)._jdf.queryExecution().toString()
     assert "aggregate(" not in plan and "lambda" not in plan
+
+
+def test_what_is_broadcast_is_plain(spark, ranks, monkeypatch):
+    sent, send = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: sent.append(x) or send(x))
+    bpe.encode(spark, documents(spark, [(1, "x")]), ranks)
+    values = [y for x in sent for y in x]
+    assert values and not any(type(y).__module__.startswith("driftmark") for y in values)
