@@ -13,6 +13,7 @@ fragments of different documents. Every whole text is labelled, in chains of ``C
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from dataclasses import dataclass, replace
 
@@ -261,7 +262,20 @@ def fit(
     drawn = F.broadcast(docs.sparkSession.createDataFrame(shares))
     sample = known.join(drawn, "lang").where(F.col("place") <= F.col("up_to"))
     sample = sample.select("place", "lang", _pieces(F.col("text"), size).alias("text")).distinct()
-    table = sample.toArrow().to_pylist()
+
+    def learn(batches):
+        model = learnt([r for batch in batches for r in batch.to_pylist()], rows, calibrate)
+        fields = (model.languages, model.weights, model.transitions, model.lexicon, model.least)
+        yield pa.record_batch({"model": pa.array([pickle.dumps(fields)], pa.binary())})
+        release_memory()
+
+    # In a task: the sample and the fit take more memory than the driver needs for anything else.
+    found = sample.repartition(1).mapInArrow(learn, "model binary").toArrow().column("model")
+    return Model(*pickle.loads(found[0].as_py())) if len(found) else train([])
+
+
+def learnt(table: list[dict], rows: int, calibrate: bool) -> Model:
+    """The model of the sampled rows (place, lang, text), in whatever order they come."""
     table.sort(key=lambda r: (r["place"], r["lang"], r["text"]))
     taken: Counter[str] = Counter()
     chosen = []
@@ -269,13 +283,12 @@ def fit(
         taken[r["lang"]] += 1
         if taken[r["lang"]] <= rows:
             chosen.append((r["lang"], r["text"]))
-    del table
+    table.clear()
     taught = {lang for i, (lang, _) in enumerate(chosen) if i % HELD_OUT}
     held = [calibrate and not i % HELD_OUT and lang in taught for i, (lang, _) in enumerate(chosen)]
     model = train([r for r, out in zip(chosen, held, strict=True) if not out])
     if calibrate:
         model = replace(model, least=least_score(model, [t for (_, t), out in zip(chosen, held, strict=True) if out]))
-    release_memory()
     return model
 
 

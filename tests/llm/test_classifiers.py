@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 import zlib
 
@@ -128,3 +129,16 @@ def test_quality_edge_cases(spark):
     unlabelled = quality.fit(documents(spark, rows), labels.limit(0), F.lit(True))
     assert {r.score for r in quality.score(documents(spark, rows), unlabelled).collect()} == {0.5}
     assert quality.score(documents(spark, []), model).count() == 0
+
+
+def test_the_driver_does_not_train(spark, monkeypatch):
+    driver, train = os.getpid(), langid.train
+
+    def elsewhere(sample):
+        assert os.getpid() != driver
+        return train(sample)
+
+    docs = documents(spark, [(i, t, lang) for i, (t, lang) in enumerate([("good morning", "en"), ("guten tag", "de")] * 9)])
+    monkeypatch.setattr(langid, "train", elsewhere)
+    model = langid.fit(docs, F.lit(True))
+    assert model.languages == ["de", "en"] and model.weights.any() and 0 < model.least < 1
